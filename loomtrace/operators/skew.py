@@ -1,0 +1,63 @@
+"""Equi-joins that stay balanced when one key holds a large share of the rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# A key with more rows than this on one side is spread over several tasks.
+HOT_ROWS = 1_000_000
+
+
+def _hot_keys(df: DataFrame, keys: list[str], salts: str, threshold: int) -> DataFrame:
+    """Keys above the threshold: at most rows/threshold of them, whatever the data."""
+    return (
+        df.groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .where(F.col("_n") > threshold)
+        .select(*keys, F.ceil(F.col("_n") / threshold).cast("int").alias(salts))
+    )
+
+
+def balanced_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner",
+                  threshold: int = HOT_ROWS, unique_right: bool = False,
+                  left_rows: int | None = None) -> DataFrame:
+    """``left.join(right, keys, how)`` for ``inner`` and ``left``, with hot keys split.
+
+    Rows of a key that is hot on the left get one of n salts and meet n copies
+    of the key's right rows, and the other way round, so that every pair still meets exactly
+    once. A right side with one row per key (``unique_right``) is not examined. If neither
+    side has more rows than the threshold no key can be hot, and the join is left to the
+    optimizer.
+    """
+    if how not in ("inner", "left"):
+        raise ValueError(f"unsupported join type: {how}")
+    most = left.count() if left_rows is None else left_rows
+    if not unique_right:
+        most = max(most, right.count())
+    if most <= threshold:
+        return left.join(right, keys, how)
+
+    salted_left, salted_right = left, right
+    # Past this many rows the threshold grows, so the lists of hot keys stay small enough
+    # to send to every task.
+    limit = max(threshold, most // 100_000)
+    sides = [("left", "_salt_l")] if unique_right else [("left", "_salt_l"), ("right", "_salt_r")]
+    for side, column in sides:
+        hot = _hot_keys(left if side == "left" else right, keys, "_salts", limit)
+        salted_left = _with_salt(salted_left, hot, keys, column, spread=side == "left")
+        salted_right = _with_salt(salted_right, hot, keys, column, spread=side == "right")
+    salts = [column for _, column in sides]
+    return salted_left.join(salted_right, [*keys, *salts], how).drop(*salts)
+
+
+def _with_salt(df: DataFrame, hot: DataFrame, keys: list[str], column: str, spread: bool) -> DataFrame:
+    """One salt per row on the side that is spread, every salt on the side that is copied."""
+    rows = [c for c in df.columns if c not in keys]
+    joined = df.join(F.broadcast(hot), keys, "left")
+    salts = F.coalesce(F.col("_salts"), F.lit(1))
+    if spread:
+        salt = F.pmod(F.xxhash64(*(rows or keys)), salts).cast("int")
+    else:
+        salt = F.explode(F.sequence(F.lit(0), salts - 1))
+    return joined.withColumn(column, salt).drop("_salts")
