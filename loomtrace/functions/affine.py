@@ -62,3 +62,9 @@ def apply_track(m: dict[str, Column], vertical: Column, p: Column, s_start: Colu
     s_shift = F.when(vertical, m["ty"]).otherwise(m["tx"])
     e0, e1 = along * s_start + s_shift, along * s_end + s_shift
     return {"p": across * p + p_shift, "s_start": F.least(e0, e1), "s_end": F.greatest(e0, e1)}
+
+
+def apply_rect(m: dict[str, Column], x0: Column, y0: Column, x1: Column, y1: Column) -> dict[str, Column]:
+    """Move both corners of a rectangle, under any placement."""
+    (ax, ay), (bx, by) = apply_point(m, x0, y0), apply_point(m, x1, y1)
+    return {"x0": ax, "y0": ay, "x1": bx, "y1": by}

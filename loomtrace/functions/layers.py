@@ -12,6 +12,11 @@ def layer_number(name: Column) -> Column:
     return digits.cast("int")
 
 
+def layer_title(layer: Column) -> Column:
+    """3 -> ``Metal3``."""
+    return F.concat(F.lit("Metal"), layer.cast("string"))
+
+
 def is_vertical(layer: Column, orientation: dict[int, bool], strict: bool = True) -> Column:
     """Orientation of a layer number under the technology config.
 

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomtrace.functions.layers import is_vertical
+from loomtrace.operators.ordering import number_in_order
 from loomtrace.operators.skew import HOT_ROWS, balanced_join
+from loomtrace.workspace import Workspace
 
 # Wires are filed in bins along the track. A wire goes to the first scale whose bins are
 # at least as long as the wire, so it covers two bins at most; wires beyond the last scale
@@ -113,6 +115,16 @@ def dangling_vias(vias: DataFrame, metals: DataFrame, orientation: dict[int, boo
     return found.where(F.col("hits") != 2).select("vidx", "hits")
 
 
+def types_by_layer(vias: DataFrame) -> DataFrame:
+    """(layer, type): the via types that touch each layer."""
+    return vias.select(F.explode(F.array("lower", "upper")).alias("layer"), "type").distinct()
+
+
+def vias_in_order(vias: DataFrame, ws: Workspace) -> DataFrame:
+    """Vias numbered by type, then from left to right and bottom to top."""
+    return number_in_order(vias.select("type", "x", "y", "vidx"), ["type", "x", "y", "vidx"], "place", ws)
+
+
 def metal_via_lookup(metals: DataFrame, vias: DataFrame, orientation: dict[int, bool],
                      threshold: int = HOT_ROWS) -> DataFrame:
     """(idx, vidx): the vias on each wire, both wire ends included."""

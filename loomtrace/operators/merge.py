@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtrace.functions.nets import known
+from loomtrace.operators.connect import locate
 from loomtrace.operators.ordering import number_in_order
 from loomtrace.workspace import Workspace
 
@@ -79,6 +80,26 @@ def number_metals(merged: DataFrame, ws: Workspace) -> DataFrame:
     return numbered.select("idx", *TRACK, "s_start", "s_end", "net", "net_max")
 
 
+def merged_nets(shapes: DataFrame, metals: DataFrame) -> DataFrame:
+    """(idx, net): every name on every merged wire."""
+    starts = shapes.select(*TRACK, F.col("s_start").alias("s"), known(F.col("net")).alias("net"))
+    starts = starts.where(F.col("net").isNotNull()).distinct()
+    return locate(starts, metals, closed=True).select("idx", "net").distinct()
+
+
+def layer_counts(metals: DataFrame) -> DataFrame:
+    """(layer, n_tracks, n_metals)."""
+    tracks = metals.groupBy(*TRACK).agg(F.count(F.lit(1)).alias("n"))
+    return tracks.groupBy("layer").agg(
+        F.count(F.lit(1)).alias("n_tracks"), F.sum("n").alias("n_metals")
+    )
+
+
+def remove_wires(wires: DataFrame, gone: DataFrame) -> DataFrame:
+    """Take one occurrence of each row of ``gone`` out of ``wires``."""
+    return wires.exceptAll(gone)
+
+
 def intra_metal_shorts(metals: DataFrame) -> DataFrame:
     """Merged wires on which more than one name is drawn."""
     return metals.where(F.col("net") != F.col("net_max"))

@@ -6,6 +6,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomtrace.operators.flatten import place_shapes, place_vias
+from loomtrace.operators.ordering import running_sum_before
+from loomtrace.sources.config import TechConfig
+from loomtrace.sources.library import Layout
+
 # Layers 1..5, odd ones vertical, as in the shipped technology config.
 ORIENTATION = {1: True, 2: False, 3: True, 4: False, 5: True}
 
@@ -42,7 +47,7 @@ def instances(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def cell_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def cell_shapes(spark: SparkSession, sf_dir: str, extra: list[F.Column] = ()) -> DataFrame:
     """One wire per line item, in the coordinates of its cell."""
     s0 = (F.col("l_orderkey") % 40) * 10
     return table(spark, sf_dir, "lineitem").select(
@@ -53,6 +58,7 @@ def cell_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
         _long(s0 + F.col("l_quantity").cast("bigint")).alias("s_end"),
         F.when(F.col("l_returnflag") == "R",
                F.concat(F.lit("N"), (F.col("l_partkey") % 7).cast("string"))).alias("net"),
+        *extra,
     )
 
 
@@ -69,3 +75,95 @@ def cell_vias(spark: SparkSession, sf_dir: str) -> DataFrame:
         _long((F.col("o_custkey") % 40) * 10).alias("x"),
         _long(((key % 397) * 10) % 400).alias("y"),
     )
+
+
+def placed_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return place_shapes(cell_shapes(spark, sf_dir), instances(spark, sf_dir), ["cell"], ORIENTATION)
+
+
+def placed_vias(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return place_vias(cell_vias(spark, sf_dir), instances(spark, sf_dir), ["cell"])
+
+
+LIB, CHIP = "geo", "chip"
+CONFIG = TechConfig(ORIENTATION, {f"via_M{n}_M{n + 1}_0": (10, 10 + n) for n in range(1, 5)})
+
+
+def _cell(prefix: str, key) -> F.Column:
+    return F.concat(F.lit(prefix), key.cast("string"))
+
+
+def _turn(key) -> F.Column:
+    return F.element_at(F.array(*[F.lit(t) for t in ("R0", "R180", "MX", "MY")]), (key % 4 + 1).cast("int"))
+
+
+def hierarchy(spark: SparkSession, sf_dir: str) -> Layout:
+    """The same shapes as a real hierarchy: chip > region > nation > supplier."""
+    region = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("key"))
+    nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("key"), "n_regionkey")
+    supplier = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("key"), "s_nationkey")
+    key, zero, text = F.col("key"), F.lit(0).cast("bigint"), lambda v: F.lit(v).cast("string")
+
+    def cells(df: DataFrame, prefix: str) -> DataFrame:
+        return df.select(F.lit(LIB).alias("lib"), _cell(prefix, key).alias("cell"),
+                         _long(1000 + key).alias("width"), _long(key * 10).alias("height"),
+                         F.lit(True).alias("complete"))
+
+    def blocks(df: DataFrame, cell, prefix: str, x, y) -> DataFrame:
+        return df.select(F.lit(LIB).alias("lib"), cell.alias("cell"), key.cast("int").alias("ord"),
+                         F.lit(LIB).alias("sub_lib"), _cell(prefix, key).alias("sub_cell"),
+                         _cell(prefix.lower(), key).alias("name"), _turn(key).alias("transform"),
+                         _long(x).alias("x"), _long(y).alias("y"))
+
+    def pins(df: DataFrame, cell, bound: list[tuple[str, F.Column]]) -> DataFrame:
+        entry = F.explode(F.array(*[F.struct(F.lit(t).alias("term"), n.alias("net")) for t, n in bound]))
+        return df.select(F.lit(LIB).alias("lib"), cell.alias("cell"), key.cast("int").alias("ord"),
+                         entry.alias("e")).select("lib", "cell", "ord", "e.*").where(F.col("net") != "-")
+
+    def marks(df: DataFrame, cell, net, p) -> DataFrame:
+        return df.select(F.lit(LIB).alias("lib"), cell.alias("cell"), F.lit("label").alias("kind"),
+                         F.lit(1).alias("layer"), _long(p).alias("p"), zero.alias("s_start"),
+                         F.lit(5).cast("bigint").alias("s_end"), net.alias("net"))
+
+    chip, in_region, in_nation = F.lit(CHIP), _cell("R", F.col("n_regionkey")), _cell("N", F.col("s_nationkey"))
+    one = spark.range(1).select(F.lit(0).alias("key"))
+    all_cells = (
+        cells(one, "chip").withColumn("cell", F.lit(CHIP))
+        .unionByName(cells(region, "R")).unionByName(cells(nation, "N")).unionByName(cells(supplier, "S"))
+    )
+    all_blocks = (
+        blocks(region, chip, "R", zero, key * 100000)
+        .unionByName(blocks(nation, in_region, "N", zero, key * 1000))
+        .unionByName(blocks(supplier, in_nation, "S", key * 5000, zero))
+    )
+    same = lambda *names: [(n, F.lit(n)) for n in names]
+    all_pins = (
+        pins(region, chip, [("IN", _cell("X", key % 2)), *same("VDD:")])
+        .unionByName(pins(nation, in_region, [("OUT", _cell("M", key % 3)), *same("IN", "VDD:")]))
+        .unionByName(pins(supplier, in_nation, [
+            ("Q", _cell("K", key % 5)), *same("IN", "OUT", "VDD:"),
+            ("Z", F.when(key % 2 == 0, F.lit("UNKNOWN")).otherwise(F.lit("-"))),
+        ]))
+    )
+    net = F.element_at(F.array(*[F.lit(n) for n in ("IN", "OUT", "Q", "VDD:", "L4", "L5", "UNKNOWN")]),
+                       (F.col("l_partkey") % 7 + 1).cast("int"))
+    named = F.col("l_returnflag") == "R"
+    pin = F.col("l_partkey") % 7 < 4
+    shapes = cell_shapes(spark, sf_dir, extra=[
+        F.when(named, net).alias("name"),
+        F.when(named, F.when(pin, F.lit("pin")).otherwise(F.lit("label"))).otherwise(F.lit("metal")).alias("kind"),
+    ])
+    all_wires = (
+        shapes.select(F.lit(LIB).alias("lib"), _cell("S", F.col("cell")).alias("cell"), "kind", "layer",
+                      "p", "s_start", "s_end", F.col("name").alias("net"))
+        .unionByName(marks(region, _cell("R", key), text("L6"), key * 10))
+        .unionByName(marks(nation, _cell("N", key), text("L5"), key * 10))
+        .unionByName(marks(region.where(key < 2), chip, _cell("X", key), key * 10))
+    )
+    vias = cell_vias(spark, sf_dir)
+    all_vias = running_sum_before(
+        vias.select(F.lit(LIB).alias("lib"), _cell("S", F.col("cell")).alias("cell"), "vidx", "type", "x", "y",
+                    F.lit(1).alias("one")),
+        ["lib", "cell"], "vidx", {"one": "ord"},
+    ).select("lib", "cell", "ord", "type", "x", "y")
+    return Layout(all_cells, all_blocks, all_pins, all_wires, all_vias)
