@@ -18,11 +18,12 @@ from loomtrace.functions.nets import is_placeholder
 from loomtrace.operators.ordering import running_sum_before
 from loomtrace.operators.skew import HOT_ROWS, balanced_join
 from loomtrace.sources.library import CELL, MICROTEMPLATES, Layout
-from loomtrace.workspace import Workspace
+from loomtrace.workspace import Workspace, row_count
 
 SUB = ["sub_lib", "sub_cell"]
 BLOCK = [*CELL, "ord"]
 JOINT = "__"  # fixed value: between the parts of a hierarchical name
+CHAINED_LEVELS = 4  # deeper hierarchies are written out level by level
 
 
 def _some(df: DataFrame) -> list:
@@ -54,7 +55,7 @@ def reachable_cells(spark: SparkSession, lib: str, cell: str,
         frontier = ws.save(below, "reach")
         libs = sorted(row.lib for row in frontier.select("lib").distinct().collect())
         visited = visited.unionByName(frontier)
-    return ws.save(visited, "reachable")
+    return visited
 
 
 def check_cells(reach: DataFrame, cells: DataFrame) -> None:
@@ -65,7 +66,7 @@ def check_cells(reach: DataFrame, cells: DataFrame) -> None:
 
 
 def subtree_sizes(reach: DataFrame, blocks: DataFrame, vias: DataFrame, ws: Workspace) -> tuple[DataFrame, int]:
-    """(lib, cell, own_vias, n_inst, n_vias) and the height of the hierarchy.
+    """(lib, cell, own_vias, n_inst, n_vias) of every cell, and the height of the hierarchy.
 
     Cells are finished from the leaves up, one level per round; cells that are never
     finished place themselves.
@@ -80,7 +81,7 @@ def subtree_sizes(reach: DataFrame, blocks: DataFrame, vias: DataFrame, ws: Work
         "*", F.lit(1).cast("bigint").alias("n_inst"), F.col("own_vias").alias("n_vias")
     )
     sized = ws.save(leaf, "sized")
-    total, done, height = own.count(), sized.count(), 0
+    total, done, height = row_count(own), row_count(sized), 0
     while done < total:
         below = sized.select(
             F.col("lib").alias("sub_lib"), F.col("cell").alias("sub_cell"), "n_inst", "n_vias"
@@ -95,7 +96,7 @@ def subtree_sizes(reach: DataFrame, blocks: DataFrame, vias: DataFrame, ws: Work
         ready = ws.save(own.join(ready, CELL).select(
             *CELL, "own_vias", "n_inst", (F.col("own_vias") + F.col("below_vias")).alias("n_vias")
         ), "sized")
-        added = ready.count()
+        added = row_count(ready)
         if added == 0:
             stuck = _some(own.select(*CELL).join(sized, CELL, "left_anti"))
             raise ValueError(f"cells that contain themselves: {stuck}")
@@ -119,7 +120,12 @@ def number_blocks(blocks: DataFrame, sized: DataFrame) -> DataFrame:
     )
 
 
-def block_names(layout: Layout, blocks: DataFrame, lib: str, cell: str,
+def cell_names(wires: DataFrame) -> DataFrame:
+    """(lib, cell, kind, net): each name drawn in a cell, once per kind of shape."""
+    return wires.where(F.col("net").isNotNull()).select(*CELL, "kind", "net").distinct()
+
+
+def block_names(block_pins: DataFrame, drawn: DataFrame, blocks: DataFrame, lib: str, cell: str,
                 threshold: int = HOT_ROWS) -> DataFrame:
     """(lib, cell, ord, key, ref, kind): the names a subblock's instance can look up.
 
@@ -128,7 +134,7 @@ def block_names(layout: Layout, blocks: DataFrame, lib: str, cell: str,
     'own': a pin shape of the child that nothing binds, but that the child's own subblocks
     refer to, so it names a net inside the child.
     """
-    pins = layout.block_pins.join(blocks.select(*BLOCK), BLOCK, "left_semi").groupBy(
+    pins = block_pins.join(blocks.select(*BLOCK), BLOCK, "left_semi").groupBy(
         *BLOCK, F.col("term").alias("key")
     ).agg(F.min("net").alias("ref"), F.max("net").alias("_other"))
     clash = F.raise_error(F.concat(F.lit("one terminal bound to two nets: "), "key")).cast("string")
@@ -136,13 +142,13 @@ def block_names(layout: Layout, blocks: DataFrame, lib: str, cell: str,
         *BLOCK, "key", F.when(F.col("ref") == F.col("_other"), F.col("ref")).otherwise(clash).alias("ref"),
         F.lit("pin").alias("kind"),
     )
-    named = layout.wires.where(F.col("net").isNotNull())
 
     def names_of_children(kind: str) -> DataFrame:
-        names = named.where(F.col("kind") == kind).select(
+        names = drawn.where(F.col("kind") == kind).select(
             F.col("lib").alias("sub_lib"), F.col("cell").alias("sub_cell"), F.col("net").alias("key")
-        ).distinct()
-        return balanced_join(blocks.select(*BLOCK, *SUB), names, SUB, threshold=threshold)
+        )
+        return balanced_join(blocks.select(*BLOCK, *SUB), names, SUB, threshold=threshold,
+                             left_rows=row_count(blocks), right_rows=row_count(drawn))
 
     labels = names_of_children("label").join(pins, [*BLOCK, "key"], "left_anti").select(
         *BLOCK, "key", F.col("key").alias("ref"), F.lit("label").alias("kind")
@@ -171,54 +177,64 @@ class Instances:
     scope: DataFrame
 
 
-def expand(layout: Layout, blocks: DataFrame, names: DataFrame, lib: str, cell: str, height: int,
-           ws: Workspace, threshold: int = HOT_ROWS) -> Instances:
-    """All instances below one top cell. ``blocks`` carries the offsets of ``number_blocks``."""
-    spark = layout.cells.sparkSession
-    sizes = layout.cells.select(*CELL, "width", "height")
-    top = sizes.where((F.col("lib") == lib) & (F.col("cell") == cell))
+def _top_level(cells: DataFrame, drawn: DataFrame, lib: str, cell: str) -> tuple[DataFrame, DataFrame]:
+    """The top cell as an instance, and its scope: every name there means itself."""
+    is_top = (F.col("lib") == lib) & (F.col("cell") == cell)
     identity = {"a": 1, "b": 0, "c": 0, "d": 1, "tx": 0, "ty": 0}
     big = lambda v: F.lit(v).cast("bigint")
-    level = top.select(
+    level = cells.where(is_top).select(
         big(1).alias("idx"), big(None).alias("parent_idx"), F.array(F.lit(0)).alias("path"),
         F.lit(0).alias("depth"), *CELL, F.lit(cell).alias("inst_name"), F.lit(cell).alias("m_name"),
         *[big(v).alias(n) for n, v in identity.items()], big(0).alias("via_base"), "width", "height",
     )
-    scope = (
-        layout.wires.where((F.col("lib") == lib) & (F.col("cell") == cell) & F.col("net").isNotNull())
-        .select(*CELL, F.col("net").alias("key"), F.col("net").alias("net")).distinct()
-        .join(level.select(*CELL, "idx", *AFFINE), CELL)
-        .select("idx", *CELL, *AFFINE, "key", "net")
+    scope = drawn.where(is_top).select("net").distinct().select(
+        big(1).alias("idx"), F.lit(lib).alias("lib"), F.lit(cell).alias("cell"),
+        *[big(v).alias(n) for n, v in identity.items()], F.col("net").alias("key"), "net",
     )
-    child = {f"c_{n}": c for n, c in
-             placement(F.col("transform"), F.col("x"), F.col("y")).items()}
+    return level, scope
+
+
+def expand(cells: DataFrame, drawn: DataFrame, blocks: DataFrame, names: DataFrame, lib: str, cell: str,
+           height: int, n_inst: int, ws: Workspace, threshold: int = HOT_ROWS) -> Instances:
+    """All instances below one top cell. ``blocks`` carries the offsets of ``number_blocks``.
+
+    The number of instances is known beforehand. A large design is written out level by
+    level, so that no level is worked out twice; a small, shallow one stays one plan.
+    """
+    sizes = cells.select(*CELL, "width", "height")
+    moves = placement(F.col("transform"), F.col("x"), F.col("y"))
     blocks = ws.save(
         blocks.select(*BLOCK, *SUB, "name", "inst_offset", "via_offset",
-                      *[c.alias(n) for n, c in child.items()])
+                      *[c.alias(f"c_{n}") for n, c in moves.items()])
         .join(sizes.withColumnsRenamed({"lib": "sub_lib", "cell": "sub_cell"}), SUB),
         "blocks",
     )
     names = ws.save(names, "names")
-    levels, scopes = [ws.save(level, "level")], [ws.save(scope, "scope")]
+    widest = names.groupBy(*BLOCK).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    most = n_inst * max(widest, 1)  # no level and no scope has more rows
+    large = most > threshold or height > CHAINED_LEVELS
+    keep = ws.save if large else lambda df, name: df
+    binds = names.withColumnsRenamed({"lib": "_lib", "cell": "_cell", "ord": "_ord"})
+    level, scope = _top_level(cells, drawn, lib, cell)
+    levels, scopes = [keep(level, "level")], [keep(scope, "scope")]
+    known = {"left_rows": None if large else most}
     for depth in range(1, height + 1):
         parents = levels[-1].drop("width", "height")
-        joined = balanced_join(parents, blocks, CELL, threshold=threshold)
+        joined = balanced_join(parents, blocks, CELL, "inner", threshold,
+                               right_rows=row_count(blocks), **known)
         moved = compose({n: F.col(n) for n in AFFINE}, {n: F.col(f"c_{n}") for n in AFFINE})
-        hier_name = F.concat_ws(JOINT, "m_name", "name")
-        level = joined.select(
+        level = keep(joined.select(
             (F.col("idx") + F.col("inst_offset")).alias("idx"), F.col("idx").alias("parent_idx"),
             F.concat("path", F.array("ord")).alias("path"), F.lit(depth).alias("depth"),
             F.col("sub_lib").alias("lib"), F.col("sub_cell").alias("cell"),
-            F.col("name").alias("inst_name"), hier_name.alias("m_name"),
+            F.col("name").alias("inst_name"), F.concat_ws(JOINT, "m_name", "name").alias("m_name"),
             *[c.alias(n) for n, c in moved.items()],
             (F.col("via_base") + F.col("via_offset")).alias("via_base"), "width", "height",
             F.col("lib").alias("_lib"), F.col("cell").alias("_cell"), F.col("ord").alias("_ord"),
             F.col("m_name").alias("_parent_name"),
-        )
-        level = ws.save(level, "level")
-        binds = names.select(F.col("lib").alias("_lib"), F.col("cell").alias("_cell"),
-                             F.col("ord").alias("_ord"), "key", "ref", "kind")
-        asked = balanced_join(level, binds, ["_lib", "_cell", "_ord"], threshold=threshold)
+        ), "level")
+        asked = balanced_join(level, binds, ["_lib", "_cell", "_ord"], "inner", threshold,
+                              right_rows=row_count(names), **known)
         inside = F.concat_ws(JOINT, "m_name", "key")
         if depth == 1:
             # The top cell knows every name; unbound labels of its children stay theirs.
@@ -226,11 +242,12 @@ def expand(layout: Layout, blocks: DataFrame, names: DataFrame, lib: str, cell:
         else:
             outer = scopes[-1].select(F.col("idx").alias("parent_idx"), F.col("key").alias("ref"),
                                       F.col("net").alias("_net"))
-            asked = balanced_join(asked, outer, ["parent_idx", "ref"], "left", threshold, True)
+            asked = balanced_join(asked, outer, ["parent_idx", "ref"], "left", threshold, True,
+                                  **known)
             net = F.when(F.col("kind") == "own", inside).otherwise(
                 F.coalesce("_net", F.concat_ws(JOINT, "_parent_name", "ref"))
             )
-        scopes.append(ws.save(asked.select("idx", *CELL, *AFFINE, "key", net.alias("net")), "scope"))
+        scopes.append(keep(asked.select("idx", *CELL, *AFFINE, "key", net.alias("net")), "scope"))
         levels.append(level.drop("_lib", "_cell", "_ord", "_parent_name"))
     return Instances(_union(levels), _union(scopes))
 
@@ -248,8 +265,11 @@ def build_instances(layout: Layout, reach: DataFrame, lib: str, cell: str, ws: W
     blocks = usable_blocks(layout.subblocks, lib, cell).join(reach, CELL, "left_semi")
     blocks = ws.save(blocks, "usable")
     sized, height = subtree_sizes(reach, blocks, layout.vias, ws)
-    names = block_names(layout, blocks, lib, cell, threshold)
-    return expand(layout, number_blocks(blocks, sized), names, lib, cell, height, ws, threshold)
+    n_inst = sized.where((F.col("lib") == lib) & (F.col("cell") == cell)).first()["n_inst"]
+    drawn = ws.save(cell_names(layout.wires), "drawn")
+    names = block_names(layout.block_pins, drawn, blocks, lib, cell, threshold)
+    blocks = number_blocks(blocks, sized)
+    return expand(layout.cells, drawn, blocks, names, lib, cell, height, n_inst, ws, threshold)
 
 
 def tree_dump(instances: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomtrace.workspace import row_count
+
 # A key with more rows than this on one side is spread over several tasks.
 HOT_ROWS = 1_000_000
 
@@ -21,20 +23,20 @@ def _hot_keys(df: DataFrame, keys: list[str], salts: str, threshold: int) -> Dat
 
 def balanced_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner",
                   threshold: int = HOT_ROWS, unique_right: bool = False,
-                  left_rows: int | None = None) -> DataFrame:
+                  left_rows: int | None = None, right_rows: int | None = None) -> DataFrame:
     """``left.join(right, keys, how)`` for ``inner`` and ``left``, with hot keys split.
 
     Rows of a key that is hot on the left get one of n salts and meet n copies
     of the key's right rows, and the other way round, so that every pair still meets exactly
     once. A right side with one row per key (``unique_right``) is not examined. If neither
     side has more rows than the threshold no key can be hot, and the join is left to the
-    optimizer.
+    optimizer. Row counts (or upper bounds) that the caller knows save a pass.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"unsupported join type: {how}")
-    most = left.count() if left_rows is None else left_rows
+    most = row_count(left) if left_rows is None else left_rows
     if not unique_right:
-        most = max(most, right.count())
+        most = max(most, row_count(right) if right_rows is None else right_rows)
     if most <= threshold:
         return left.join(right, keys, how)
 

@@ -112,7 +112,8 @@ def affine_vias(spark, sf):
 def _design(spark, sf):
     ws = Workspace(spark)
     layout = dt.hierarchy(spark, sf)
-    reach = hierarchy.reachable_cells(spark, dt.LIB, dt.CHIP, lambda libs: layout.subblocks, ws)
+    links = ws.save(layout.subblocks.select(*CELL, *hierarchy.SUB).distinct(), "links")
+    reach = hierarchy.reachable_cells(spark, dt.LIB, dt.CHIP, lambda libs: links, ws)
     hierarchy.check_cells(reach, layout.cells)
     return layout, hierarchy.build_instances(layout, reach, dt.LIB, dt.CHIP, ws)
 

@@ -12,7 +12,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _CHECKPOINT_DIR = "spark.checkpoint.dir"
 
@@ -39,12 +40,14 @@ class Workspace:
         self._count = 0
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` out and return a scan of what was written."""
+        """Write ``df`` out, counting its rows on the way, and return a scan of the table."""
         self._count += 1
         path = f"{self.root}/{self._count:04d}-{name}"
-        df.write.parquet(path)
+        seen = Observation()
+        df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
         saved = self.spark.read.schema(df.schema).parquet(path)
         saved._loomtrace_path = path
+        saved._loomtrace_rows = seen.get["rows"]
         return saved
 
     def drop(self, saved: DataFrame) -> None:
@@ -59,3 +62,9 @@ class Workspace:
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def row_count(df: DataFrame) -> int:
+    """The number of rows: known for a saved table, counted otherwise."""
+    known = getattr(df, "_loomtrace_rows", None)
+    return df.count() if known is None else known
