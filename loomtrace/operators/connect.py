@@ -55,10 +55,15 @@ def locate(points: DataFrame, metals: DataFrame, closed: bool = False) -> DataFr
     )
 
 
-def endpoints(vias: DataFrame, orientation: dict[int, bool]) -> DataFrame:
-    """Each via as one track point on either layer it joins."""
+def endpoints(vias: DataFrame, orientation: dict[int, bool], once: bool = False) -> DataFrame:
+    """Each via as one track point on either layer it joins.
+
+    A via between a layer and itself gives two points, or one with ``once``.
+    """
     vertical = is_vertical(F.col("layer"), orientation, strict=False)
-    return vias.withColumn("layer", F.explode(F.array("lower", "upper"))).select(
+    layers = F.array("lower", "upper")
+    layers = F.array_distinct(layers) if once else layers
+    return vias.withColumn("layer", F.explode(layers)).select(
         *[c for c in vias.columns if c not in ("x", "y")],
         "layer",
         F.when(vertical, F.col("x")).when(~vertical, F.col("y")).alias("p"),
@@ -129,7 +134,7 @@ def metal_via_lookup(metals: DataFrame, vias: DataFrame, orientation: dict[int,
                      threshold: int = HOT_ROWS) -> DataFrame:
     """(idx, vidx): the vias on each wire, both wire ends included."""
     sites = via_sites(vias).select("vidx", *SITE)
-    points = endpoints(sites, orientation).select("vidx", "layer", "p", "s")
+    points = endpoints(sites, orientation, once=True).select("vidx", "layer", "p", "s")
     on_site = sites.join(locate(points, metals, closed=True).select("vidx", "idx"), "vidx")
     found = balanced_join(vias.select("vidx", *SITE), on_site.drop("vidx"), SITE,
                           threshold=threshold, unique_right=True)

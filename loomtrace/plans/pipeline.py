@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomtrace.functions.vias import VIA_TYPE
 from loomtrace.operators.components import (
     component_members, component_report, connected_components, overall_consistency,
 )
@@ -103,6 +104,18 @@ def _check_complete(layout: Layout) -> None:
         raise KeyError(f"cells without one of primitives, metals, labels, pins, vias: {bad}")
 
 
+def _check_via_types(layout: Layout, config: TechConfig) -> None:
+    """The config must know every via type in use, and its name must say which layers it joins."""
+    types = layout.vias.select("type").distinct()
+    known = config.via_types(types.sparkSession).select("type", F.lit(True).alias("known"))
+    bad = types.join(known, "type", "left").where(
+        F.col("known").isNull() | ~F.col("type").rlike(VIA_TYPE)
+    ).limit(5).collect()
+    for row in bad:
+        raise ValueError(f"invalid via type: {row.type!r}" if row.known
+                         else f"via type not in the config: {row.type!r}")
+
+
 def load_db(path_runset: str, spark: SparkSession | None = None, store: str | None = None,
             strict: bool = False) -> Database:
     """Read the libraries and expand the hierarchy.
@@ -128,6 +141,7 @@ def load_db(path_runset: str, spark: SparkSession | None = None, store: str | No
         layout = Layout(**parts)
     if strict:
         _check_complete(layout)
+        _check_via_types(layout, config)
     return Database(runset, config, layout, build_instances(layout, reach, lib, cell, ws), ws)
 
 

@@ -110,12 +110,13 @@ def vias(cells: DataFrame) -> DataFrame:
 
 
 def via_extensions(via_rows: DataFrame, config: TechConfig) -> DataFrame:
-    """Add ``ext_x, ext_y``; a via type without a config entry raises."""
+    """Add ``ext_x, ext_y``; a via type without a config entry raises.
+
+    The check sits on ``type``, so it also runs where the extensions are not read.
+    """
     found = via_rows.join(config.via_types(via_rows.sparkSession), "type", "left")
-    missing = F.raise_error(F.concat(F.lit("via type not in the config: "), "type")).cast("int")
-    return found.withColumn("ext_x", F.coalesce("ext_x", missing)).withColumn(
-        "ext_y", F.coalesce("ext_y", missing)
-    )
+    missing = F.raise_error(F.concat(F.lit("via type not in the config: "), "type")).cast("string")
+    return found.withColumn("type", F.when(F.col("ext_x").isNotNull(), F.col("type")).otherwise(missing))
 
 
 def subblocks(cells: DataFrame) -> DataFrame:
