@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtrace.operators.skew import HOT_ROWS, balanced_join
-from loomtrace.workspace import Workspace
+from loomtrace.workspace import Workspace, row_count
 
 MAX_ROUNDS = 200
 
@@ -127,7 +127,7 @@ def first_conflicts(members: DataFrame, threshold: int = HOT_ROWS) -> DataFrame:
     """(comp_id, idx, net, expected): the first wire whose name is not the component's."""
     nets = component_nets(members)
     expected = nets.groupBy("comp_id").agg(F.min("net").alias("expected"))
-    others = balanced_join(nets, expected, ["comp_id"], "inner", threshold, True)
+    others = balanced_join(nets, expected, ["comp_id"], "inner", threshold, True, row_count(members))
     first = F.min(F.struct(F.col("first_idx").alias("idx"), "net")).alias("first")
     return (
         others.where(F.col("net") != F.col("expected"))

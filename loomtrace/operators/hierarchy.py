@@ -37,25 +37,29 @@ def usable_blocks(blocks: DataFrame, lib: str, cell: str) -> DataFrame:
 
 
 def reachable_cells(spark: SparkSession, lib: str, cell: str,
-                    blocks_of: Callable[[list[str]], DataFrame], ws: Workspace) -> DataFrame:
+                    blocks_of: Callable[[list[str]], DataFrame], ws: Workspace,
+                    discover: bool = True) -> DataFrame:
     """(lib, cell) of the top cell and of everything below it.
 
     ``blocks_of(libs)`` supplies the subblocks of all libraries seen so far; it is told the
-    library names of each new level, so that libraries can be read when first needed.
+    library names of each new level, so that libraries can be read when first needed. Without
+    ``discover`` the first answer holds all subblocks, and no names are gathered.
     """
     frontier = spark.createDataFrame([(lib, cell)], "lib string, cell string")
-    libs, visited = [lib], frontier
-    while libs:
-        blocks = usable_blocks(blocks_of(libs), lib, cell)
+    visited, blocks = frontier, usable_blocks(blocks_of([lib]), lib, cell)
+    while True:
         below = (
             blocks.join(frontier, CELL, "left_semi")
             .select(F.col("sub_lib").alias("lib"), F.col("sub_cell").alias("cell")).distinct()
             .join(visited, CELL, "left_anti")
         )
         frontier = ws.save(below, "reach")
-        libs = sorted(row.lib for row in frontier.select("lib").distinct().collect())
+        if row_count(frontier) == 0:
+            return visited
         visited = visited.unionByName(frontier)
-    return visited
+        if discover:
+            libs = sorted(row.lib for row in frontier.select("lib").distinct().collect())
+            blocks = usable_blocks(blocks_of(libs), lib, cell)
 
 
 def check_cells(reach: DataFrame, cells: DataFrame) -> None:
@@ -171,10 +175,15 @@ def block_names(block_pins: DataFrame, drawn: DataFrame, blocks: DataFrame, lib:
 @dataclass(frozen=True)
 class Instances:
     """instances: idx, parent_idx, path, depth, lib, cell, inst_name, m_name, a..ty, width, height, via_base
-    scope: idx, lib, cell, a..ty, key, net   (what each name means inside an instance)"""
+    scope: idx, lib, cell, a..ty, key, net   (what each name means inside an instance)
+
+    ``n_inst`` is the number of instances, ``most_names`` a bound on the rows of ``scope``.
+    """
 
     instances: DataFrame
     scope: DataFrame
+    n_inst: int
+    most_names: int
 
 
 def _top_level(cells: DataFrame, drawn: DataFrame, lib: str, cell: str) -> tuple[DataFrame, DataFrame]:
@@ -249,7 +258,8 @@ def expand(cells: DataFrame, drawn: DataFrame, blocks: DataFrame, names: DataFra
             )
         scopes.append(keep(asked.select("idx", *CELL, *AFFINE, "key", net.alias("net")), "scope"))
         levels.append(level.drop("_lib", "_cell", "_ord", "_parent_name"))
-    return Instances(_union(levels), _union(scopes))
+    drawn_on_top = row_count(drawn)
+    return Instances(_union(levels), _union(scopes), n_inst, most + drawn_on_top)
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:

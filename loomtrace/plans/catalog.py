@@ -113,7 +113,7 @@ def _design(spark, sf):
     ws = Workspace(spark)
     layout = dt.hierarchy(spark, sf)
     links = ws.save(layout.subblocks.select(*CELL, *hierarchy.SUB).distinct(), "links")
-    reach = hierarchy.reachable_cells(spark, dt.LIB, dt.CHIP, lambda libs: links, ws)
+    reach = hierarchy.reachable_cells(spark, dt.LIB, dt.CHIP, lambda libs: links, ws, False)
     hierarchy.check_cells(reach, layout.cells)
     return layout, hierarchy.build_instances(layout, reach, dt.LIB, dt.CHIP, ws)
 

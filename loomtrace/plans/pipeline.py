@@ -6,7 +6,7 @@ folder, which stay there until the returned object's ``close()``.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -132,9 +132,11 @@ def load_db(path_runset: str, spark: SparkSession | None = None, store: str | No
         reach = reachable_cells(spark, lib, cell, libraries.blocks_of, ws)
         check_cells(reach, libraries.cells)
         layout = layout_of(libraries.cells.join(reach, CELL, "left_semi"), config)
+        # Unpacked from the nested cells once; names, plain and named wires all read it.
+        layout = replace(layout, wires=ws.save(layout.wires, "wires"))
     else:
         full = read_store(spark, store)
-        reach = reachable_cells(spark, lib, cell, lambda libs: full.subblocks, ws)
+        reach = reachable_cells(spark, lib, cell, lambda libs: full.subblocks, ws, False)
         check_cells(reach, full.cells)
         parts = {name: getattr(full, name).join(reach, CELL, "left_semi")
                  for name in Layout.__dataclass_fields__}

@@ -13,7 +13,7 @@ from loomtrace.operators.components import (
 )
 from loomtrace.operators.ordering import number_in_order
 from loomtrace.operators.skew import balanced_join
-from loomtrace.workspace import Workspace
+from loomtrace.workspace import Workspace, row_count
 
 # A list longer than this is wrapped, so that no text line outgrows a task.
 LIST_WRAP = 100_000
@@ -79,7 +79,7 @@ def connectivity_lines(members: DataFrame, ws: Workspace, wrap: int = LIST_WRAP)
     ))
     chunk = F.when(F.col("n_metals") > wrap, F.floor(F.col("idx") / wrap)).otherwise(big(0))
     sized = balanced_join(members.select("comp_id", "idx"), report.select("comp_id", "number", "n_metals"),
-                          ["comp_id"], unique_right=True)
+                          ["comp_id"], unique_right=True, left_rows=row_count(members))
     lists = sized.groupBy("comp_id", "number", "n_metals", chunk.alias("chunk")).agg(
         F.concat_ws(", ", F.sort_array(F.collect_list("idx")).cast("array<string>")).alias("list")
     )
