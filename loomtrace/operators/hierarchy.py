@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtrace.functions.affine import AFFINE, compose, placement
-from loomtrace.functions.nets import is_placeholder
+from loomtrace.functions.nets import UNKNOWN, is_placeholder
 from loomtrace.operators.ordering import running_sum_before
 from loomtrace.operators.skew import HOT_ROWS, balanced_join
 from loomtrace.sources.library import CELL, MICROTEMPLATES, Layout
@@ -204,9 +204,13 @@ def _top_level(cells: DataFrame, drawn: DataFrame, lib: str, cell: str) -> tuple
 
 
 def expand(cells: DataFrame, drawn: DataFrame, blocks: DataFrame, names: DataFrame, lib: str, cell: str,
-           height: int, n_inst: int, ws: Workspace, threshold: int = HOT_ROWS) -> Instances:
+           height: int, n_inst: int, ws: Workspace, threshold: int = HOT_ROWS,
+           strict_null: bool = False) -> Instances:
     """All instances below one top cell. ``blocks`` carries the offsets of ``number_blocks``.
 
+    A terminal bound to no net gets a name made up from the parent's below the first level,
+    as any other unbound name does; with ``strict_null`` it stays unknown everywhere.
+
     The number of instances is known beforehand. A large design is written out level by
     level, so that no level is worked out twice; a small, shallow one stays one plan.
     """
@@ -256,6 +260,8 @@ def expand(cells: DataFrame, drawn: DataFrame, blocks: DataFrame, names: DataFra
             net = F.when(F.col("kind") == "own", inside).otherwise(
                 F.coalesce("_net", F.concat_ws(JOINT, "_parent_name", "ref"))
             )
+        if strict_null:
+            net = F.when(F.col("ref") == UNKNOWN, F.lit(UNKNOWN)).otherwise(net)
         scopes.append(keep(asked.select("idx", *CELL, *AFFINE, "key", net.alias("net")), "scope"))
         levels.append(level.drop("_lib", "_cell", "_ord", "_parent_name"))
     drawn_on_top = row_count(drawn)
@@ -270,7 +276,7 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 
 def build_instances(layout: Layout, reach: DataFrame, lib: str, cell: str, ws: Workspace,
-                    threshold: int = HOT_ROWS) -> Instances:
+                    threshold: int = HOT_ROWS, strict_null: bool = False) -> Instances:
     """From the definitions of the reachable cells to instances and their scopes."""
     blocks = usable_blocks(layout.subblocks, lib, cell).join(reach, CELL, "left_semi")
     blocks = ws.save(blocks, "usable")
@@ -279,7 +285,8 @@ def build_instances(layout: Layout, reach: DataFrame, lib: str, cell: str, ws: W
     drawn = ws.save(cell_names(layout.wires), "drawn")
     names = block_names(layout.block_pins, drawn, blocks, lib, cell, threshold)
     blocks = number_blocks(blocks, sized)
-    return expand(layout.cells, drawn, blocks, names, lib, cell, height, n_inst, ws, threshold)
+    return expand(layout.cells, drawn, blocks, names, lib, cell, height, n_inst, ws, threshold,
+                  strict_null)
 
 
 def tree_dump(instances: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ folder, which stay there until the returned object's ``close()``.
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,7 +25,9 @@ from loomtrace.sources.config import Runset, TechConfig, read_config, read_runse
 from loomtrace.sources.library import (
     CELL, Layout, layout_of, read_libraries, read_store, subblocks, write_store,
 )
-from loomtrace.workspace import Workspace
+from loomtrace.workspace import Workspace, row_count
+
+log = logging.getLogger(__name__)
 
 
 @dataclass(frozen=True)
@@ -117,10 +120,11 @@ def _check_via_types(layout: Layout, config: TechConfig) -> None:
 
 
 def load_db(path_runset: str, spark: SparkSession | None = None, store: str | None = None,
-            strict: bool = False) -> Database:
+            strict: bool = False, strict_null: bool = False) -> Database:
     """Read the libraries and expand the hierarchy.
 
     With ``store``, the parquet tables of an earlier ``ingest`` replace the JSON libraries.
+    ``strict_null`` keeps terminals that are bound to no net unnamed on every level.
     """
     spark = spark or SparkSession.active()
     runset = read_runset(path_runset)
@@ -144,7 +148,9 @@ def load_db(path_runset: str, spark: SparkSession | None = None, store: str | No
     if strict:
         _check_complete(layout)
         _check_via_types(layout, config)
-    return Database(runset, config, layout, build_instances(layout, reach, lib, cell, ws), ws)
+    placed = build_instances(layout, reach, lib, cell, ws, strict_null=strict_null)
+    log.info("%s/%s: %d instances", lib, cell, placed.n_inst)
+    return Database(runset, config, layout, placed, ws)
 
 
 def ingest(path_runset: str, store: str, spark: SparkSession | None = None) -> None:
@@ -160,33 +166,37 @@ def ingest(path_runset: str, store: str, spark: SparkSession | None = None) -> N
     ws.close()
 
 
-def flatten(path_runset: str, spark: SparkSession | None = None, store: str | None = None) -> Flat:
+def flatten(path_runset: str, spark: SparkSession | None = None, store: str | None = None,
+            strict_null: bool = False) -> Flat:
     """All wires and vias of the design in top coordinates."""
-    db = load_db(path_runset, spark, store, strict=True)
+    db = load_db(path_runset, spark, store, True, strict_null)
     wires = flat_wires(db.layout, db.placed, db.config.orientation)
     return Flat(db, wires, flat_vias(db.layout, db.placed, db.config))
 
 
-def merge_vector(path_runset: str, spark: SparkSession | None = None, store: str | None = None) -> Merged:
+def merge_vector(path_runset: str, spark: SparkSession | None = None, store: str | None = None,
+                 strict_null: bool = False) -> Merged:
     """Overlapping and touching wires of a track merged, named and numbered."""
-    flat = flatten(path_runset, spark, store)
+    flat = flatten(path_runset, spark, store, strict_null)
     ws = flat.database.workspace
     return Merged(flat, number_metals(merge_intervals(flat.metals), ws))
 
 
 def run_lvs(path_runset: str, spark: SparkSession | None = None, store: str | None = None,
-            closed: bool = False, write: bool = True) -> Checked:
+            closed: bool = False, strict_null: bool = False, write: bool = True) -> Checked:
     """The whole check; writes the report to ``{log_dir}/{lib}_{cell}.out``.
 
     ``closed`` also accepts a via on the very start of a wire.
     """
-    merged = merge_vector(path_runset, spark, store)
+    merged = merge_vector(path_runset, spark, store, strict_null)
     db = merged.flat.database
     ws = db.workspace
     edges = site_edges(merged.flat.vias, merged.metals, db.config.orientation, closed)
     labels = connected_components(edges, ws)
     members = ws.save(component_members(labels, merged.metals), "members")
     components = component_report(members)
+    log.info("%d wires in the connection graph", row_count(members))
     if write:
         write_connectivity_report(members, db.runset.report_path, ws)
+        log.info("report written to %s", db.runset.report_path)
     return Checked(merged, components, members, overall_consistency(components))

@@ -78,6 +78,12 @@ def test_instances_and_names_of_chip(spark, design):
     db.close()
 
 
+def test_unbound_terminals_can_stay_unknown(spark, design):
+    db = loomtrace.load_db(design({"demo": DEMO}, "demo", "chip"), spark, strict_null=True)
+    assert net_ext(db)[4] == {"IN": "chip__T0__B", "OUT": "UNKNOWN"}
+    db.close()
+
+
 def test_store_gives_the_same_design(spark, design, tmp_path):
     from loomtrace.plans.pipeline import ingest
 
