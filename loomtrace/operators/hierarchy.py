@@ -264,8 +264,10 @@ def expand(cells: DataFrame, drawn: DataFrame, blocks: DataFrame, names: DataFra
             net = F.when(F.col("ref") == UNKNOWN, F.lit(UNKNOWN)).otherwise(net)
         scopes.append(keep(asked.select("idx", *CELL, *AFFINE, "key", net.alias("net")), "scope"))
         levels.append(level.drop("_lib", "_cell", "_ord", "_parent_name"))
-    drawn_on_top = row_count(drawn)
-    return Instances(_union(levels), _union(scopes), n_inst, most + drawn_on_top)
+    instances, scope = _union(levels), _union(scopes)
+    if not large:
+        instances, scope = ws.save(instances, "instances"), ws.save(scope, "scope")
+    return Instances(instances, scope, n_inst, most + row_count(drawn))
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:

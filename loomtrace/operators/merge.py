@@ -10,7 +10,7 @@ from loomtrace.operators.connect import locate
 from loomtrace.operators.ordering import number_in_order
 from loomtrace.workspace import Workspace
 
-TRACK = ["layer", "p"]
+TRACK = ["p", "layer"]  # the more selective column first: sorts compare it first
 TILE_BITS = 20  # a track is cut into tiles of 2**20 grid units
 
 
@@ -34,7 +34,7 @@ def _islands(df: DataFrame, group: list[str]) -> DataFrame:
     )
 
 
-def merge_intervals(shapes: DataFrame, tile_bits: int = TILE_BITS) -> DataFrame:
+def merge_intervals(shapes: DataFrame, ws: Workspace, tile_bits: int = TILE_BITS) -> DataFrame:
     """(layer, p, s_start, s_end, net) -> merged wires with ``net`` and ``net_max``.
 
     ``net`` and ``net_max`` are the least and greatest known name on the wire; they differ
@@ -68,16 +68,18 @@ def merge_intervals(shapes: DataFrame, tile_bits: int = TILE_BITS) -> DataFrame:
     starts = unnamed.select("*", no_name.alias("net"), no_name.alias("net_max")).unionByName(named)
     islands = _islands(starts, [*TRACK, "tile"])
     at_border = (F.col("s_start") == left) | (F.col("s_end") == right)
-    wire = [*TRACK, "s_start", "s_end", "net", "net_max"]
-    inner = islands.where(~at_border).select(*wire)
-    stitched = _islands(islands.where(at_border).select(*wire), TRACK).select(*wire)
+    wire = ["layer", "p", "s_start", "s_end", "net", "net_max"]
+    # Written once: both halves below read it, and so does the sampling of a later range sort.
+    islands = ws.save(islands.select(*wire, at_border.alias("at_border")), "islands")
+    inner = islands.where(~F.col("at_border")).select(*wire)
+    stitched = _islands(islands.where("at_border").select(*wire), TRACK).select(*wire)
     return inner.unionByName(stitched)
 
 
 def number_metals(merged: DataFrame, ws: Workspace) -> DataFrame:
     """Number merged wires 1..n in (layer, p, s_start) order."""
-    numbered = number_in_order(merged, [*TRACK, "s_start"], "idx", ws)
-    return numbered.select("idx", *TRACK, "s_start", "s_end", "net", "net_max")
+    numbered = number_in_order(merged, ["layer", "p", "s_start"], "idx", ws)
+    return numbered.select("idx", "layer", "p", "s_start", "s_end", "net", "net_max")
 
 
 def merged_nets(shapes: DataFrame, metals: DataFrame) -> DataFrame:

@@ -165,13 +165,17 @@ def cell_subtrees(spark, sf):
 
 # ---------------------------------------------------------------- merging
 
+def _merged(spark, sf):
+    return merge.merge_intervals(dt.placed_shapes(spark, sf), Workspace(spark))
+
+
 def _metals(spark, sf, ws):
-    return merge.number_metals(merge.merge_intervals(dt.placed_shapes(spark, sf)), ws)
+    return merge.number_metals(merge.merge_intervals(dt.placed_shapes(spark, sf), ws), ws)
 
 
 @query
 def merge_intervals(spark, sf):
-    return merge.merge_intervals(dt.placed_shapes(spark, sf))
+    return _merged(spark, sf)
 
 
 @query
@@ -186,18 +190,18 @@ def merged_net_sets(spark, sf):
 
 @query
 def intra_metal_shorts(spark, sf):
-    return merge.intra_metal_shorts(merge.merge_intervals(dt.placed_shapes(spark, sf)))
+    return merge.intra_metal_shorts(_merged(spark, sf))
 
 
 @query
 def unnamed_metals(spark, sf):
-    found = merge.unnamed_metals(merge.merge_intervals(dt.placed_shapes(spark, sf)))
+    found = merge.unnamed_metals(_merged(spark, sf))
     return found.select("layer", "p", "s_start", "s_end")
 
 
 @query
 def layer_counts(spark, sf):
-    return merge.layer_counts(merge.merge_intervals(dt.placed_shapes(spark, sf)))
+    return merge.layer_counts(_merged(spark, sf))
 
 
 @query
@@ -331,7 +335,7 @@ def via_records(spark, sf):
 
 @query
 def wire_segments(spark, sf):
-    return drawing.wire_segments(merge.merge_intervals(dt.placed_shapes(spark, sf)), dt.ORIENTATION)
+    return drawing.wire_segments(_merged(spark, sf), dt.ORIENTATION)
 
 
 @query

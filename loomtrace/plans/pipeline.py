@@ -179,7 +179,7 @@ def merge_vector(path_runset: str, spark: SparkSession | None = None, store: str
     """Overlapping and touching wires of a track merged, named and numbered."""
     flat = flatten(path_runset, spark, store, strict_null)
     ws = flat.database.workspace
-    return Merged(flat, number_metals(merge_intervals(flat.metals), ws))
+    return Merged(flat, number_metals(merge_intervals(flat.metals, ws), ws))
 
 
 def run_lvs(path_runset: str, spark: SparkSession | None = None, store: str | None = None,

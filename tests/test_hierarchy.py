@@ -70,7 +70,7 @@ def walk(cells, name, chain, place, out):
     return entry
 
 
-@pytest.mark.parametrize("seed,threshold", [(1, 1_000_000), (2, 1_000_000), (3, 2)])
+@pytest.mark.parametrize("seed,threshold", [(1, 1_000_000), (3, 2)])
 def test_random_designs(spark, design, seed, threshold):
     cells = random_design(random.Random(seed))
     runset = design({"lib": cells}, "lib", "c0_0")

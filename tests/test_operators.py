@@ -51,38 +51,38 @@ def random_shapes(rng, n, span=200, longest=30):
 
 
 @pytest.mark.parametrize("tile_bits", [2, 4, 20])
-def test_merge_equals_sweep_for_any_tile_size(spark, tile_bits):
+def test_merge_equals_sweep_for_any_tile_size(spark, ws, tile_bits):
     shapes = random_shapes(random.Random(tile_bits), 300) + [(1, 0, -190, 150, "A"), (1, 0, -16, -16, "B")]
     df = spark.createDataFrame(shapes, SHAPE)
-    got = {tuple(r) for r in merge.merge_intervals(df, tile_bits).collect()}
+    got = {tuple(r) for r in merge.merge_intervals(df, ws, tile_bits).collect()}
     assert got == sweep(shapes)
 
 
-def test_merge_edges(spark):
+def test_merge_edges(spark, ws):
     shapes = [
         (1, 5, 0, 4, "A"), (1, 5, 4, 8, "A"), (1, 5, 8, 8, None),  # touching, over tile borders
         (1, 5, 9, 9, "B"), (1, 5, 10, 12, None),                    # one apart stays apart
         (1, 6, 0, 10, "A"), (1, 6, 5, 6, "B"), (1, 6, 11, 12, None),  # two names in one run, none in the next
     ]
     df = spark.createDataFrame(shapes, SHAPE)
-    got = {tuple(r) for r in merge.merge_intervals(df, 2).collect()}
+    got = {tuple(r) for r in merge.merge_intervals(df, ws, 2).collect()}
     assert got == {
         (1, 5, 0, 8, "A", "A"), (1, 5, 9, 9, "B", "B"), (1, 5, 10, 12, None, None),
         (1, 6, 0, 10, "A", "B"), (1, 6, 11, 12, None, None),
     }
-    shorts = merge.intra_metal_shorts(merge.merge_intervals(df)).select("p", "s_start").collect()
+    shorts = merge.intra_metal_shorts(merge.merge_intervals(df, ws)).select("p", "s_start").collect()
     assert [tuple(r) for r in shorts] == [(6, 0)]
 
 
 def test_merge_of_nothing(spark, ws):
     empty = spark.createDataFrame([], SHAPE)
-    assert merge.merge_intervals(empty).count() == 0
-    assert merge.number_metals(merge.merge_intervals(empty), ws).count() == 0
+    assert merge.merge_intervals(empty, ws).count() == 0
+    assert merge.number_metals(merge.merge_intervals(empty, ws), ws).count() == 0
 
 
 def test_metals_are_numbered_in_track_order(spark, ws):
     shapes = random_shapes(random.Random(3), 400)
-    metals = merge.number_metals(merge.merge_intervals(spark.createDataFrame(shapes, SHAPE)), ws)
+    metals = merge.number_metals(merge.merge_intervals(spark.createDataFrame(shapes, SHAPE), ws), ws)
     rows = [tuple(r) for r in metals.orderBy("idx").select("idx", "layer", "p", "s_start").collect()]
     assert [r[0] for r in rows] == list(range(1, len(rows) + 1))
     assert [r[1:] for r in rows] == sorted(r[1:] for r in rows)
@@ -91,7 +91,7 @@ def test_metals_are_numbered_in_track_order(spark, ws):
 def test_all_names_of_a_merged_wire(spark, ws):
     shapes = random_shapes(random.Random(4), 200)
     df = spark.createDataFrame(shapes, SHAPE)
-    metals = merge.number_metals(merge.merge_intervals(df), ws)
+    metals = merge.number_metals(merge.merge_intervals(df, ws), ws)
     where = {r["idx"]: r for r in metals.collect()}
     expected = {(i, s[4]) for s in shapes if s[4] not in (None, "UNKNOWN") for i, m in where.items()
                 if (m["layer"], m["p"]) == s[:2] and m["s_start"] <= s[2] <= m["s_end"]}

@@ -12,8 +12,8 @@ import __spark_entry__ as spark_entry
 from compare import compare, connect
 
 SF = "/root/testdata/sf0.001"
-QUICK = ("layer_parse orientation_project net_unify affine_rects affine_vias flatten_metals merged_metal_index "
-         "remove_wires connect_edges metal_via_lookup component_report report_lines via_records").split()
+QUICK = ("orientation_project net_unify affine_rects flatten_metals merged_metal_index "
+         "connect_edges component_report via_records").split()
 NAMES = sorted(spark_entry.queries()) if os.environ.get("LOOMTRACE_ALL") else QUICK
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not present")
