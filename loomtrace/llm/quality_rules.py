@@ -120,29 +120,37 @@ def language_references(counts: DataFrame) -> DataFrame:
     )
 
 
-def js_distance(p: Column, q: Column) -> Column:
-    """Jensen-Shannon distance of two arrays of counts; 0 if either is all zeros."""
-    def total(a: Column) -> Column:
-        return F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double"))
+def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Jensen-Shannon distance, row by row, of two matrices of counts; 0 if either row is all zeros."""
+    p_sum, q_sum = p.sum(axis=1, keepdims=True), q.sum(axis=1, keepdims=True)
+    x, y = p / np.maximum(p_sum, 1), q / np.maximum(q_sum, 1)
+    m = (x + y) / 2
 
-    def term(x: Column, m: Column) -> Column:
-        return F.when(x > 0, x * F.log2(x / m)).otherwise(F.lit(0.0))
+    def bits(a: np.ndarray) -> np.ndarray:
+        return (a * np.log2(np.where(a > 0, a / np.where(m > 0, m, 1), 1))).sum(axis=1)
 
-    def pair(a: Column, b: Column) -> Column:
-        x, y = a / F.greatest(total(p), F.lit(1.0)), b / F.greatest(total(q), F.lit(1.0))
-        m = (x + y) / 2
-        return term(x, m) / 2 + term(y, m) / 2
+    out = np.sqrt(np.maximum((bits(x) + bits(y)) / 2, 0))
+    return np.where((p_sum[:, 0] == 0) | (q_sum[:, 0] == 0), 0.0, out)
 
-    divergence = F.aggregate(F.zip_with(p, q, pair), F.lit(0.0), lambda s, x: s + x)
-    empty = (total(p) == 0) | (total(q) == 0)
-    return F.when(empty, F.lit(0.0)).otherwise(F.sqrt(F.greatest(divergence, F.lit(0.0))))
+
+def _distance_batch(cols: dict[str, list]) -> dict[str, list]:
+    def distance(own: str, reference: str) -> list:
+        if not cols[own]:
+            return []
+        return js_distance(np.array(cols[own], dtype=float), np.array(cols[reference], dtype=float)).tolist()
+
+    return cols | {
+        "class_distance": distance("classes", "ref_classes"),
+        "word_distance": distance("common", "ref_common"),
+    }
 
 
 def _distances(counts: DataFrame, references: DataFrame) -> DataFrame:
-    return counts.join(references, F.col("lang") == F.col("ref_lang")).withColumns({
-        "class_distance": js_distance(F.col("classes"), F.col("ref_classes")),
-        "word_distance": js_distance(F.col("common"), F.col("ref_common")),
-    }).drop("ref_lang", "ref_classes", "ref_common")
+    """``counts`` with each row's distances to the reference of its language."""
+    both = counts.join(references, F.col("lang") == F.col("ref_lang"))
+    return map_batches(
+        both, _distance_batch, f"{FEATURES}, base_failed boolean, class_distance double, word_distance double"
+    )
 
 
 def quality_rules(docs: DataFrame, max_class_distance: float = 0.13, max_word_distance: float = 0.4,
