@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomtrace.llm import classifier, exact_dedup, license_scan, minhash, packing
+from loomtrace.llm import classifier, exact_dedup, license_scan, minhash, packing, toxicity
 from loomtrace.llm.common import table
 from loomtrace.llm.quality_rules import quality_rules
 
@@ -17,6 +17,7 @@ QUERIES = {
     "op1_quality_classifier": classifier.op1_quality_classifier,
     "op2_minhash": minhash.op2_minhash,
     "op3_best_fit_packing": packing.op3_best_fit_packing,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op5_license_scan": license_scan.op5_license_scan,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op10_quality_rules": op10_quality_rules,
