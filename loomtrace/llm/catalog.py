@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomtrace.llm import classifier, exact_dedup, license_scan, minhash, packing, toxicity
+from loomtrace.llm import classifier, exact_dedup, license_scan, minhash, packing, pii, toxicity
 from loomtrace.llm.common import table
 from loomtrace.llm.quality_rules import quality_rules
 
@@ -20,6 +20,7 @@ QUERIES = {
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_license_scan": license_scan.op5_license_scan,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+    "op8_pii_surrogates": pii.op8_pii_surrogates,
     "op10_quality_rules": op10_quality_rules,
 }
 
