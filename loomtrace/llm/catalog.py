@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomtrace.llm import classifier, exact_dedup, license_scan, minhash, packing, pii, toxicity
+from loomtrace.llm import classifier, exact_dedup, license_scan, minhash, packing, pii, toxicity, url_filter
 from loomtrace.llm.common import table
 from loomtrace.llm.quality_rules import quality_rules
 
@@ -19,11 +19,13 @@ QUERIES = {
     "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_license_scan": license_scan.op5_license_scan,
+    "op6_url_filter": url_filter.op6_url_filter,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_pii_surrogates": pii.op8_pii_surrogates,
     "op10_quality_rules": op10_quality_rules,
 }
 
 ORACLES = {
+    "op6_url_filter": url_filter.ORACLE_SQL,
     "op7_exact_dedup": exact_dedup.ORACLE_SQL,
 }
