@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomtrace.llm import classifier, exact_dedup, license_scan, minhash, packing, pii, toxicity, url_filter
+from loomtrace.llm import classifier, exact_dedup, license_scan, minhash, packing, pieces, pii, toxicity, url_filter
 from loomtrace.llm.common import table
 from loomtrace.llm.quality_rules import quality_rules
 
@@ -22,6 +22,7 @@ QUERIES = {
     "op6_url_filter": url_filter.op6_url_filter,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_pii_surrogates": pii.op8_pii_surrogates,
+    "op9_sentencepiece": pieces.op9_sentencepiece,
     "op10_quality_rules": op10_quality_rules,
 }
 
