@@ -80,6 +80,11 @@ def map_batches(df: DataFrame, work: Callable[[dict[str, list]], dict[str, list]
     return df.mapInArrow(run, schema)
 
 
+def located(docs: DataFrame) -> DataFrame:
+    """``docs``, read from files, with _file and _row: the place of each row."""
+    return docs.withColumns({"_file": F.col("_metadata.file_path"), "_row": F.col("_metadata.row_index")})
+
+
 def _struct(spark: SparkSession, schema):
     from pyspark.sql.types import StructType
 

@@ -90,8 +90,8 @@ def _node(shingles: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def signatures(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, n_shingles, node, bands) per row; node and bands are null for an empty set."""
+def signatures(docs: DataFrame, width: int, bands: int, rows: int, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_shingles, node, bands, *carry) per row; node and bands are null for an empty set."""
     order, cache = _borrow_order(bands * rows), {}
 
     def work(cols: dict[str, list]) -> dict[str, list]:
@@ -101,10 +101,12 @@ def signatures(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
             out["n_shingles"].append(len(found))
             out["node"].append(_node(found) if len(found) else None)
             out["bands"].append(band_keys(found, bands, rows, order).view(np.int64) if len(found) else None)
-        return out
+        return out | {c: cols[c] for c in carry}
 
-    rows_in = docs.select(F.col("doc_id").cast("long"), text_of().cast("binary").alias("text"))
-    return map_batches(rows_in, work, "doc_id long, n_shingles long, node long, bands array<long>")
+    rows_in = docs.select(F.col("doc_id").cast("long"), text_of().cast("binary").alias("text"), *carry)
+    schema = "doc_id long, n_shingles long, node long, bands array<long>" + "".join(
+        f", `{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema)
+    return map_batches(rows_in, work, schema)
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -200,8 +202,8 @@ def links_of(docs: DataFrame, nodes: DataFrame, width: int, percent: int,
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS,
-                    rows: int = ROWS) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text).
+                    rows: int = ROWS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept, *carry) for every row of ``docs`` (doc_id, text).
 
     Two texts are linked if the Jaccard similarity of their ``width``-word shingle sets is at
     least ``percent`` hundredths. component_id is the least doc_id of the texts that links
@@ -212,17 +214,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     a component. A row without doc_id is linked through equal sets only, and is kept where no
     row of its component has an id. Other columns are ignored; an empty table gives no row.
     """
-    found = saved(signatures(docs, width, bands, rows), "near-signatures")
+    found = saved(signatures(docs, width, bands, rows, carry), "near-signatures")
     nodes = saved(found.where(F.col("node").isNotNull()).groupBy("node").agg(
         F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "near-nodes")
     labels = links_of(docs, nodes.where(F.col("rep").isNotNull()), width, percent)
     names = nodes.select("node", "rep").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = names.groupBy("comp").agg(F.min("rep").alias("component_id"))
     names = names.join(least, "comp").select("node", "component_id")
-    out = found.select("doc_id", "n_shingles", "node").join(names, "node", "left")
+    out = found.select("doc_id", "n_shingles", "node", *carry).join(names, "node", "left")
     return out.select(
         "doc_id", "n_shingles",
         F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        *carry,
     ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 

@@ -13,8 +13,9 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -279,6 +280,12 @@ def collisions(pairs: DataFrame) -> DataFrame:
     return several("surrogate", "entity").unionByName(several("entity", "surrogate"))
 
 
+def _checked(docs: DataFrame, key: bytes) -> None:
+    found = saved(entity_pairs(docs, key), "pii-pairs")
+    if not (bad := collisions(found)).isEmpty():
+        raise ValueError(f"surrogates collide; a sample: {bad.limit(5).collect()}")
+
+
 def replace_pii(docs: DataFrame, key: bytes = DEFAULT_KEY, check: bool = True) -> DataFrame:
     """(doc_id, text, n_entities, kinds) per row of ``docs`` (doc_id, text).
 
@@ -288,9 +295,7 @@ def replace_pii(docs: DataFrame, key: bytes = DEFAULT_KEY, check: bool = True) -
     for two entities that share a surrogate, and a ValueError raised if there are any.
     """
     if check:
-        found = saved(entity_pairs(docs, key), "pii-pairs")
-        if not (bad := collisions(found)).isEmpty():
-            raise ValueError(f"surrogates collide; a sample: {bad.limit(5).collect()}")
+        _checked(docs, key)
 
     def work(cols: dict[str, list]) -> dict[str, list]:
         surrogates = Surrogates(key)
@@ -304,5 +309,22 @@ def replace_pii(docs: DataFrame, key: bytes = DEFAULT_KEY, check: bool = True) -
     return map_batches(rows, work, "doc_id long, text string, n_entities long, kinds string")
 
 
+def replace_in_place(docs: DataFrame, key: bytes = DEFAULT_KEY, check: bool = True) -> DataFrame:
+    """``docs``, all columns, with surrogates in ``text``; a null text stays null."""
+    if check:
+        _checked(docs, key)
+    at = docs.columns.index("text")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        surrogates = Surrogates(key)
+        for batch in batches:
+            texts = [t and replace_entities(t, surrogates)[0] for t in batch.column(at).to_pylist()]
+            columns = batch.columns
+            columns[at] = pa.array(texts, batch.schema.field(at).type)
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+    return docs.mapInArrow(work, docs.schema)
+
+
 def op8_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replace_pii(table(spark, sf_dir, "documents"))

@@ -9,8 +9,11 @@ numbers per language whatever the input.
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +32,8 @@ SYMBOLS = b"#*$%&|<>"
 
 CLASSES = ("lower", "upper", "digit", "space", "symbol", "punctuation", "beyond_ascii")
 
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "classes", "common")
+
 FEATURES = (
     "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
     "n_repeat_words long, classes array<long>, common array<long>"
@@ -95,9 +100,8 @@ def count_text(text: bytes) -> tuple:
 
 def _count_batch(cols: dict[str, list]) -> dict[str, list]:
     out: dict[str, list] = {"doc_id": cols["doc_id"], "lang": cols["lang"]}
-    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "classes", "common")
     rows = [count_text(t) for t in cols["text"]]
-    out |= {name: [row[i] for row in rows] for i, name in enumerate(names)}
+    out |= {name: [row[i] for row in rows] for i, name in enumerate(COUNTS)}
     return out
 
 
@@ -153,34 +157,90 @@ def _distances(counts: DataFrame, references: DataFrame) -> DataFrame:
     )
 
 
-def quality_rules(docs: DataFrame, max_class_distance: float = 0.13, max_word_distance: float = 0.4,
-                  min_chars: int = 60, min_words: int = 100, chance: float = 1.2,
-                  usual: float = 0.2) -> DataFrame:
+def usual_references(counts: DataFrame, usual: float) -> DataFrame:
+    """The references of ``quality_rules`` from a saved table of counts."""
+    first = _distances(counts, language_references(counts))
+    is_usual = (~F.col("base_failed") & (F.col("class_distance") <= usual)).cast("int")
+    return language_references(first.withColumns({
+        c: F.transform(c, lambda x: x * is_usual) for c in ("classes", "common")
+    }))
+
+
+def base_failed(n_words, n_repeat_words):
+    """Under 10 words, or over a fifth of them repeated; of columns or of arrays."""
+    return (n_words < 10) | (100 * n_repeat_words > 20 * n_words)
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    failed = base_failed(F.col("n_words"), F.col("n_repeat_words"))
+    return saved(count_documents(docs).withColumn("base_failed", failed), "quality-counts")
+
+
+@dataclass(frozen=True)
+class Bounds:
+    """The bounds of the verdict; ``quality_rules`` explains them."""
+
+    max_class_distance: float = 0.13
+    max_word_distance: float = 0.4
+    min_chars: int = 60
+    min_words: int = 100
+    chance: float = 1.2
+    usual: float = 0.2
+
+    def odd(self, n_words, word_chars, class_distance, word_distance, root, at_least_one):
+        """Whether a distance is out of bounds; of columns or of arrays."""
+        bound = self.max_class_distance + self.chance / root(at_least_one(word_chars))
+        return ((word_chars >= self.min_chars) & (class_distance > bound)) | (
+            (n_words >= self.min_words) & (word_distance > self.max_word_distance)
+        )
+
+
+def quality_rules(docs: DataFrame, bounds: Bounds = Bounds()) -> DataFrame:
     """Counts, distances and a verdict per row of ``docs`` (doc_id, text, lang).
 
     ``base_failed``: under 10 words, or over a fifth of the words in repeated windows.
     ``kept``: not base_failed, and both distances within bounds. A distance counts only for
     texts of at least ``min_chars`` word characters or ``min_words`` words; below, chance
     alone moves a histogram far. The bound of the class distance is ``max_class_distance`` plus
-    ``chance`` over the root of the word characters, as chance shrinks with length. A language's reference is first the sum of all its texts,
-    then of those that pass the base rules within ``usual`` of that sum, so that junk does not
-    shape what it is held against. A null lang is a language of its own, as is one where no
-    text is usual (its texts have distance 0). Repeated rows give repeated rows; other columns of
-    ``docs`` are ignored; an empty table gives none.
+    ``chance`` over the root of the word characters, as chance shrinks with length. A language's
+    reference is first the sum of all its texts, then of those that pass the base rules within
+    ``usual`` of that sum, so that junk does not shape what it is held against. A null lang is
+    a language of its own, as is one where no text is usual (its texts have distance 0).
+    Repeated rows give repeated rows; other columns of ``docs`` are ignored; an empty table gives
+    none.
     """
-    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    counts = saved(count_documents(docs).withColumn("base_failed", failed), "quality-counts")
-    first = _distances(counts, language_references(counts))
-    is_usual = (~F.col("base_failed") & (F.col("class_distance") <= usual)).cast("int")
-    usual_text = first.withColumns({
-        c: F.transform(c, lambda x: x * is_usual) for c in ("classes", "common")
-    })
-    scored = _distances(counts, language_references(usual_text))
-    bound = max_class_distance + chance / F.sqrt(F.greatest("word_chars", F.lit(1)))
-    odd = ((F.col("word_chars") >= min_chars) & (F.col("class_distance") > bound)) | (
-        (F.col("n_words") >= min_words) & (F.col("word_distance") > max_word_distance)
-    )
+    counts = _counted(docs)
+    scored = _distances(counts, usual_references(counts, bounds.usual))
+    odd = bounds.odd(F.col("n_words"), F.col("word_chars"), F.col("class_distance"), F.col("word_distance"),
+                     F.sqrt, lambda c: F.greatest(c, F.lit(1)))
     return scored.withColumn("kept", ~F.col("base_failed") & ~odd).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "class_distance", "word_distance", "base_failed", "kept",
     )
+
+
+def keep_good(docs: DataFrame, bounds: Bounds = Bounds()) -> DataFrame:
+    """The rows of ``docs``, all columns, that ``quality_rules`` keeps.
+
+    The verdict is made beside the row itself, so no text is shuffled and no id is needed. Rows
+    meet the reference of their language by a join, which sends out the few references.
+    """
+    references = usual_references(_counted(docs), bounds.usual)
+    lang = F.coalesce(docs["lang"].cast("string"), F.lit(""))
+    both = docs.join(references, lang == references["ref_lang"])
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
+            counts = [count_text(t) for t in texts]
+            cols = {name: np.array([row[i] for row in counts], dtype=float) for i, name in enumerate(COUNTS)}
+            refs = [np.array(batch.column(c).to_pylist(), dtype=float) for c in ("ref_classes", "ref_common")]
+            odd = bounds.odd(cols["n_words"], cols["word_chars"], js_distance(cols["classes"], refs[0]),
+                             js_distance(cols["common"], refs[1]), np.sqrt, lambda a: np.maximum(a, 1))
+            good = ~base_failed(cols["n_words"], cols["n_repeat_words"]) & ~odd
+            yield batch.filter(pa.array(good)).select(names)
+
+    names = docs.columns
+    return both.mapInArrow(keep, docs.schema)
