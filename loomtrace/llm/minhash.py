@@ -155,9 +155,45 @@ def _with_comp(members: DataFrame, labels: DataFrame) -> DataFrame:
     return members.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
 
-def links_of(docs: DataFrame, nodes: DataFrame, width: int, percent: int,
-             dense: int = 4) -> DataFrame | None:
-    """(node, comp) of all nodes linked with another, from ``nodes`` (node, rep, bands)."""
+def _prefix_buckets(sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(key, node): buckets in which any two of ``nodes`` that are similar enough meet.
+
+    Sort a set's shingles by how many of the nodes have them, rarest first. Two sets with
+    similarity p both hold one of the first (1 - p) * size + 1 of the other's (prefix filtering,
+    Chaudhuri et al., ICDE 2006). Shingles of one node alone come first and need no bucket, so
+    texts that only share a passage have no bucket at all.
+    """
+    some = sets.join(nodes, "node").select("node", F.size("shingles").alias("size"), F.explode("shingles").alias("key"))
+    some = saved(some, "near-shingles")
+    common = some.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    ranked = some.join(common, "key").groupBy("node", "size").agg(
+        F.sort_array(F.collect_list(F.struct("df", "key"))).alias("rare"))  # one text's shingles
+    prefix = F.col("size") - F.ceil(F.col("size") * percent / 100) + 1
+    left = prefix - (F.col("size") - F.size("rare"))  # the places that single shingles do not fill
+    return ranked.where(left > 0).select(
+        "node", F.explode(F.slice("rare.key", F.lit(1), left.cast("int"))).alias("key")).select("key", "node")
+
+
+def _open_buckets(members: DataFrame) -> DataFrame:
+    """(key, total, main, others): buckets of ``members`` (key, node, comp) with two components or more.
+
+    ``main`` is the component with most members, ``others`` the number of members outside it.
+    """
+    parts = members.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
+    return parts.groupBy("key").agg(
+        F.sum("n").alias("total"), F.max(F.struct("n", "comp")).alias("most"), F.count(F.lit(1)).alias("n_comps"),
+    ).where("n_comps > 1").select("key", "total", F.col("most.comp").alias("main"),
+                                  (F.col("total") - F.col("most.n")).alias("others"))
+
+
+def links_of(docs: DataFrame, nodes: DataFrame, width: int, percent: int, dense: int = 4) -> DataFrame:
+    """(node, comp) of all nodes linked with another, from ``nodes`` (node, rep, bands).
+
+    After the first star, buckets with two components or more go on: a further centre each as
+    long as that joins many; then, where the members only look alike, the exact buckets of
+    ``_prefix_buckets`` in their place. Once few members stand apart (``dense`` pairs a row at
+    most), each of them meets all others of its bucket.
+    """
     members = nodes.select("node", F.explode("bands").alias("key"))
     centres = _centres(members).where("n > 1")
     shared = saved(members.join(centres, "key").select("key", "node", "centre", "n"), "near-buckets")
@@ -169,35 +205,38 @@ def links_of(docs: DataFrame, nodes: DataFrame, width: int, percent: int,
     links = saved(confirmed(star, sets, percent), "near-links")
     labels = _labels(links)
 
-    # Buckets of three or more whose members are not in one component: more centres.
     rest = shared.where((F.col("n") > 2) & (F.col("node") != F.col("centre"))).select("key", "node")
+    apart_before, exact = None, False
     while True:
         rest = saved(_with_comp(rest, labels), "near-rest")
-        parts = rest.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
-        main = saved(parts.groupBy("key").agg(
-            F.sum("n").alias("total"), F.max(F.struct("n", "comp")).alias("most"), F.count(F.lit(1)).alias("n_comps"),
-        ).where("n_comps > 1").select("key", "total", F.col("most.comp").alias("main"),
-                                      (F.col("total") - F.col("most.n")).alias("others")), "near-main")
-        work = main.agg(F.sum(F.col("others") * F.col("total")).alias("pairs"), F.sum("total").alias("rows")).first()
+        main = saved(_open_buckets(rest), "near-open")
+        work = main.agg(F.sum(F.col("others") * F.col("total")).alias("pairs"), F.sum("total").alias("rows"),
+                        F.sum("others").alias("apart")).first()
         if not work["rows"]:
             return labels
-        open_rows = rest.join(main, "key")
-        if work["pairs"] <= dense * work["rows"]:
-            # Few stand apart: each of them against all others of its bucket ends the search.
-            apart = open_rows.where(F.col("comp") != F.col("main")).select(
+        few = work["pairs"] <= dense * work["rows"]
+        rest = rest.join(main, "key")
+        if not few and not exact and apart_before is not None and work["apart"] > 0.7 * apart_before:
+            rest = saved(_prefix_buckets(sets, rest.select("node").distinct(), percent), "near-prefixes")
+            apart_before, exact = None, True
+            continue
+        apart_before = work["apart"]
+        if few:
+            apart = rest.where(F.col("comp") != F.col("main")).select(
                 "key", F.col("node").alias("u"), F.col("comp").alias("u_comp"))
-            pairs = rest.join(apart, "key").where(F.col("comp") != F.col("u_comp")).select("u", F.col("node").alias("v"))
-            rest = None
+            pairs = rest.join(apart, "key").where(F.col("comp") != F.col("u_comp"))
+            pairs = pairs.select("u", F.col("node").alias("v"))
         else:
-            centre = open_rows.groupBy("key").agg(F.min(F.struct(
+            centre = rest.groupBy("key").agg(F.min(F.struct(
                 (F.col("comp") == F.col("main")).alias("in_main"), "node", "comp")).alias("c"))
-            dealt = rest.join(centre, "key").where(F.col("node") != F.col("c.node"))
-            pairs = dealt.where(F.col("comp") != F.col("c.comp")).select(F.col("c.node").alias("u"), F.col("node").alias("v"))
-            rest = dealt.select("key", "node")
+            rest = rest.join(centre, "key").where(F.col("node") != F.col("c.node"))
+            pairs = rest.where(F.col("comp") != F.col("c.comp")).select(
+                F.col("c.node").alias("u"), F.col("node").alias("v"))
+            rest = rest.select("key", "node")
         pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
         links = saved(links.unionByName(confirmed(pairs, sets, percent)).distinct(), "near-links")
         labels = _labels(links)
-        if rest is None:
+        if few:
             return labels
 
 
