@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 UNKNOWN = "UNKNOWN"
 OBSTACLE = "OBSTACLE"
 
-# Up to here the alias names go into the plan as literals; beyond, they are joined.
-LITERAL_ALIASES = 200
-
 
 def or_unknown(net: Column) -> Column:
     return F.coalesce(net, F.lit(UNKNOWN))
@@ -45,14 +42,6 @@ def unify(df: DataFrame, column: str, aliases: dict[str, str]) -> DataFrame:
     changed = {name: rep for name, rep in aliases.items() if name != rep}
     if not changed:
         return df
-    if len(changed) <= LITERAL_ALIASES:
-        by_rep: dict[str, list[str]] = {}
-        for name, rep in changed.items():
-            by_rep.setdefault(rep, []).append(name)
-        value = F.col(column)
-        for rep, names in by_rep.items():
-            value = F.when(F.col(column).isin(names), F.lit(rep)).otherwise(value)
-        return df.withColumn(column, value)
     table = df.sparkSession.createDataFrame(list(changed.items()), "_alias string, _rep string")
     return (
         df.join(table, df[column] == table["_alias"], "left")

@@ -5,34 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtrace.operators.skew import HOT_ROWS, balanced_join
-from loomtrace.workspace import Workspace, row_count
-
-MAX_ROUNDS = 200
+from loomtrace.workspace import Workspace
 
 
 def _parents(links: DataFrame) -> DataFrame:
     return links.groupBy("hi").agg(F.min("lo").alias("parent"))
 
 
-def _large_star(links: DataFrame, rows: int, threshold: int) -> DataFrame:
+def _large_star(links: DataFrame) -> DataFrame:
     """Point every node at the least neighbor of its smaller neighbor."""
     parents = _parents(links).withColumnRenamed("hi", "lo")
-    joined = balanced_join(links, parents, ["lo"], "left", threshold, True, rows)
-    return joined.select("hi", F.coalesce("parent", "lo").alias("lo"))
+    return links.join(parents, "lo", "left").select("hi", F.coalesce("parent", "lo").alias("lo"))
 
 
-def _small_star(links: DataFrame, rows: int, threshold: int) -> DataFrame:
+def _small_star(links: DataFrame) -> DataFrame:
     """Point a node and all its smaller neighbors at the least of them."""
-    joined = balanced_join(links, _parents(links), ["hi"], "inner", threshold, True, rows)
-    moved = joined.select(
+    moved = links.join(_parents(links), "hi").select(
         F.explode(F.array("hi", "lo")).alias("hi"), F.col("parent").alias("lo")
     )
     return moved.where(F.col("hi") != F.col("lo")).distinct()
 
 
-def _progress(links: DataFrame) -> tuple[int, bool]:
-    """(number of links, whether they form a star forest).
+def _is_star_forest(links: DataFrame) -> bool:
+    """Whether the links are final.
 
     In a star forest every node points at one other node, and nobody points at a node that
     itself points on.
@@ -45,16 +40,15 @@ def _progress(links: DataFrame) -> tuple[int, bool]:
         F.sum("points").alias("out"), F.max(1 - F.col("points")).alias("target")
     )
     settled = F.col("out") + F.col("target") <= 1
-    row = nodes.agg(F.sum("out").alias("rows"), F.bool_and(settled).alias("stars")).first()
-    return row["rows"] or 0, row["stars"] is not False
+    return nodes.where(~settled).isEmpty()
 
 
-def connected_components(edges: DataFrame, ws: Workspace, threshold: int = HOT_ROWS) -> DataFrame:
+def connected_components(edges: DataFrame, ws: Workspace) -> DataFrame:
     """(idx, comp_id) for every node of ``edges`` (u, v); comp_id is the least idx inside.
 
     Alternating large-star / small-star (Kiveris et al., SoCC 2014): the number of rounds
     grows with the logarithm of the graph, not with its longest path, and the link table
-    never grows. The driver only sees one row count and one yes/no per round.
+    never grows. The driver only sees one yes/no per round. Labels only fall, so the loop ends.
     """
     first = ws.save(
         edges.select(F.greatest("u", "v").alias("hi"), F.least("u", "v").alias("lo")).distinct(),
@@ -62,16 +56,11 @@ def connected_components(edges: DataFrame, ws: Workspace, threshold: int = HOT_R
     )
     links = first.where(F.col("hi") != F.col("lo"))
     before = None
-    for _ in range(MAX_ROUNDS):
-        rows, stars = _progress(links)
-        if stars:
-            break
-        links = ws.save(_small_star(_large_star(links, rows, threshold), rows, threshold), "links")
+    while not _is_star_forest(links):
+        links = ws.save(_small_star(_large_star(links)), "links")
         if before is not None:
             ws.drop(before)
         before = links
-    else:
-        raise RuntimeError("components did not settle")
     # A wire that a via joins only to itself is a node with no link.
     loops = first.where(F.col("hi") == F.col("lo"))
     centers = links.unionByName(loops).select("lo").distinct().select(
@@ -123,11 +112,11 @@ def overall_consistency(report: DataFrame) -> DataFrame:
     )
 
 
-def first_conflicts(members: DataFrame, threshold: int = HOT_ROWS) -> DataFrame:
+def first_conflicts(members: DataFrame) -> DataFrame:
     """(comp_id, idx, net, expected): the first wire whose name is not the component's."""
     nets = component_nets(members)
     expected = nets.groupBy("comp_id").agg(F.min("net").alias("expected"))
-    others = balanced_join(nets, expected, ["comp_id"], "inner", threshold, True, row_count(members))
+    others = nets.join(expected, "comp_id")
     first = F.min(F.struct(F.col("first_idx").alias("idx"), "net")).alias("first")
     return (
         others.where(F.col("net") != F.col("expected"))

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from loomtrace.functions.layers import is_vertical
 from loomtrace.operators.ordering import number_in_order
-from loomtrace.operators.skew import HOT_ROWS, balanced_join
 from loomtrace.workspace import Workspace
 
 # Wires are filed in bins along the track. A wire goes to the first scale whose bins are
@@ -93,7 +92,7 @@ def site_edges(vias: DataFrame, metals: DataFrame, orientation: dict[int, bool],
 
 
 def via_metal_lookup(vias: DataFrame, metals: DataFrame, orientation: dict[int, bool],
-                     closed: bool = False, threshold: int = HOT_ROWS) -> DataFrame:
+                     closed: bool = False) -> DataFrame:
     """(vidx, hits, u, v) for every via, parallel ones included; hits is 0 off the wires."""
     sites = via_sites(vias)
     hits = site_hits(sites, metals, orientation, closed)
@@ -101,9 +100,7 @@ def via_metal_lookup(vias: DataFrame, metals: DataFrame, orientation: dict[int,
         sites.select(*SITE, "vidx").join(hits, "vidx", "left").drop("vidx")
         .withColumn("hits", F.coalesce("hits", F.lit(0)))
     )
-    found = balanced_join(vias.select("vidx", *SITE), by_site, SITE, threshold=threshold,
-                          unique_right=True)
-    return found.select("vidx", "hits", "u", "v")
+    return vias.select("vidx", *SITE).join(by_site, SITE).select("vidx", "hits", "u", "v")
 
 
 def connect_edges(vias: DataFrame, metals: DataFrame, orientation: dict[int, bool],
@@ -130,15 +127,12 @@ def vias_in_order(vias: DataFrame, ws: Workspace) -> DataFrame:
     return number_in_order(vias.select("type", "x", "y", "vidx"), ["type", "x", "y", "vidx"], "place", ws)
 
 
-def metal_via_lookup(metals: DataFrame, vias: DataFrame, orientation: dict[int, bool],
-                     threshold: int = HOT_ROWS) -> DataFrame:
+def metal_via_lookup(metals: DataFrame, vias: DataFrame, orientation: dict[int, bool]) -> DataFrame:
     """(idx, vidx): the vias on each wire, both wire ends included."""
     sites = via_sites(vias).select("vidx", *SITE)
     points = endpoints(sites, orientation, once=True).select("vidx", "layer", "p", "s")
     on_site = sites.join(locate(points, metals, closed=True).select("vidx", "idx"), "vidx")
-    found = balanced_join(vias.select("vidx", *SITE), on_site.drop("vidx"), SITE,
-                          threshold=threshold, unique_right=True)
-    return found.select("idx", "vidx")
+    return vias.select("vidx", *SITE).join(on_site.drop("vidx"), SITE).select("idx", "vidx")
 
 
 def adjacency(edges: DataFrame) -> DataFrame:

@@ -16,17 +16,16 @@ from pyspark.sql import functions as F
 from loomtrace.functions.affine import AFFINE, compose, placement
 from loomtrace.functions.nets import UNKNOWN, is_placeholder
 from loomtrace.operators.ordering import running_sum_before
-from loomtrace.operators.skew import HOT_ROWS, balanced_join
 from loomtrace.sources.library import CELL, MICROTEMPLATES, Layout
 from loomtrace.workspace import Workspace, row_count
 
 SUB = ["sub_lib", "sub_cell"]
 BLOCK = [*CELL, "ord"]
 JOINT = "__"  # fixed value: between the parts of a hierarchical name
-CHAINED_LEVELS = 4  # deeper hierarchies are written out level by level
 
 
 def _some(df: DataFrame) -> list:
+    """A sample, for error messages."""
     return [tuple(row) for row in df.limit(5).collect()]
 
 
@@ -39,24 +38,26 @@ def usable_blocks(blocks: DataFrame, lib: str, cell: str) -> DataFrame:
 def reachable_cells(spark: SparkSession, lib: str, cell: str,
                     blocks_of: Callable[[list[str]], DataFrame], ws: Workspace,
                     discover: bool = True) -> DataFrame:
-    """(lib, cell) of the top cell and of everything below it.
+    """(lib, cell, depth) of the top cell and of everything below it; depth is the longest way.
 
     ``blocks_of(libs)`` supplies the subblocks of all libraries seen so far; it is told the
     library names of each new level, so that libraries can be read when first needed. Without
     ``discover`` the first answer holds all subblocks, and no names are gathered.
     """
     frontier = spark.createDataFrame([(lib, cell)], "lib string, cell string")
-    visited, blocks = frontier, usable_blocks(blocks_of([lib]), lib, cell)
+    blocks = usable_blocks(blocks_of([lib]), lib, cell)
+    levels = [frontier.withColumn("depth", F.lit(0))]
     while True:
-        below = (
-            blocks.join(frontier, CELL, "left_semi")
-            .select(F.col("sub_lib").alias("lib"), F.col("sub_cell").alias("cell")).distinct()
-            .join(visited, CELL, "left_anti")
-        )
+        depth = len(levels)
+        below = blocks.join(frontier, CELL, "left_semi").select(
+            F.col("sub_lib").alias("lib"), F.col("sub_cell").alias("cell")).distinct()
         frontier = ws.save(below, "reach")
         if row_count(frontier) == 0:
-            return visited
-        visited = visited.unionByName(frontier)
+            return _union(levels).groupBy(*CELL).agg(F.max("depth").alias("depth"))
+        levels.append(frontier.withColumn("depth", F.lit(depth)))
+        if depth & (depth - 1) == 0 and depth > 8 and depth > _union(levels).select(*CELL).distinct().count():
+            # A way with more steps than there are cells comes back to one of them.
+            raise ValueError(f"cells that contain themselves, among: {_some(frontier)}")
         if discover:
             libs = sorted(row.lib for row in frontier.select("lib").distinct().collect())
             blocks = usable_blocks(blocks_of(libs), lib, cell)
@@ -72,40 +73,31 @@ def check_cells(reach: DataFrame, cells: DataFrame) -> None:
 def subtree_sizes(reach: DataFrame, blocks: DataFrame, vias: DataFrame, ws: Workspace) -> tuple[DataFrame, int]:
     """(lib, cell, own_vias, n_inst, n_vias) of every cell, and the height of the hierarchy.
 
-    Cells are finished from the leaves up, one level per round; cells that are never
-    finished place themselves.
+    The deepest cells come first; by its turn a cell finds all its children done.
     """
     own = reach.join(vias.groupBy(*CELL).agg(F.count(F.lit(1)).alias("own_vias")), CELL, "left").select(
-        *CELL, F.coalesce("own_vias", F.lit(0)).alias("own_vias")
+        *CELL, "depth", F.coalesce("own_vias", F.lit(0)).alias("own_vias")
     )
     own = ws.save(own, "own")
-    links = blocks.groupBy(*CELL, *SUB).agg(F.count(F.lit(1)).alias("copies"))
-    links = ws.save(links, "links")
-    leaf = own.join(links, CELL, "left_anti").select(
-        "*", F.lit(1).cast("bigint").alias("n_inst"), F.col("own_vias").alias("n_vias")
-    )
-    sized = ws.save(leaf, "sized")
-    total, done, height = row_count(own), row_count(sized), 0
-    while done < total:
-        below = sized.select(
-            F.col("lib").alias("sub_lib"), F.col("cell").alias("sub_cell"), "n_inst", "n_vias"
-        )
-        ready = (
-            links.join(sized, CELL, "left_anti").join(below, SUB, "left").groupBy(*CELL)
-            .agg(F.bool_and(F.col("n_inst").isNotNull()).alias("ready"),
-                 (1 + F.sum(F.col("copies") * F.col("n_inst"))).alias("n_inst"),
-                 F.sum(F.col("copies") * F.col("n_vias")).alias("below_vias"))
-            .where("ready")
-        )
-        ready = ws.save(own.join(ready, CELL).select(
-            *CELL, "own_vias", "n_inst", (F.col("own_vias") + F.col("below_vias")).alias("n_vias")
-        ), "sized")
-        added = row_count(ready)
-        if added == 0:
-            stuck = _some(own.select(*CELL).join(sized, CELL, "left_anti"))
-            raise ValueError(f"cells that contain themselves: {stuck}")
-        sized, done, height = sized.unionByName(ready), done + added, height + 1
-    return sized, height
+    links = ws.save(blocks.groupBy(*CELL, *SUB).agg(F.count(F.lit(1)).alias("copies")), "links")
+    height = own.agg(F.max("depth")).first()[0]
+    sized: list[DataFrame] = []
+    for depth in range(height, -1, -1):
+        ready = own.where(F.col("depth") == depth)
+        if sized:
+            below = _union(sized).select(
+                F.col("lib").alias("sub_lib"), F.col("cell").alias("sub_cell"), "n_inst", "n_vias")
+            held = links.join(below, SUB).groupBy(*CELL).agg(
+                F.sum(F.col("copies") * F.col("n_inst")).alias("inst"),
+                F.sum(F.col("copies") * F.col("n_vias")).alias("vias"))
+            ready = ready.join(held, CELL, "left")
+        else:
+            ready = ready.withColumns({"inst": F.lit(0), "vias": F.lit(0)})
+        sized.append(ws.save(ready.select(
+            *CELL, "own_vias", (1 + F.coalesce("inst", F.lit(0))).cast("bigint").alias("n_inst"),
+            (F.col("own_vias") + F.coalesce("vias", F.lit(0))).cast("bigint").alias("n_vias"),
+        ), "sized"))
+    return _union(sized), height
 
 
 def number_blocks(blocks: DataFrame, sized: DataFrame) -> DataFrame:
@@ -129,8 +121,7 @@ def cell_names(wires: DataFrame) -> DataFrame:
     return wires.where(F.col("net").isNotNull()).select(*CELL, "kind", "net").distinct()
 
 
-def block_names(block_pins: DataFrame, drawn: DataFrame, blocks: DataFrame, lib: str, cell: str,
-                threshold: int = HOT_ROWS) -> DataFrame:
+def block_names(block_pins: DataFrame, drawn: DataFrame, blocks: DataFrame, lib: str, cell: str) -> DataFrame:
     """(lib, cell, ord, key, ref, kind): the names a subblock's instance can look up.
 
     kind 'pin': ``key`` is bound to the parent's name ``ref`` by the subblock's pin list;
@@ -151,8 +142,7 @@ def block_names(block_pins: DataFrame, drawn: DataFrame, blocks: DataFrame, lib:
         names = drawn.where(F.col("kind") == kind).select(
             F.col("lib").alias("sub_lib"), F.col("cell").alias("sub_cell"), F.col("net").alias("key")
         )
-        return balanced_join(blocks.select(*BLOCK, *SUB), names, SUB, threshold=threshold,
-                             left_rows=row_count(blocks), right_rows=row_count(drawn))
+        return blocks.select(*BLOCK, *SUB).join(names, SUB)
 
     labels = names_of_children("label").join(pins, [*BLOCK, "key"], "left_anti").select(
         *BLOCK, "key", F.col("key").alias("ref"), F.lit("label").alias("kind")
@@ -176,67 +166,55 @@ def block_names(block_pins: DataFrame, drawn: DataFrame, blocks: DataFrame, lib:
 class Instances:
     """instances: idx, parent_idx, path, depth, lib, cell, inst_name, m_name, a..ty, width, height, via_base
     scope: idx, lib, cell, a..ty, key, net   (what each name means inside an instance)
-
-    ``n_inst`` is the number of instances, ``most_names`` a bound on the rows of ``scope``.
     """
 
     instances: DataFrame
     scope: DataFrame
-    n_inst: int
-    most_names: int
 
 
-def _top_level(cells: DataFrame, drawn: DataFrame, lib: str, cell: str) -> tuple[DataFrame, DataFrame]:
-    """The top cell as an instance, and its scope: every name there means itself."""
-    is_top = (F.col("lib") == lib) & (F.col("cell") == cell)
+@dataclass(frozen=True)
+class Expanded:
+    """The levels of instances, top first, with what binding names needs; saved tables all."""
+
+    levels: list[DataFrame]
+    blocks: DataFrame
+
+    @property
+    def instances(self) -> DataFrame:
+        return _union([level.drop(*PARENT) for level in self.levels])
+
+
+PARENT = ["_lib", "_cell", "_ord", "_parent_name"]
+
+
+def _top_level(cells: DataFrame, lib: str, cell: str) -> DataFrame:
+    """The top cell as an instance."""
     identity = {"a": 1, "b": 0, "c": 0, "d": 1, "tx": 0, "ty": 0}
     big = lambda v: F.lit(v).cast("bigint")
-    level = cells.where(is_top).select(
+    return cells.where((F.col("lib") == lib) & (F.col("cell") == cell)).select(
         big(1).alias("idx"), big(None).alias("parent_idx"), F.array(F.lit(0)).alias("path"),
         F.lit(0).alias("depth"), *CELL, F.lit(cell).alias("inst_name"), F.lit(cell).alias("m_name"),
         *[big(v).alias(n) for n, v in identity.items()], big(0).alias("via_base"), "width", "height",
     )
-    scope = drawn.where(is_top).select("net").distinct().select(
-        big(1).alias("idx"), F.lit(lib).alias("lib"), F.lit(cell).alias("cell"),
-        *[big(v).alias(n) for n, v in identity.items()], F.col("net").alias("key"), "net",
-    )
-    return level, scope
-
 
-def expand(cells: DataFrame, drawn: DataFrame, blocks: DataFrame, names: DataFrame, lib: str, cell: str,
-           height: int, n_inst: int, ws: Workspace, threshold: int = HOT_ROWS,
-           strict_null: bool = False) -> Instances:
-    """All instances below one top cell. ``blocks`` carries the offsets of ``number_blocks``.
 
-    A terminal bound to no net gets a name made up from the parent's below the first level,
-    as any other unbound name does; with ``strict_null`` it stays unknown everywhere.
-
-    The number of instances is known beforehand. A large design is written out level by
-    level, so that no level is worked out twice; a small, shallow one stays one plan.
-    """
-    sizes = cells.select(*CELL, "width", "height")
+def expand_instances(layout: Layout, reach: DataFrame, lib: str, cell: str, ws: Workspace) -> Expanded:
+    """All instances below one top cell, each level one join of the level above with the subblocks."""
+    usable = ws.save(usable_blocks(layout.subblocks, lib, cell).join(reach, CELL, "left_semi"), "usable")
+    sized, height = subtree_sizes(reach, usable, layout.vias, ws)
+    sizes = layout.cells.select(*CELL, "width", "height")
     moves = placement(F.col("transform"), F.col("x"), F.col("y"))
     blocks = ws.save(
-        blocks.select(*BLOCK, *SUB, "name", "inst_offset", "via_offset",
-                      *[c.alias(f"c_{n}") for n, c in moves.items()])
+        number_blocks(usable, sized).select(
+            *BLOCK, *SUB, "name", "inst_offset", "via_offset", *[c.alias(f"c_{n}") for n, c in moves.items()])
         .join(sizes.withColumnsRenamed({"lib": "sub_lib", "cell": "sub_cell"}), SUB),
         "blocks",
     )
-    names = ws.save(names, "names")
-    widest = names.groupBy(*BLOCK).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    most = n_inst * max(widest, 1)  # no level and no scope has more rows
-    large = most > threshold or height > CHAINED_LEVELS
-    keep = ws.save if large else lambda df, name: df
-    binds = names.withColumnsRenamed({"lib": "_lib", "cell": "_cell", "ord": "_ord"})
-    level, scope = _top_level(cells, drawn, lib, cell)
-    levels, scopes = [keep(level, "level")], [keep(scope, "scope")]
-    known = {"left_rows": None if large else most}
+    levels = [ws.save(_top_level(layout.cells, lib, cell), "level")]
     for depth in range(1, height + 1):
-        parents = levels[-1].drop("width", "height")
-        joined = balanced_join(parents, blocks, CELL, "inner", threshold,
-                               right_rows=row_count(blocks), **known)
+        joined = levels[-1].drop("width", "height", *PARENT).join(blocks, CELL)
         moved = compose({n: F.col(n) for n in AFFINE}, {n: F.col(f"c_{n}") for n in AFFINE})
-        level = keep(joined.select(
+        levels.append(ws.save(joined.select(
             (F.col("idx") + F.col("inst_offset")).alias("idx"), F.col("idx").alias("parent_idx"),
             F.concat("path", F.array("ord")).alias("path"), F.lit(depth).alias("depth"),
             F.col("sub_lib").alias("lib"), F.col("sub_cell").alias("cell"),
@@ -245,9 +223,25 @@ def expand(cells: DataFrame, drawn: DataFrame, blocks: DataFrame, names: DataFra
             (F.col("via_base") + F.col("via_offset")).alias("via_base"), "width", "height",
             F.col("lib").alias("_lib"), F.col("cell").alias("_cell"), F.col("ord").alias("_ord"),
             F.col("m_name").alias("_parent_name"),
-        ), "level")
-        asked = balanced_join(level, binds, ["_lib", "_cell", "_ord"], "inner", threshold,
-                              right_rows=row_count(names), **known)
+        ), "level"))
+    return Expanded(levels, usable)
+
+
+def bind_names(layout: Layout, expanded: Expanded, lib: str, cell: str, ws: Workspace,
+               strict_null: bool = False) -> DataFrame:
+    """(idx, lib, cell, a..ty, key, net): what each name means inside each instance.
+
+    A terminal bound to no net gets a name made up from the parent's below the first level,
+    as any other unbound name does; with ``strict_null`` it stays unknown everywhere.
+    """
+    drawn = ws.save(cell_names(layout.wires), "drawn")
+    names = ws.save(block_names(layout.block_pins, drawn, expanded.blocks, lib, cell), "names")
+    binds = names.withColumnsRenamed({"lib": "_lib", "cell": "_cell", "ord": "_ord"})
+    own = drawn.select(*CELL, F.col("net").alias("key")).distinct()
+    top = expanded.levels[0].join(own, CELL)  # in the top cell every name means itself
+    scopes = [ws.save(top.select("idx", *CELL, *AFFINE, "key", F.col("key").alias("net")), "scope")]
+    for depth, level in enumerate(expanded.levels[1:], start=1):
+        asked = level.join(binds, ["_lib", "_cell", "_ord"])
         inside = F.concat_ws(JOINT, "m_name", "key")
         if depth == 1:
             # The top cell knows every name; unbound labels of its children stay theirs.
@@ -255,19 +249,14 @@ def expand(cells: DataFrame, drawn: DataFrame, blocks: DataFrame, names: DataFra
         else:
             outer = scopes[-1].select(F.col("idx").alias("parent_idx"), F.col("key").alias("ref"),
                                       F.col("net").alias("_net"))
-            asked = balanced_join(asked, outer, ["parent_idx", "ref"], "left", threshold, True,
-                                  **known)
+            asked = asked.join(outer, ["parent_idx", "ref"], "left")
             net = F.when(F.col("kind") == "own", inside).otherwise(
                 F.coalesce("_net", F.concat_ws(JOINT, "_parent_name", "ref"))
             )
         if strict_null:
             net = F.when(F.col("ref") == UNKNOWN, F.lit(UNKNOWN)).otherwise(net)
-        scopes.append(keep(asked.select("idx", *CELL, *AFFINE, "key", net.alias("net")), "scope"))
-        levels.append(level.drop("_lib", "_cell", "_ord", "_parent_name"))
-    instances, scope = _union(levels), _union(scopes)
-    if not large:
-        instances, scope = ws.save(instances, "instances"), ws.save(scope, "scope")
-    return Instances(instances, scope, n_inst, most + row_count(drawn))
+        scopes.append(ws.save(asked.select("idx", *CELL, *AFFINE, "key", net.alias("net")), "scope"))
+    return _union(scopes)
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -278,17 +267,10 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 
 def build_instances(layout: Layout, reach: DataFrame, lib: str, cell: str, ws: Workspace,
-                    threshold: int = HOT_ROWS, strict_null: bool = False) -> Instances:
+                    strict_null: bool = False) -> Instances:
     """From the definitions of the reachable cells to instances and their scopes."""
-    blocks = usable_blocks(layout.subblocks, lib, cell).join(reach, CELL, "left_semi")
-    blocks = ws.save(blocks, "usable")
-    sized, height = subtree_sizes(reach, blocks, layout.vias, ws)
-    n_inst = sized.where((F.col("lib") == lib) & (F.col("cell") == cell)).first()["n_inst"]
-    drawn = ws.save(cell_names(layout.wires), "drawn")
-    names = block_names(layout.block_pins, drawn, blocks, lib, cell, threshold)
-    blocks = number_blocks(blocks, sized)
-    return expand(layout.cells, drawn, blocks, names, lib, cell, height, n_inst, ws, threshold,
-                  strict_null)
+    expanded = expand_instances(layout, reach, lib, cell, ws)
+    return Instances(expanded.instances, bind_names(layout, expanded, lib, cell, ws, strict_null))
 
 
 def tree_dump(instances: DataFrame) -> DataFrame:

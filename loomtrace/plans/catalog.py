@@ -109,57 +109,65 @@ def affine_vias(spark, sf):
 
 # ---------------------------------------------------------------- hierarchy and flatten
 
-def _design(spark, sf):
+def _cells(spark, sf):
+    """The layout, its reachable cells, and where tables go."""
     ws = Workspace(spark)
     layout = dt.hierarchy(spark, sf)
     links = ws.save(layout.subblocks.select(*CELL, *hierarchy.SUB).distinct(), "links")
     reach = hierarchy.reachable_cells(spark, dt.LIB, dt.CHIP, lambda libs: links, ws, False)
     hierarchy.check_cells(reach, layout.cells)
-    return layout, hierarchy.build_instances(layout, reach, dt.LIB, dt.CHIP, ws)
+    return layout, reach, ws
+
+
+def _placed(spark, sf):
+    layout, reach, ws = _cells(spark, sf)
+    return layout, hierarchy.expand_instances(layout, reach, dt.LIB, dt.CHIP, ws).instances
+
+
+def _design(spark, sf, strict_null=False):
+    layout, reach, ws = _cells(spark, sf)
+    return layout, hierarchy.build_instances(layout, reach, dt.LIB, dt.CHIP, ws, strict_null), ws
 
 
 @query
 def hierarchy_expand(spark, sf):
-    _, placed = _design(spark, sf)
-    return placed.instances.select("idx", "parent_idx", "depth", "cell", "inst_name", "m_name",
+    _, instances = _placed(spark, sf)
+    return instances.select("idx", "parent_idx", "depth", "cell", "inst_name", "m_name",
                                    *AFFINE, "width", "height")
 
 
 @query
 def net_propagation(spark, sf):
-    _, placed = _design(spark, sf)
+    _, placed, _ = _design(spark, sf)
     return placed.scope.select("idx", "cell", "key", "net")
 
 
 @query
 def flatten_metals(spark, sf):
-    layout, placed = _design(spark, sf)
+    layout, placed, _ = _design(spark, sf)
     return flat_wires(layout, placed, dt.ORIENTATION)
 
 
 @query
 def flatten_vias(spark, sf):
-    layout, placed = _design(spark, sf)
-    return flat_vias(layout, placed, dt.CONFIG).select("vidx", "type", "x", "y", "ext_x", "ext_y", "inst_idx")
+    layout, instances = _placed(spark, sf)
+    return flat_vias(layout, instances, dt.CONFIG).select("vidx", "type", "x", "y", "ext_x", "ext_y", "inst_idx")
 
 
 @query
 def cell_task_list(spark, sf):
-    _, placed = _design(spark, sf)
-    return hierarchy.task_list(placed.instances)
+    return hierarchy.task_list(_placed(spark, sf)[1])
 
 
 @query
 def tree_dump(spark, sf):
-    _, placed = _design(spark, sf)
-    return hierarchy.tree_dump(placed.instances)
+    return hierarchy.tree_dump(_placed(spark, sf)[1])
 
 
 @query
 def cell_subtrees(spark, sf):
-    ws = Workspace(spark)
-    layout = dt.hierarchy(spark, sf)
-    sized, _ = hierarchy.subtree_sizes(layout.cells.select(*CELL), layout.subblocks, layout.vias, ws)
+    layout, reach, ws = _cells(spark, sf)
+    sized, _ = hierarchy.subtree_sizes(reach, layout.subblocks, layout.vias, ws)
     return sized.select("cell", "own_vias", "n_inst", "n_vias")
 
 

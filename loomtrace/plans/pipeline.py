@@ -149,7 +149,7 @@ def load_db(path_runset: str, spark: SparkSession | None = None, store: str | No
         _check_complete(layout)
         _check_via_types(layout, config)
     placed = build_instances(layout, reach, lib, cell, ws, strict_null=strict_null)
-    log.info("%s/%s: %d instances", lib, cell, placed.n_inst)
+    log.info("%s/%s: expanded", lib, cell)
     return Database(runset, config, layout, placed, ws)
 
 
@@ -159,11 +159,13 @@ def ingest(path_runset: str, store: str, spark: SparkSession | None = None) -> N
     runset = read_runset(path_runset)
     config = read_config(runset.config_file_path)
     ws = Workspace(spark)
-    libraries = _Libraries(spark, runset.db_dir, ws)
-    reach = reachable_cells(spark, runset.libname, runset.cellname, libraries.blocks_of, ws)
-    check_cells(reach, libraries.cells)
-    write_store(layout_of(libraries.cells.join(reach, CELL, "left_semi"), config), store)
-    ws.close()
+    try:
+        libraries = _Libraries(spark, runset.db_dir, ws)
+        reach = reachable_cells(spark, runset.libname, runset.cellname, libraries.blocks_of, ws)
+        check_cells(reach, libraries.cells)
+        write_store(layout_of(libraries.cells.join(reach, CELL, "left_semi"), config), store)
+    finally:
+        ws.close()
 
 
 def flatten(path_runset: str, spark: SparkSession | None = None, store: str | None = None,
@@ -171,7 +173,7 @@ def flatten(path_runset: str, spark: SparkSession | None = None, store: str | No
     """All wires and vias of the design in top coordinates."""
     db = load_db(path_runset, spark, store, True, strict_null)
     wires = flat_wires(db.layout, db.placed, db.config.orientation)
-    return Flat(db, wires, flat_vias(db.layout, db.placed, db.config))
+    return Flat(db, wires, flat_vias(db.layout, db.placed.instances, db.config))
 
 
 def merge_vector(path_runset: str, spark: SparkSession | None = None, store: str | None = None,

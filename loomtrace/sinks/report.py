@@ -12,11 +12,11 @@ from loomtrace.operators.components import (
     component_report, first_conflicts, overall_consistency,
 )
 from loomtrace.operators.ordering import number_in_order
-from loomtrace.operators.skew import balanced_join
-from loomtrace.workspace import Workspace, row_count
+from loomtrace.workspace import Workspace
 
-# A list longer than this is wrapped, so that no text line outgrows a task.
-LIST_WRAP = 100_000
+# The wires of a component are listed in blocks of this many indices, a line for each block
+# that holds any, so that no text line outgrows a task.
+BLOCK = 100_000
 
 # The lines of the report.
 NODES = "Total unique nodes found in graph: {}"
@@ -48,7 +48,7 @@ def _fill(template: str, *values) -> F.Column:
     return F.concat(*parts)
 
 
-def connectivity_lines(members: DataFrame, ws: Workspace, wrap: int = LIST_WRAP) -> DataFrame:
+def connectivity_lines(members: DataFrame, ws: Workspace, block: int = BLOCK) -> DataFrame:
     """(section, number, part, line): the connectivity report; order by the first three.
 
     Components are numbered by their least wire index.
@@ -77,9 +77,8 @@ def connectivity_lines(members: DataFrame, ws: Workspace, wrap: int = LIST_WRAP)
         _fill(NET, F.coalesce("net", F.lit(NO_NET))), F.lit("\n"),
         _fill(CONSISTENCY, verdict),
     ))
-    chunk = F.when(F.col("n_metals") > wrap, F.floor(F.col("idx") / wrap)).otherwise(big(0))
-    sized = balanced_join(members.select("comp_id", "idx"), report.select("comp_id", "number", "n_metals"),
-                          ["comp_id"], unique_right=True, left_rows=row_count(members))
+    chunk = F.floor(F.col("idx") / block)
+    sized = members.select("comp_id", "idx").join(report.select("comp_id", "number", "n_metals"), "comp_id")
     lists = sized.groupBy("comp_id", "number", "n_metals", chunk.alias("chunk")).agg(
         F.concat_ws(", ", F.sort_array(F.collect_list("idx")).cast("array<string>")).alias("list")
     )
@@ -117,35 +116,39 @@ def _wire_text() -> F.Column:
 
 
 def net_log_lines(flooded: DataFrame, labelled: DataFrame, metals: DataFrame) -> DataFrame:
-    """(section, net, idx, line): each net with its wires, then the wires without a name.
+    """(section, net, comp_id, idx, line): each net with its groups, each group with its wires,
+    then the wires without a name; order by the first four.
 
-    ``flooded`` is (net, comp_id), ``labelled`` (comp_id, idx). A wire is listed under every
-    net that reaches it.
+    ``flooded`` is (net, comp_id), ``labelled`` (comp_id, idx). A group that several nets reach
+    is listed under each, but its wires are written once, so the log grows with the wires and
+    with the (net, group) pairs, not with their product.
     """
     big = lambda v: F.lit(v).cast("bigint")
+    none = F.lit(None).cast("string")
+
+    def lines(df: DataFrame, section: int, net, comp_id, idx, line) -> DataFrame:
+        return df.select(F.lit(section).alias("section"), net.alias("net"), comp_id.alias("comp_id"),
+                         idx.alias("idx"), line.alias("line"))
+
     # The lines of the log.
-    head = flooded.select("net").distinct().select(
-        F.lit(0).alias("section"), "net", big(0).alias("idx"),
-        F.concat(F.lit("Netname: "), "net", F.lit("\nConnected MVectors: ")).alias("line"),
-    )
+    heads = lines(flooded.select("net").distinct(), 0, F.col("net"), big(0), big(0),
+                  F.concat(F.lit("Netname: "), "net", F.lit("\nConnected groups: ")))
+    groups = lines(flooded.select("net", "comp_id").distinct(), 0, F.col("net"), F.col("comp_id"), big(0),
+                   _fill("Group {}", "comp_id"))
+    named = flooded.select("comp_id").distinct()
+    titles = lines(named, 1, none, F.col("comp_id"), big(0), _fill("\nGroup {}\nConnected MVectors: ", "comp_id"))
     wires = metals.select("idx", "layer", "p", "s_start", "s_end", "net")
-    body = (
-        balanced_join(labelled.select("comp_id", "idx"),
-                      flooded.select("comp_id", F.col("net").alias("group_net")), ["comp_id"])
-        .join(wires, "idx")
-        .select(F.lit(0).alias("section"), F.col("group_net").alias("net"), "idx", _wire_text().alias("line"))
-    )
-    title = metals.sparkSession.range(1).select(
-        F.lit(1).alias("section"), F.lit(None).cast("string").alias("net"), big(0).alias("idx"),
-        F.lit("\nUnconnected MVectors:").alias("line"),
-    )
+    members = labelled.select("comp_id", "idx").join(named, "comp_id", "left_semi").join(wires, "idx")
+    body = lines(members, 1, none, F.col("comp_id"), F.col("idx"), _wire_text())
+    title = lines(metals.sparkSession.range(1), 2, none, big(0), big(0), F.lit("\nUnconnected MVectors:"))
     reason = F.when(F.col("net").isNull(), F.lit(" has no netname")).otherwise(F.lit(" has netname OBSTACLE"))
-    alone = wires.where(F.col("net").isNull() | (F.col("net") == "OBSTACLE")).select(
-        F.lit(1).alias("section"), F.lit(None).cast("string").alias("net"), "idx",
-        F.concat(F.lit("MVector "), _wire_text(), reason).alias("line"),
-    )
-    return head.unionByName(body).unionByName(title).unionByName(alone)
+    alone = lines(wires.where(F.col("net").isNull() | (F.col("net") == "OBSTACLE")), 2, none, big(0), F.col("idx"),
+                  F.concat(F.lit("MVector "), _wire_text(), reason))
+    out = heads
+    for part in (groups, titles, body, title, alone):
+        out = out.unionByName(part)
+    return out
 
 
 def write_net_log(lines: DataFrame, path: str) -> None:
-    write_lines(lines, ["section", "net", "idx"], path)
+    write_lines(lines, ["section", "net", "comp_id", "idx"], path)

@@ -6,10 +6,11 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from loomtrace.functions.nets import unify
+from loomtrace.operators.flatten import place_shapes
 from loomtrace.operators import components as comp
 from loomtrace.operators import connect, merge
 from loomtrace.operators.ordering import number_in_order, running_sum_before
-from loomtrace.operators.skew import balanced_join
 from loomtrace.workspace import Workspace
 
 ODD_VERTICAL = {1: True, 2: False, 3: True}
@@ -132,21 +133,20 @@ def crossing(spark):
     return spark.createDataFrame(vias, "vidx bigint, type string, lower int, upper int, x bigint, y bigint"), metals
 
 
-@pytest.mark.parametrize("threshold", [3, 1000])
-def test_parallel_and_dangling_vias(spark, threshold):
+def test_parallel_and_dangling_vias(spark):
     vias, metals = crossing(spark)
     found = {r["vidx"]: (r["hits"], r["u"], r["v"]) for r in
-             connect.via_metal_lookup(vias, metals, ODD_VERTICAL, threshold=threshold).collect()}
+             connect.via_metal_lookup(vias, metals, ODD_VERTICAL).collect()}
     assert found == {**{n: (2, 1, 2) for n in range(1, 41)}, 41: (1, 1, 1), 42: (0, None, None), 43: (2, 1, 1),
                      44: (1, 1, 1)}
-    back = connect.metal_via_lookup(metals, vias, ODD_VERTICAL, threshold=threshold).collect()
+    back = connect.metal_via_lookup(metals, vias, ODD_VERTICAL).collect()
     assert Counter(r["idx"] for r in back) == {1: 43 + 0, 2: 40}
     assert connect.site_edges(vias, metals, ODD_VERTICAL).count() == 2
 
 
-def labels_of(spark, ws, edges, threshold=1_000_000):
+def labels_of(spark, ws, edges):
     df = spark.createDataFrame(edges, "u bigint, v bigint")
-    rows = comp.connected_components(df, ws, threshold).collect()
+    rows = comp.connected_components(df, ws).collect()
     out = {r["idx"]: r["comp_id"] for r in rows}
     assert len(out) == len(rows)
     return out
@@ -167,14 +167,13 @@ def brute_labels(edges):
     return {n: find(n) for n in root}
 
 
-@pytest.mark.parametrize("threshold", [5, 1_000_000])
-def test_components_of_random_graphs(spark, ws, threshold):
+def test_components_of_random_graphs(spark, ws):
     rng = random.Random(11)
     edges = [tuple(rng.sample(range(1, 150), 2)) for _ in range(90)]
     edges += [(200, n) for n in range(201, 240)]      # a hub
     edges += [(500 + n, 300 + n) for n in range(3)]   # reversed pairs
     edges += [(7, 7), (999, 999), (7, 8), (8, 7)]     # loops and parallels
-    assert labels_of(spark, ws, edges, threshold) == brute_labels(edges)
+    assert labels_of(spark, ws, edges) == brute_labels(edges)
 
 
 def test_components_of_a_long_chain(spark, ws):
@@ -199,26 +198,38 @@ def test_groups_and_floods(spark):
     assert floods == {("A", 1, 3), ("B", 1, 3), ("A", 4, 1)}
 
 
-@pytest.mark.parametrize("how", ["inner", "left"])
-def test_balanced_join_meets_every_pair_once(spark, how):
-    rng = random.Random(2)
-    left = [(rng.choice([1, 1, 1, 2, 3, 4]), n) for n in range(120)]
-    right = [(rng.choice([1, 1, 2, 3]), n) for n in range(60)]
-    a = spark.createDataFrame(left, "k int, x int")
-    b = spark.createDataFrame(right, "k int, y int")
-    expected = Counter((k, x, y) for k, x in left for j, y in right if j == k)
-    if how == "left":
-        expected += Counter((k, x, None) for k, x in left if k not in {j for j, _ in right})
-    got = Counter(tuple(r) for r in balanced_join(a, b, ["k"], how, threshold=10).select("k", "x", "y").collect())
-    assert got == expected
-
-
-def test_balanced_join_spreads_a_hot_key(spark):
-    left = spark.range(1000).select(F.lit(1).alias("k"), "id")
-    right = spark.createDataFrame([(1, "one")], "k int, name string")
-    joined = balanced_join(left, right, ["k"], threshold=100, unique_right=True)
-    assert joined.count() == 1000
-    assert "_salts" in joined._jdf.queryExecution().toString()
+def test_a_hot_key_is_split(spark, ws):
+    """One cell that holds nearly all wires: adaptive execution deals its rows to many tasks."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "8",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        wires = ws.save(spark.range(60_000).repartition(12).select(
+            F.when(F.col("id") % 50 == 0, F.col("id") % 7).otherwise(F.lit(0)).alias("cell"), F.lit(1).alias("layer"),
+            F.lit(0).cast("bigint").alias("p"), F.lit(0).cast("bigint").alias("s_start"),
+            F.lit(5).cast("bigint").alias("s_end"), F.col("id").cast("string").alias("net")), "wires")
+        placed = ws.save(spark.range(7).select(
+            F.col("id").alias("cell"), *[F.lit(v).cast("bigint").alias(n) for n, v in
+                                         {"a": 1, "b": 0, "c": 0, "d": 1, "tx": 3, "ty": 4}.items()]), "placed")
+        out = place_shapes(wires, placed, ["cell"], ODD_VERTICAL)
+        assert len(out.collect()) == 60_000
+        assert "skew=true" in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_many_aliases(spark):
+    names = [(f"n{i}",) for i in range(400)] + [(None,), ("other",)]
+    aliases = {f"n{i}": f"r{i % 7}" for i in range(300)}
+    found = unify(spark.createDataFrame(names, "net string"), "net", aliases)
+    assert Counter(r["net"] for r in found.collect()) == Counter(aliases.get(n, n or "UNKNOWN") for n, in names)
 
 
 def test_running_sums_over_chunks(spark):

@@ -14,7 +14,7 @@ from compare import compare, connect
 SF = "/root/testdata/sf0.001"
 QUICK = ("orientation_project net_unify affine_rects flatten_metals merged_metal_index "
          "connect_edges component_report via_records").split()
-NAMES = sorted(spark_entry.queries()) if os.environ.get("LOOMTRACE_ALL") else QUICK
+NAMES = sorted(spark_entry.CATALOG) if os.environ.get("LOOMTRACE_ALL") else QUICK
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not present")
 
@@ -31,7 +31,7 @@ def test_query_matches_sql(spark, con, name):
 
 
 def test_every_query_has_a_twin():
-    assert set(spark_entry.queries()) == set(spark_entry.oracle_sql())
+    assert set(spark_entry.CATALOG) == set(spark_entry.ORACLES)
 
 
 def test_entry(spark):

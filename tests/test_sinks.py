@@ -31,13 +31,13 @@ def test_empty_report(spark, ws, tmp_path):
     assert text.endswith("Overall Graph Netname Consistency: true\n---------------------------------\n")
 
 
-def test_long_lists_are_wrapped_not_cut(spark, ws):
+def test_lists_are_written_in_blocks(spark, ws):
     rows = [(1, n, "A") for n in range(1, 26)] + [(30, n, None) for n in (30, 99)]
     members = spark.createDataFrame(rows, "comp_id bigint, idx bigint, net string")
-    lines = report.connectivity_lines(members, ws, wrap=10).orderBy("section", "number", "part").collect()
+    lines = report.connectivity_lines(members, ws, block=10).orderBy("section", "number", "part").collect()
     lists = [r["line"] for r in lines if r["section"] == 3 and r["part"] >= 0]
     assert lists[0].startswith("Metal Indices (25): [1, 2, 3")
-    assert len(lists) == 4 and lists[-1] == "Metal Indices (2): [30, 99]"
+    assert lists[3:] == ["Metal Indices (2): [30,", "99]"]
     joined = " ".join(lists[:3])
     assert joined == "Metal Indices (25): [" + ", ".join(str(n) for n in range(1, 26)) + "]"
 
@@ -58,7 +58,7 @@ def test_net_log(spark, tmp_path):
     lines = report.net_log_lines(flooded, comp.all_labels(labels, metals), metals)
     report.write_net_log(lines, str(tmp_path / "log"))
     assert text_of(tmp_path / "log").splitlines() == [
-        "Netname: A", "Connected MVectors: ",
+        "Netname: A", "Connected groups: ", "Group 1", "", "Group 1", "Connected MVectors: ",
         "MVector(layer=1, p_coord=0, s=0:5, netname=A)", "MVector(layer=2, p_coord=3, s=0:5, netname=nothing)",
         "", "Unconnected MVectors:",
         "MVector MVector(layer=2, p_coord=3, s=0:5, netname=nothing) has no netname",
