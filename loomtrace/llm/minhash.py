@@ -186,13 +186,13 @@ def _open_buckets(members: DataFrame) -> DataFrame:
                                   (F.col("total") - F.col("most.n")).alias("others"))
 
 
-def links_of(docs: DataFrame, nodes: DataFrame, width: int, percent: int, dense: int = 4) -> DataFrame:
+def links_of(docs: DataFrame, nodes: DataFrame, width: int, percent: int, dense: int = 64) -> DataFrame:
     """(node, comp) of all nodes linked with another, from ``nodes`` (node, rep, bands).
 
     After the first star, buckets with two components or more go on: a further centre each as
     long as that joins many; then, where the members only look alike, the exact buckets of
-    ``_prefix_buckets`` in their place. Once few members stand apart (``dense`` pairs a row at
-    most), each of them meets all others of its bucket.
+    ``_prefix_buckets`` in their place. Once few members stand apart (``dense`` pairs a row on
+    average), each of them meets the others of its bucket.
     """
     members = nodes.select("node", F.explode("bands").alias("key"))
     centres = _centres(members).where("n > 1")
@@ -205,6 +205,7 @@ def links_of(docs: DataFrame, nodes: DataFrame, width: int, percent: int, dense:
     links = saved(confirmed(star, sets, percent), "near-links")
     labels = _labels(links)
 
+    sizes = sets.select("node", F.size("shingles").alias("size"))
     rest = shared.where((F.col("n") > 2) & (F.col("node") != F.col("centre"))).select("key", "node")
     apart_before, exact = None, False
     while True:
@@ -222,9 +223,12 @@ def links_of(docs: DataFrame, nodes: DataFrame, width: int, percent: int, dense:
             continue
         apart_before = work["apart"]
         if few:
+            rest = rest.join(sizes, "node")
             apart = rest.where(F.col("comp") != F.col("main")).select(
-                "key", F.col("node").alias("u"), F.col("comp").alias("u_comp"))
-            pairs = rest.join(apart, "key").where(F.col("comp") != F.col("u_comp"))
+                "key", F.col("node").alias("u"), F.col("comp").alias("u_comp"), F.col("size").alias("u_size"))
+            # Sets whose sizes are too far apart cannot be similar enough.
+            near = percent * F.greatest("size", "u_size") <= 100 * F.least("size", "u_size")
+            pairs = rest.join(apart, "key").where((F.col("comp") != F.col("u_comp")) & near)
             pairs = pairs.select("u", F.col("node").alias("v"))
         else:
             centre = rest.groupBy("key").agg(F.min(F.struct(
