@@ -122,9 +122,10 @@ def types_by_layer(vias: DataFrame) -> DataFrame:
     return vias.select(F.explode(F.array("lower", "upper")).alias("layer"), "type").distinct()
 
 
-def vias_in_order(vias: DataFrame, ws: Workspace) -> DataFrame:
-    """Vias numbered by type, then from left to right and bottom to top."""
-    return number_in_order(vias.select("type", "x", "y", "vidx"), ["type", "x", "y", "vidx"], "place", ws)
+def vias_in_order(vias: DataFrame, ws: Workspace, first: str = "x") -> DataFrame:
+    """Vias numbered by type, then from left to right and bottom to top; with ``first`` 'y' upwards first."""
+    axes = ["x", "y"] if first == "x" else ["y", "x"]
+    return number_in_order(vias.select("type", "x", "y", "vidx"), ["type", *axes, "vidx"], "place", ws)
 
 
 def metal_via_lookup(metals: DataFrame, vias: DataFrame, orientation: dict[int, bool]) -> DataFrame:

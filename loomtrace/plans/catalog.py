@@ -16,6 +16,7 @@ from loomtrace.operators import connect, hierarchy, merge
 from loomtrace.operators.flatten import flat_vias, flat_wires
 from loomtrace.sinks import drawing, report, via_json
 from loomtrace.sources import driver_tables as dt
+from loomtrace.sources import library
 from loomtrace.sources.library import CELL, via_extensions
 from loomtrace.workspace import Workspace
 
@@ -171,6 +172,41 @@ def cell_subtrees(spark, sf):
     return sized.select("cell", "own_vias", "n_inst", "n_vias")
 
 
+@query
+def lvs_end_to_end(spark, sf):
+    """The whole chain: hierarchy, placement, merging, connection, components."""
+    layout, placed, ws = _design(spark, sf)
+    wires = flat_wires(layout, placed, dt.ORIENTATION)
+    vias = flat_vias(layout, placed.instances, dt.CONFIG)
+    metals = merge.number_metals(merge.merge_intervals(wires, ws), ws)
+    labels = comp.connected_components(connect.site_edges(vias, metals, dt.ORIENTATION), ws)
+    return comp.component_report(comp.component_members(labels, metals))
+
+
+# ---------------------------------------------------------------- JSON libraries
+
+@query
+def json_shapes(spark, sf):
+    cells = library.parse_cell_lines(dt.json_shape_lines(spark, sf))
+    return library.wires(cells, dt.JSON_CONFIG).drop("lib")
+
+
+@query
+def json_vias(spark, sf):
+    return library.vias(library.parse_cell_lines(dt.json_via_lines(spark, sf))).select("cell", "type", "x", "y")
+
+
+@query
+def json_subblocks(spark, sf):
+    found = library.subblocks(library.parse_cell_lines(dt.json_block_lines(spark, sf)))
+    return found.select("cell", "sub_lib", "sub_cell", "name", "transform", "x", "y")
+
+
+@query
+def json_cell_sizes(spark, sf):
+    return library.cell_sizes(library.parse_cell_lines(dt.json_cell_lines(spark, sf))).drop("lib")
+
+
 # ---------------------------------------------------------------- merging
 
 def _merged(spark, sf):
@@ -270,6 +306,11 @@ def via_order(spark, sf):
     return connect.vias_in_order(dt.placed_vias(spark, sf), Workspace(spark))
 
 
+@query
+def via_order_y(spark, sf):
+    return connect.vias_in_order(dt.placed_vias(spark, sf), Workspace(spark), "y")
+
+
 # ---------------------------------------------------------------- components and checks
 
 def _labels(spark, sf):

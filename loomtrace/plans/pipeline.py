@@ -121,7 +121,7 @@ def _check_via_types(layout: Layout, config: TechConfig) -> None:
 
 def load_db(path_runset: str, spark: SparkSession | None = None, store: str | None = None,
             strict: bool = False, strict_null: bool = False) -> Database:
-    """Read the libraries and expand the hierarchy.
+    """Read the libraries and expand the hierarchy; an error leaves no tables behind.
 
     With ``store``, the parquet tables of an earlier ``ingest`` replace the JSON libraries.
     ``strict_null`` keeps terminals that are bound to no net unnamed on every level.
@@ -130,6 +130,15 @@ def load_db(path_runset: str, spark: SparkSession | None = None, store: str | No
     runset = read_runset(path_runset)
     config = read_config(runset.config_file_path)
     ws = Workspace(spark)
+    try:
+        return _load(spark, runset, config, ws, store, strict, strict_null)
+    except BaseException:
+        ws.close()
+        raise
+
+
+def _load(spark: SparkSession, runset: Runset, config: TechConfig, ws: Workspace, store: str | None,
+          strict: bool, strict_null: bool) -> Database:
     lib, cell = runset.libname, runset.cellname
     if store is None:
         libraries = _Libraries(spark, runset.db_dir, ws)

@@ -158,7 +158,7 @@ def hierarchy(spark: SparkSession, sf_dir: str) -> Layout:
                       "p", "s_start", "s_end", F.col("name").alias("net"))
         .unionByName(marks(region, _cell("R", key), text("L6"), key * 10))
         .unionByName(marks(nation, _cell("N", key), text("L5"), key * 10))
-        .unionByName(marks(region.where(key < 2), chip, _cell("X", key), key * 10))
+        .unionByName(marks(region.select((key % 2).alias("key")).distinct(), chip, _cell("X", key), key * 10))
     )
     vias = cell_vias(spark, sf_dir)
     all_vias = running_sum_before(
@@ -167,3 +167,71 @@ def hierarchy(spark: SparkSession, sf_dir: str) -> Layout:
         ["lib", "cell"], "vidx", {"one": "ord"},
     ).select("lib", "cell", "ord", "type", "x", "y")
     return Layout(all_cells, all_blocks, all_pins, all_wires, all_vias)
+
+
+# Documents of one cell hold the rows of this many orders (or suppliers) each, so that no cell
+# becomes one row.
+PART = 1024
+ALIASES = {"N1": "PWR", "N2": "PWR"}
+JSON_CONFIG = TechConfig(ORIENTATION, CONFIG.via_extension, ALIASES)
+
+
+def _lines(df: DataFrame, part: F.Column, **content: F.Column) -> DataFrame:
+    """(value): a JSON line per cell and part; ``content`` names what the line's cell lists."""
+    rows = df.groupBy("cell", part.alias("part")).agg(*[c.alias(n) for n, c in content.items()])
+    body = F.struct(*content)
+    return rows.select(F.to_json(F.struct(F.lit(LIB).alias("lib"), "cell", body.alias("content"))).alias("value"))
+
+
+def json_shape_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wires as a cell library: one track rectangle per line item, named ones as labels."""
+    s0, p = (F.col("l_orderkey") % 40) * 10, (F.col("l_partkey") % 40) * 10
+    vertical = (F.col("l_linenumber") % 5) % 2 == 0
+    s1 = s0 + F.col("l_quantity").cast("bigint")
+
+    def end(s) -> F.Column:
+        return F.when(vertical, F.array(p.cast("double"), s.cast("double"))).otherwise(
+            F.array(s.cast("double"), p.cast("double")))
+
+    name = F.when(F.col("l_partkey") % 7 > 0, _cell("N", F.col("l_partkey") % 7))
+    # Drawn from its far end to its near one; the extension adds 5 on either side.
+    rect = [F.concat(F.lit("M"), (1 + F.col("l_linenumber") % 5).cast("string")).alias("layer"),
+            F.array(end(s1), end(s0)).alias("xy"), F.lit(5).alias("hextension"), F.lit(5).alias("vextension")]
+    rows = table(spark, sf_dir, "lineitem").select(
+        _cell("S", F.col("l_suppkey")).alias("cell"), "l_orderkey", (F.col("l_returnflag") == "R").alias("named"),
+        F.struct(*rect).alias("metal"), F.struct(*rect, name.alias("netname")).alias("label"))
+    return _lines(
+        rows, F.floor(F.col("l_orderkey") / PART),
+        metals=F.collect_list(F.when(~F.col("named"), F.col("metal"))),
+        labels=F.collect_list(F.when(F.col("named"), F.col("label"))))
+
+
+def json_via_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = cell_vias(spark, sf_dir).select(
+        _cell("S", F.col("cell")).alias("cell"), "vidx",
+        F.struct(F.col("type").alias("cellname"), F.array(F.col("x").cast("double"), F.col("y").cast("double")).alias("xy"))
+        .alias("via"))
+    return _lines(rows, F.floor(F.col("vidx") / PART), vias=F.collect_list("via"))
+
+
+def json_block_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("s_suppkey")
+    rows = table(spark, sf_dir, "supplier").select(
+        _cell("N", F.col("s_nationkey")).alias("cell"), "s_suppkey",
+        F.struct(F.lit(LIB).alias("libname"), _cell("S", key).alias("cellname"), _cell("s", key).alias("name"),
+                 _turn(key).alias("transform"),
+                 F.array((key * 5000).cast("double"), (-key).cast("double")).alias("xy")).alias("block"))
+    return _lines(rows, F.floor(key / PART), subblocks=F.collect_list("block"))
+
+
+def json_cell_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bounding boxes; every third cell lacks its list of vias."""
+    key = F.col("s_suppkey")
+    point = lambda x, y: F.array(x.cast("double"), y.cast("double"))
+    none = F.array().cast("array<struct<layer:string>>")
+    content = F.struct(
+        F.array(point(key, F.lit(0)), point(2 * key + 1000, key * 10)).alias("bbox"),
+        *[none.alias(n) for n in ("primitives", "metals", "labels", "pins")],
+        F.when(key % 3 != 0, none).alias("vias"))
+    return table(spark, sf_dir, "supplier").select(F.to_json(F.struct(
+        F.lit(LIB).alias("lib"), _cell("S", key).alias("cell"), content.alias("content"))).alias("value"))

@@ -56,18 +56,33 @@ class Layout:
 def read_libraries(spark: SparkSession, db_dir: str, libs: list[str]) -> DataFrame:
     """(lib, cell, c): one row per cell of the named libraries."""
     paths = [f"{db_dir}/{lib}_db.json" for lib in libs]
-    file_name = F.col("_metadata.file_name")
+    # Spark shows file names as they stand in an address: a space as %20.
+    shown = {spark._jvm.org.apache.hadoop.fs.Path(f"{lib}_db.json").toUri().getRawPath(): lib for lib in libs}
+    file_lib = F.create_map(*[F.lit(x) for pair in shown.items() for x in pair])
     docs = spark.read.text(paths, wholetext=True).select(
-        file_name.alias("file"),
+        file_lib[F.col("_metadata.file_name")].alias("file_lib"),
         F.from_json("value", f"map<string, map<string, {_CELL}>>", {"mode": "FAILFAST"}).alias("doc"),
     )
     return (
-        docs.select("file", F.explode("doc").alias("lib", "content"))
-        .where(F.col("file") == F.concat("lib", F.lit("_db.json")))
+        docs.select("file_lib", F.explode("doc").alias("lib", "content"))
+        .where(F.col("file_lib") == F.col("lib"))
         .select("lib", F.explode("content").alias("cell", "c"))
     )
 
 
+def parse_cell_lines(lines: DataFrame) -> DataFrame:
+    """(lib, cell, c) of ``lines`` (value): a JSON object {lib, cell, content} on each line.
+
+    In this form a library is split over tasks, and a cell may be spread over several lines.
+    """
+    row = F.from_json("value", f"lib string, cell string, content {_CELL}", {"mode": "FAILFAST"})
+    return lines.select(row.alias("row")).select("row.lib", "row.cell", F.col("row.content").alias("c"))
+
+
+def read_cell_lines(spark: SparkSession, path: str) -> DataFrame:
+    return parse_cell_lines(spark.read.text(path))
+
+
 def _xy(shape: str, point: int, axis: int):
     return exact_long(F.col(shape)["xy"][point][axis])
 

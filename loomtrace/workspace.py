@@ -23,7 +23,8 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get(_CHECKPOINT_DIR, None)
     if folder:
         return folder
-    if not spark.conf.get("spark.master", "local").startswith("local"):
+    master = spark.conf.get("spark.master", "local")
+    if master != "local" and not master.startswith("local["):
         raise RuntimeError(f"set {_CHECKPOINT_DIR} to a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="loomtrace-")
     atexit.register(shutil.rmtree, folder, ignore_errors=True)
@@ -32,12 +33,17 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 class Workspace:
-    """A private subfolder of the shared folder."""
+    """A private subfolder of the shared folder, deleted by ``close`` or when the driver ends."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_folder(spark).rstrip('/')}/loomtrace-{uuid.uuid4().hex}"
         self._count = 0
+        # What nobody closes goes when the driver's JVM ends.
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` out, counting its rows on the way, and return a scan of the table."""

@@ -1,11 +1,13 @@
 """Net names and placements against a recursive definition, on random designs; and the errors."""
 
+import os
 import random
 
 import pytest
 
 import loomtrace
 from layouts import CONFIG, DEMO, block, cell, rect, via
+from loomtrace.plans.pipeline import load_db
 from loomtrace.operators.hierarchy import build_instances, reachable_cells
 from loomtrace.sources.config import read_config, read_runset
 from loomtrace.sources.library import layout_of, read_libraries, subblocks
@@ -189,3 +191,18 @@ def test_config_tables(spark, design):
     assert {tuple(r) for r in config.layers(spark).collect()} == set(config.orientation.items())
     assert config.via_types(spark).count() == 8
     assert ("gnd", "VSS:") in {tuple(r) for r in config.net_aliases(spark).collect()}
+
+
+def test_an_error_leaves_no_tables(spark, design):
+    folder = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(folder))
+    with pytest.raises(Exception, match="contain themselves"):
+        load_db(design({"m": {"top": cell([block("m", "top", "I")])}}, "m", "top"), spark)
+    assert set(os.listdir(folder)) == before
+
+
+def test_library_names_as_in_addresses(spark, design):
+    name = "a b%20#c"
+    db = load_db(design({name: {"top": cell(metals=[rect("M1", 0, 0, 0, 5)])}}, name, "top"), spark)
+    assert db.instances.count() == 1
+    db.close()

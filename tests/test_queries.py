@@ -13,7 +13,7 @@ from compare import compare, connect
 
 SF = "/root/testdata/sf0.001"
 QUICK = ("orientation_project net_unify affine_rects flatten_metals merged_metal_index "
-         "connect_edges component_report via_records").split()
+         "connect_edges lvs_end_to_end json_shapes net_log via_records").split()
 NAMES = sorted(spark_entry.CATALOG) if os.environ.get("LOOMTRACE_ALL") else QUICK
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not present")
