@@ -151,6 +151,18 @@ def _labels(links: DataFrame) -> DataFrame:
         ws.close()
 
 
+def _rough_labels(links: DataFrame) -> DataFrame:
+    """(node, comp): for each node a linked node two steps further down at most.
+
+    Nodes with one label are in one component; those of one component may still differ. That
+    is enough to leave pairs untested, at the price of two joins instead of whole components.
+    """
+    parent = links.groupBy(F.greatest("u", "v").alias("node")).agg(F.min(F.least("u", "v")).alias("comp"))
+    parent = saved(parent, "near-parents")
+    above = parent.select(F.col("node").alias("comp"), F.col("comp").alias("next"))
+    return saved(parent.join(above, "comp", "left").select("node", F.coalesce("next", "comp").alias("comp")), "near-rough")
+
+
 def _with_comp(members: DataFrame, labels: DataFrame) -> DataFrame:
     return members.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
@@ -190,9 +202,9 @@ def links_of(docs: DataFrame, nodes: DataFrame, width: int, percent: int, dense:
     """(node, comp) of all nodes linked with another, from ``nodes`` (node, rep, bands).
 
     After the first star, buckets with two components or more go on: a further centre each as
-    long as that joins many; then, where the members only look alike, the exact buckets of
-    ``_prefix_buckets`` in their place. Once few members stand apart (``dense`` pairs a row on
-    average), each of them meets the others of its bucket.
+    long as that joins many. Then, if few members stand apart (``dense`` pairs a row on average),
+    each of them meets the others of its bucket; otherwise the members only look alike, and the
+    exact buckets of ``_prefix_buckets`` take their place.
     """
     members = nodes.select("node", F.explode("bands").alias("key"))
     centres = _centres(members).where("n > 1")
@@ -203,21 +215,21 @@ def links_of(docs: DataFrame, nodes: DataFrame, width: int, percent: int, dense:
     ends = star.select(F.col("u").alias("node")).union(star.select(F.col("v").alias("node"))).distinct()
     sets = saved(shingle_sets(docs, nodes.select("node", "rep").join(ends, "node"), width), "near-sets")
     links = saved(confirmed(star, sets, percent), "near-links")
-    labels = _labels(links)
 
     sizes = sets.select("node", F.size("shingles").alias("size"))
     rest = shared.where((F.col("n") > 2) & (F.col("node") != F.col("centre"))).select("key", "node")
     apart_before, exact = None, False
     while True:
-        rest = saved(_with_comp(rest, labels), "near-rest")
+        rest = saved(_with_comp(rest, _rough_labels(links)), "near-rest")
         main = saved(_open_buckets(rest), "near-open")
         work = main.agg(F.sum(F.col("others") * F.col("total")).alias("pairs"), F.sum("total").alias("rows"),
                         F.sum("others").alias("apart")).first()
         if not work["rows"]:
-            return labels
-        few = work["pairs"] <= dense * work["rows"]
+            return _labels(links)
+        slow = apart_before is not None and work["apart"] > 0.7 * apart_before
+        few = slow and work["pairs"] <= dense * work["rows"]
         rest = rest.join(main, "key")
-        if not few and not exact and apart_before is not None and work["apart"] > 0.7 * apart_before:
+        if slow and not few and not exact:
             rest = saved(_prefix_buckets(sets, rest.select("node").distinct(), percent), "near-prefixes")
             apart_before, exact = None, True
             continue
@@ -239,9 +251,8 @@ def links_of(docs: DataFrame, nodes: DataFrame, width: int, percent: int, dense:
             rest = rest.select("key", "node")
         pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
         links = saved(links.unionByName(confirmed(pairs, sets, percent)).distinct(), "near-links")
-        labels = _labels(links)
         if few:
-            return labels
+            return _labels(links)
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS,
