@@ -10,6 +10,7 @@ needs no global order: a length is split over salts, and only counts per salt ar
 
 from __future__ import annotations
 
+import re
 import sys
 import types
 import zlib
@@ -31,6 +32,10 @@ CACHE = 400_000
 SALT_ROWS = 250_000
 #: White space to str.split, but not to the tokenizer.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
+#: Fixed value: what the tokenizer's tokens end with where a word ends.
+END_OF_WORD = "</w>"
+
+_LETTERS_AND_SIGNS = re.compile(r"([^\W\d_]+)([!-/:-@\[-^`{-~]*)")
 
 
 # --- tokens ---------------------------------------------------------------------------------
@@ -42,6 +47,9 @@ class WordTokens:
         self.tokenizer = Tokenizer.from_str(spec)
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(END_OF_WORD)]] = True
         self.odd = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] + list(SEPARATORS)
 
     def ids(self, texts: list[str]) -> Iterator[np.ndarray]:
@@ -66,10 +74,33 @@ class WordTokens:
                 fresh.append(word)
             else:
                 self.known[word] = found
-        for start in range(0, len(fresh), 2000):
-            part = fresh[start:start + 2000]
+        # Most new words are letters with or without signs behind them: letters and signs are
+        # encoded apart, each once, in lower case as the tokenizer has them.
+        parts = {w: m.groups() for w in fresh if (m := _LETTERS_AND_SIGNS.fullmatch(w.lower())) and "Σ" not in w}
+        letters = {a for a, _ in parts.values()} - self.known.keys()
+        others = {b for _, b in parts.values() if b} | {w for w in fresh if w not in parts}
+        self.known.update(self._of_letters(sorted(letters)))
+        self.known.update(self._one_by_one(sorted(others - self.known.keys())))
+        for word, (a, b) in parts.items():
+            self.known[word] = self.known[a] + (self.known[b] if b else b"")
+
+    def _one_by_one(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        for start in range(0, len(words), 2000):
+            part = words[start:start + 2000]
             for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[word] = np.array(found.ids, dtype="<u4").tobytes()
+                yield word, np.array(found.ids, dtype="<u4").tobytes()
+
+    def _of_letters(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Many words as one text; the ids that end a word tell them apart."""
+        for start in range(0, len(words), 1000):
+            part = words[start:start + 1000]
+            found = self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0]
+            ids = np.array(found.ids, dtype="<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(part):
+                yield from zip(part, [x.tobytes() for x in np.split(ids, cuts[:-1])], strict=True)
+            else:
+                yield from self._one_by_one(part)
 
 
 def _worker_tokens(spec: str) -> WordTokens:
