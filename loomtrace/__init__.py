@@ -6,7 +6,7 @@ prefix of the next one: ``load_db`` -> ``flatten`` -> ``merge_vector`` -> ``run_
 
 from loomtrace.plans.pipeline import flatten, load_db, merge_vector, run_lvs
 
-# The names under which scripts written against the original API call the stages.
+# The stages in camel case, for callers who prefer it.
 runLVS = run_lvs
 loadDB = load_db
 mergeVector = merge_vector
