@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtrace.llm.common import table, text_of
+from loomtrace.llm.common import LOWER, UPPER, table, text_of
 
 # What a word is, once A-Z are lower-cased.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -70,7 +70,7 @@ TEMPLATES = (
 
 def words_of(column: str = "text") -> Column:
     """The words of a text, in order. Only A-Z are lower-cased, other letters stay."""
-    lower = F.translate(text_of(column), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    lower = F.translate(text_of(column), UPPER, LOWER)
     return F.regexp_extract_all(lower, F.lit(f"({WORD})"), 1)
 
 
