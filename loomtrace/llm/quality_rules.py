@@ -225,9 +225,10 @@ def keep_good(docs: DataFrame, bounds: Bounds = Bounds()) -> DataFrame:
     The verdict is made beside the row itself, so no text is shuffled and no id is needed. Rows
     meet the reference of their language by a join, which sends out the few references.
     """
-    references = usual_references(_counted(docs), bounds.usual)
+    own = [f"{'_' * (1 + max(map(len, docs.columns)))}{c}" for c in ("lang", "classes", "common")]  # no column's name
+    references = usual_references(_counted(docs), bounds.usual).toDF(*own)
     lang = F.coalesce(docs["lang"].cast("string"), F.lit(""))
-    both = docs.join(references, lang == references["ref_lang"])
+    both = docs.join(references, lang == references[own[0]])
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -236,7 +237,7 @@ def keep_good(docs: DataFrame, bounds: Bounds = Bounds()) -> DataFrame:
             texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
             counts = [count_text(t) for t in texts]
             cols = {name: np.array([row[i] for row in counts], dtype=float) for i, name in enumerate(COUNTS)}
-            refs = [np.array(batch.column(c).to_pylist(), dtype=float) for c in ("ref_classes", "ref_common")]
+            refs = [np.array(batch.column(c).to_pylist(), dtype=float) for c in own[1:]]
             odd = bounds.odd(cols["n_words"], cols["word_chars"], js_distance(cols["classes"], refs[0]),
                              js_distance(cols["common"], refs[1]), np.sqrt, lambda a: np.maximum(a, 1))
             good = ~base_failed(cols["n_words"], cols["n_repeat_words"]) & ~odd

@@ -84,6 +84,8 @@ def test_awkward_and_empty_input(spark, awkward, empty):
             rows = [r for r in rows if r["piece"] == 0]
         assert sorted(r["doc_id"] or -1 for r in rows) == sorted(i or -1 for i, *_ in AWKWARD), name
     assert keep_good(empty).count() == 0
+    clashing = awkward.withColumns({"ref_lang": F.lit(1), "ref_classes": F.lit(2), "kept": F.lit(3)})
+    assert keep_good(clashing).count() == keep_good(awkward).count()
     assert keep_good(awkward).columns == awkward.columns
 
 
