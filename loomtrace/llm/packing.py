@@ -56,11 +56,11 @@ class WordTokens:
         """The ids of each text. The string of a special token is that token, as in the tokenizer."""
         plain = [not any(mark in text for mark in self.odd) for text in texts]
         split = [text.split() if ok else [] for text, ok in zip(texts, plain, strict=True)]
-        self._learn({word for words in split for word in words})
-        known = self.known
+        self._learn(set().union(*split))
+        known = self.known.__getitem__
         for text, words, ok in zip(texts, split, plain, strict=True):
             if ok:
-                yield np.frombuffer(b"".join([known[w] for w in words]), dtype="<u4")
+                yield np.frombuffer(b"".join(map(known, words)), dtype="<u4")
             else:
                 yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
@@ -76,13 +76,13 @@ class WordTokens:
                 self.known[word] = found
         # Most new words are letters with or without signs behind them: letters and signs are
         # encoded apart, each once, in lower case as the tokenizer has them.
-        parts = {w: m.groups() for w in fresh if (m := _LETTERS_AND_SIGNS.fullmatch(w.lower())) and "Σ" not in w}
-        letters = {a for a, _ in parts.values()} - self.known.keys()
-        others = {b for _, b in parts.values() if b} | {w for w in fresh if w not in parts}
+        cut = {w: m.end(1) for w in fresh if (m := _LETTERS_AND_SIGNS.fullmatch(w.lower())) and "Σ" not in w}
+        letters = {w.lower()[:n] for w, n in cut.items()} - self.known.keys()
+        others = {w[n:] for w, n in cut.items()} | {w for w in fresh if w not in cut}
         self.known.update(self._of_letters(sorted(letters)))
         self.known.update(self._one_by_one(sorted(others - self.known.keys())))
-        for word, (a, b) in parts.items():
-            self.known[word] = self.known[a] + (self.known[b] if b else b"")
+        for word, n in cut.items():
+            self.known[word] = self.known[word.lower()[:n]] + self.known[word[n:]]
 
     def _one_by_one(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
         for start in range(0, len(words), 2000):
@@ -96,9 +96,10 @@ class WordTokens:
             part = words[start:start + 1000]
             found = self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0]
             ids = np.array(found.ids, dtype="<u4")
-            cuts = np.flatnonzero(self.ends[ids]) + 1
+            cuts = ((np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize).tolist()
             if len(cuts) == len(part):
-                yield from zip(part, [x.tobytes() for x in np.split(ids, cuts[:-1])], strict=True)
+                raw = ids.tobytes()
+                yield from ((w, raw[a:b]) for w, a, b in zip(part, [0, *cuts[:-1]], cuts, strict=True))
             else:
                 yield from self._one_by_one(part)
 
