@@ -26,7 +26,7 @@ from loomtrace.llm.common import map_batches, table, text_of
 #: Segments whose ids are remembered per worker.
 CACHE = 400_000
 #: Bytes that are indexed at once.
-INDEX_BYTES = 4 << 20
+INDEX_BYTES = 1 << 19
 
 # The sign that stands for a space in pieces, and the byte it is indexed as, which
 # no UTF-8 text holds.
