@@ -1,5 +1,6 @@
 """Hand-sized designs with known results."""
 
+# The scheme of layer, via type and supply net names.
 CONFIG = {
     "Layer": {"order": ["M1", "M2", "M3", "M4", "M5"], "orientation": ["|", "-", "|", "-", "|"]},
     "Via": {f"via_M{n}_M{n + 1}_{k}": {"map": [f"M{n}", f"M{n + 1}"], "extension": [10, 10 + 10 * k]}
@@ -69,6 +70,7 @@ TOP_METALS = [
     (5, 2, 0, 290, 310, "VSS:"), (6, 2, 20, 205, 265, "B"), (7, 2, 20, 390, 410, None),
     (8, 2, 50, 5, 265, None), (9, 2, 80, 5, 65, "A"), (10, 3, 150, 0, 60, "A"),
 ]
+# The lines of a report.
 TOP_REPORT = """Total unique nodes found in graph: 6
 
 Starting Connectivity and Netname Consistency Check...
