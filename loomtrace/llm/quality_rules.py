@@ -1,9 +1,9 @@
 """Quality rules: counts over whole texts, and the distance to a language's usual text.
 
 The distance is the Jensen-Shannon distance (base 2, 0 to 1) between a document's histogram
-and the histogram of all text in its language, once over classes of characters and once over
-common words. The references are sums over the whole corpus, so they hold a few hundred
-numbers per language whatever the input.
+and that of the usual texts of its language, once over classes of characters and once over
+common words. Each distinct text has one vote, whatever its length and its number of copies;
+the votes are gathered over the whole corpus and hold a few hundred numbers per language.
 """
 
 from __future__ import annotations
@@ -35,10 +35,13 @@ CLASSES = ("lower", "upper", "digit", "space", "symbol", "punctuation", "beyond_
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "classes", "common")
 
 FEATURES = (
-    "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
+    "doc_id long, lang string, digest long, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
     "n_repeat_words long, classes array<long>, common array<long>"
 )
 
+#: A vote is shared out in so many parts, whole numbers, so that sums do not depend on their order.
+VOTE = 100_000_000
+
 _WORD_INDEX = {w.encode(): i for i, w in enumerate(dict.fromkeys(COMMON_WORDS))}
 N_COMMON = len(_WORD_INDEX)
 
@@ -99,7 +102,7 @@ def count_text(text: bytes) -> tuple:
 
 
 def _count_batch(cols: dict[str, list]) -> dict[str, list]:
-    out: dict[str, list] = {"doc_id": cols["doc_id"], "lang": cols["lang"]}
+    out: dict[str, list] = {"doc_id": cols["doc_id"], "lang": cols["lang"], "digest": cols["digest"]}
     rows = [count_text(t) for t in cols["text"]]
     out |= {name: [row[i] for row in rows] for i, name in enumerate(COUNTS)}
     return out
@@ -109,25 +112,15 @@ def count_documents(docs: DataFrame) -> DataFrame:
     """One row of counts per document; a null text has no words."""
     rows = docs.select(
         F.col("doc_id").cast("long"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"),
-        text_of().cast("binary").alias("text"),
+        F.xxhash64(text_of()).alias("digest"), text_of().cast("binary").alias("text"),
     )
     return map_batches(rows, _count_batch, FEATURES)
 
 
-def language_references(counts: DataFrame) -> DataFrame:
-    """(lang, ref_classes, ref_common): each language's counts, summed over all its documents."""
-    def sums(column: str, n: int) -> Column:
-        return F.array(*[F.sum(F.col(column)[i]) for i in range(n)])
-
-    return counts.groupBy(F.col("lang").alias("ref_lang")).agg(
-        sums("classes", len(CLASSES)).alias("ref_classes"), sums("common", N_COMMON + 1).alias("ref_common")
-    )
-
-
 def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Jensen-Shannon distance, row by row, of two matrices of counts; 0 if either row is all zeros."""
     p_sum, q_sum = p.sum(axis=1, keepdims=True), q.sum(axis=1, keepdims=True)
-    x, y = p / np.maximum(p_sum, 1), q / np.maximum(q_sum, 1)
+    x, y = p / np.where(p_sum > 0, p_sum, 1), q / np.where(q_sum > 0, q_sum, 1)
     m = (x + y) / 2
 
     def bits(a: np.ndarray) -> np.ndarray:
@@ -157,13 +150,60 @@ def _distances(counts: DataFrame, references: DataFrame) -> DataFrame:
     )
 
 
+def _shares(column: str) -> Column:
+    """A histogram column divided by its sum; zeros stay zeros."""
+    total = F.aggregate(column, F.lit(0.0), lambda a, x: a + x)
+    return F.transform(column, lambda x: F.when(total > 0, x / total).otherwise(0.0))
+
+
+def _middle(values: Column) -> Column:
+    """The median to three places, so that the state holds a thousand numbers at most."""
+    return F.percentile(F.round(values, 3), 0.5)
+
+
+def _js_column(p: Column, q: Column) -> Column:
+    """``js_distance`` of two array columns of shares."""
+    def bits(x: Column, m: Column) -> Column:
+        return F.when(x > 0, x * F.log2(x / m)).otherwise(0.0)
+
+    both = F.zip_with(p, q, lambda x, y: bits(x, (x + y) / 2) + bits(y, (x + y) / 2))
+    return F.sqrt(F.greatest(F.aggregate(both, F.lit(0.0), lambda a, x: a + x) / 2, F.lit(0.0)))
+
+
 def usual_references(counts: DataFrame, usual: float) -> DataFrame:
-    """The references of ``quality_rules`` from a saved table of counts."""
-    first = _distances(counts, language_references(counts))
-    is_usual = (~F.col("base_failed") & (F.col("class_distance") <= usual)).cast("int")
-    return language_references(first.withColumns({
-        c: F.transform(c, lambda x: x * is_usual) for c in ("classes", "common")
-    }))
+    """(ref_lang, ref_classes, ref_common): the references of ``quality_rules`` from a saved table of counts.
+
+    A language's distinct texts that pass the base rules vote with their shares. The median share
+    of each class is a centre that fewer than half of the votes cannot carry off; the votes within
+    ``usual`` of it, or nearer than the language's median distance, are summed. A language
+    without votes has the sum over all languages.
+    """
+    votes = counts.where(~F.col("base_failed")).dropDuplicates(["lang", "digest"]).select("lang", "classes", "common")
+    votes = saved(votes, "quality-votes").withColumns({c: _shares(c) for c in ("classes", "common")})
+    centre = votes.groupBy("lang").agg(F.array(*[_middle(F.col("classes")[i]) for i in range(len(CLASSES))]).alias("centre"))
+    centre = saved(centre.withColumn("centre", _shares("centre")), "quality-centres")
+    placed = votes.join(centre, "lang").withColumn(
+        "apart", _js_column(F.col("classes"), F.col("centre")))
+    reach = saved(placed.groupBy(F.col("lang").alias("_lang")).agg(
+        F.greatest(F.lit(usual), _middle(F.col("apart")) + 0.001).alias("reach")), "quality-reach")
+    near = placed.join(reach, F.col("lang") == F.col("_lang")).where("apart <= reach")
+
+    def sums(column: str, n: int, part) -> Column:
+        return F.array(*[F.sum(part(F.col(column)[i])) for i in range(n)]).alias(f"ref_{column}")
+
+    def sums_of_both(rows, part) -> DataFrame:
+        return rows.agg(sums("classes", len(CLASSES), part), sums("common", N_COMMON + 1, part))
+
+    own = saved(sums_of_both(near.groupBy("lang"), lambda x: F.round(x * VOTE).cast("long")), "quality-usual")
+    pooled = sums_of_both(
+        own.select(F.col("ref_classes").alias("classes"), F.col("ref_common").alias("common")),
+        lambda x: F.coalesce(x, F.lit(0)),
+    ).toDF("all_classes", "all_common")
+    langs = counts.select(F.col("lang").alias("ref_lang")).distinct()
+    return langs.join(own, F.col("ref_lang") == F.col("lang"), "left").crossJoin(F.broadcast(pooled)).select("ref_lang", *[
+        F.coalesce(f"ref_{c}", f"all_{c}", F.array_repeat(F.lit(0).cast("long"), n)).alias(f"ref_{c}")
+        for c, n in (("classes", len(CLASSES)), ("common", N_COMMON + 1))
+    ])
 
 
 def base_failed(n_words, n_repeat_words):
@@ -203,9 +243,9 @@ def quality_rules(docs: DataFrame, bounds: Bounds = Bounds()) -> DataFrame:
     texts of at least ``min_chars`` word characters or ``min_words`` words; below, chance
     alone moves a histogram far. The bound of the class distance is ``max_class_distance`` plus
     ``chance`` over the root of the word characters, as chance shrinks with length. A language's
-    reference is first the sum of all its texts, then of those that pass the base rules within
-    ``usual`` of that sum, so that junk does not shape what it is held against. A null lang is
-    a language of its own, as is one where no text is usual (its texts have distance 0).
+    reference is the mean of its usual texts (``usual_references``), so that neither junk nor a
+    long or often copied text shapes what it is held against. A null lang is a language of its
+    own; one where no text passes the base rules is held against all languages together.
     Repeated rows give repeated rows; other columns of ``docs`` are ignored; an empty table gives
     none.
     """

@@ -130,6 +130,26 @@ def test_quality_rules_counts(spark, texts):
         assert not (failed and r["kept"])
 
 
+@pytest.mark.parametrize("odd_texts", [[1], [0] * 60], ids=["one huge text", "a hot copied text"])
+def test_quality_reference_withstands_odd_texts(spark, odd_texts):
+    """Neither the length nor the copies of an odd text make it the norm of its language."""
+    rng = random.Random(2)
+    words = "der Hund und die Katze gehen mit dem alten Mann auf einem Weg zu einer Brücke nicht weit von hier".split()
+    good = [(i, " ".join(rng.choice(words) for _ in range(150)), "de") for i in range(40)]
+    numbers = " ".join(str(rng.randrange(10**6)) for _ in range(60_000))
+    odd = [(100 + i, numbers if huge else numbers[:5_000], "de") for i, huge in enumerate(odd_texts)]
+    found = by_id(quality_rules(spark.createDataFrame(good + odd, "doc_id long, text string, lang string")))
+    assert all(found[i]["kept"] for i, *_ in good) and not any(found[i]["kept"] for i, *_ in odd)
+
+
+def test_quality_of_a_language_without_usual_texts(spark):
+    rng = random.Random(2)
+    rows = [(i, " ".join(rng.choice(["the", "cat", "and", "dog", "walk"]) + str(rng.random())[-1] for _ in range(150)), "en")
+            for i in range(5)] + [(9, "7 7 7 " * 40, "xx")]
+    found = by_id(quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")))
+    assert found[9]["class_distance"] > 0.2 and not found[9]["kept"]
+
+
 def shingles(text, width):
     words = text.encode().lower().split()
     return {tuple(words[i:i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
