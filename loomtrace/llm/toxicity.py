@@ -4,13 +4,15 @@ The examples are a bounded sample of labelled texts. Their index lists, per term
 with the term in blocks, and the greatest weight in each block. For a text the sums of those
 greatest weights bound every block's cosines; blocks are scored in falling order of the bound
 until none can hold a nearer example than the k found (Ding and Suel, SIGIR 2011). The terms
-are those whose presence goes with the label in the sample; how rare they are is counted over
-the whole corpus. Votes, weighted by nearness, become a probability by a curve fitted on the
+are all those of the examples. Each weighs by how rare it is, counted over the whole corpus,
+and by how far its presence goes with the label in the sample. Votes, weighted by nearness, become a probability by a curve fitted on the
 examples themselves, each held against all others.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
 import re
 from collections import Counter
 
@@ -25,9 +27,12 @@ from loomtrace.llm.common import map_batches, remainder, saved, table, text_of
 MAX_EXAMPLES = 8_000
 NEIGHBOURS = 15
 BLOCK = 64
-#: Chi-square (one degree of freedom) above which a term goes with the label.
-MIN_CHI_SQUARE = 30.0
-MIN_EXAMPLES = 5
+#: Chi-square (one degree of freedom, corrected for few examples) from which a term has its full weight.
+FULL_CHI_SQUARE = 30.0
+#: The share of its weight that a term without any tie to the label keeps.
+LEAST_SHARE = 0.02
+#: Blocks scored one by one before the others are scored together.
+FIRST_BLOCKS = 4
 #: Letters of a stem.
 STEM = 5
 
@@ -46,8 +51,8 @@ def terms_of(text: str) -> Counter:
     return words
 
 
-def choose_terms(texts: list[str], labels: list[int]) -> list[str]:
-    """Terms in at least MIN_EXAMPLES texts whose presence depends on the label."""
+def weigh_terms(texts: list[str], labels: list[int]) -> tuple[list[str], np.ndarray]:
+    """All terms of the texts, and the share of its weight that each keeps for its tie to the label."""
     n, positive = len(labels), sum(labels)
     there, with_label = Counter(), Counter()
     for text, label in zip(texts, labels, strict=True):
@@ -55,27 +60,24 @@ def choose_terms(texts: list[str], labels: list[int]) -> list[str]:
         there.update(found)
         if label:
             with_label.update(found)
-    out = []
-    for term, df in there.items():
-        if df < MIN_EXAMPLES or df == n or positive in (0, n):
-            continue
-        a = with_label[term]
-        gap = a * n - df * positive
-        if gap * gap / (df * (n - df) * positive * (n - positive) / n) >= MIN_CHI_SQUARE:
-            out.append(term)
-    return sorted(out)
+    terms = sorted(there)
+    df, a = (np.array([c[t] for t in terms], dtype=float) for c in (there, with_label))
+    gap = np.maximum(np.abs(a * n - df * positive) - n / 2, 0.0)
+    spread = df * (n - df) * positive * (n - positive)
+    chi_square = np.where(spread > 0, gap * gap * n / np.where(spread > 0, spread, 1), 0.0)
+    return terms, np.clip(chi_square / FULL_CHI_SQUARE, LEAST_SHARE, 1.0)
 
 
 class Vectors:
-    """Texts as unit TF-IDF vectors over fixed terms; a text without any of them is empty."""
+    """Texts as unit vectors of weighted TF-IDF over fixed terms; a text without any of them is empty."""
 
-    def __init__(self, terms: list[str], idf: np.ndarray):
-        self.index, self.idf = {t: i for i, t in enumerate(terms)}, idf
+    def __init__(self, terms: list[str], weights: np.ndarray):
+        self.index, self.weights = {t: i for i, t in enumerate(terms)}, weights
 
     def of(self, text: str) -> tuple[tuple[int, ...], tuple[float, ...]]:
         counts = terms_of(text)
         found = sorted((self.index[t], n) for t, n in counts.items() if t in self.index)
-        weights = [(1.0 + np.log(n)) * self.idf[i] for i, n in found]
+        weights = [(1.0 + math.log(n)) * self.weights[i] for i, n in found]
         norm = float(np.sqrt(sum(w * w for w in weights))) or 1.0
         return tuple(i for i, _ in found), tuple(float(w / norm) for w in weights)
 
@@ -88,40 +90,53 @@ class BlockMaxIndex:
         lead = [(t[int(np.argmax(w))] if t else n_terms) for t, w in vectors]
         self.order = sorted(range(len(vectors)), key=lambda i: (lead[i], vectors[i], i))
         self.rank = np.array(self.order, dtype=np.int64)
-        postings: dict[int, list[tuple[int, float]]] = {}
-        for place, i in enumerate(self.order):
-            for term, weight in zip(*vectors[i], strict=True):
-                postings.setdefault(term, []).append((place, weight))
+        sizes = np.array([len(vectors[i][0]) for i in self.order], dtype=np.int64)
+        term = np.array([t for i in self.order for t in vectors[i][0]], dtype=np.int64)
+        weight = np.array([w for i in self.order for w in vectors[i][1]], dtype=float)
+        place = np.repeat(np.arange(len(vectors)), sizes)
+        by_term = np.argsort(term, kind="stable")
+        term, self.place, self.weight = term[by_term], place[by_term].astype(np.int32), weight[by_term]
         self.n_blocks = -(-len(vectors) // BLOCK)
-        self.terms = {}
-        for term, rows in postings.items():
-            place = np.array([p for p, _ in rows])
-            weight = np.array([w for _, w in rows])
-            block = place // BLOCK
-            blocks, starts = np.unique(block, return_index=True)
-            self.terms[term] = (
-                blocks, np.maximum.reduceat(weight, starts), place, weight,
-                np.searchsorted(block, np.arange(self.n_blocks + 1)),
-            )
+        self.cuts = np.searchsorted(term, np.arange(n_terms + 1))
+        # Runs of one term in one block.
+        run, starts = np.unique(term * (self.n_blocks + 1) + self.place // BLOCK, return_index=True)
+        self.run_block = (run % (self.n_blocks + 1)).astype(np.int32)
+        self.most = np.maximum.reduceat(self.weight, starts) if len(starts) else np.zeros(0)
+        self.run_cuts = np.searchsorted(run // (self.n_blocks + 1), np.arange(n_terms + 1))
+
+    @staticmethod
+    def _spread(cuts: np.ndarray, terms: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, weights): the rows that ``cuts`` gives each term, with the term's own weight."""
+        first, n = cuts[terms], cuts[terms + 1] - cuts[terms]
+        rows = np.repeat(first - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        return rows, np.repeat(w, n)
 
     def nearest(self, vector: tuple, k: int, without: int = -1) -> list[tuple[int, float]]:
         """The k examples of greatest cosine above 0, ties by their number; ``without`` excluded."""
-        terms = [(self.terms[t], w) for t, w in zip(*vector, strict=True) if t in self.terms]
-        bound = np.zeros(self.n_blocks)
-        for (blocks, most, *_), w in terms:
-            bound[blocks] += w * most
+        terms, w = np.array(vector[0], dtype=np.int64), np.array(vector[1])
+        runs, own = self._spread(self.run_cuts, terms, w)
+        bound = np.bincount(self.run_block[runs], own * self.most[runs], self.n_blocks)
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
         found: list[tuple[float, int]] = []  # (-cosine, number), the k best so far
-        for block in np.argsort(-bound, kind="stable"):
-            if bound[block] <= 0 or (len(found) >= k and bound[block] < -found[-1][0] - 1e-9):
+        if not len(order):
+            return found
+        rows, own = self._spread(self.cuts, terms, w)
+        place = self.place[rows]
+        block_of = place // BLOCK
+        for blocks in [*order[:FIRST_BLOCKS].reshape(-1, 1), order[FIRST_BLOCKS:]]:
+            if len(found) >= k:
+                blocks = blocks[bound[blocks] >= -found[-1][0] - 1e-9]
+            if not len(blocks):
                 break
-            score = np.zeros(BLOCK)
-            for (_, _, place, weight, cuts), w in terms:
-                a, b = cuts[block], cuts[block + 1]
-                if a < b:
-                    score[place[a:b] - block * BLOCK] += w * weight[a:b]
-            here = np.flatnonzero(score > 0)
-            numbers = self.rank[here + block * BLOCK]
-            found += [(-round(float(s), 9), int(i)) for s, i in zip(score[here], numbers, strict=True) if i != without]
+            open_block = np.zeros(self.n_blocks, dtype=bool)
+            open_block[blocks] = True
+            here = open_block[block_of]
+            score = np.bincount(place[here], own[here] * self.weight[rows[here]], len(self.rank)).round(9)
+            at = np.flatnonzero(score > 0)
+            if len(at) > k + 1:
+                at = at[score[at] >= np.partition(score[at], -k - 1)[-k - 1]]  # one may be left out
+            found += [(-float(score[i]), int(self.rank[i])) for i in at if self.rank[i] != without]
             found.sort()
             del found[k:]
         return [(i, -s) for s, i in found]
@@ -154,22 +169,23 @@ class Model:
     """Everything that scores a text, a function of at most MAX_EXAMPLES texts."""
 
     def __init__(self, ids: list[int], texts: list[str], labels: list[int], terms: list[str],
-                 idf: np.ndarray, k: int):
+                 weights: np.ndarray, k: int):
         self.ids, self.labels, self.k = ids, labels, k
-        self.terms, self.vectors = terms, Vectors(terms, idf)
+        self.terms, self.vectors = terms, Vectors(terms, weights)
         rows = [self.vectors.of(t) for t in texts]
         self.index = BlockMaxIndex(rows, len(terms))
         empty = [y for r, y in zip(rows, labels, strict=True) if not r[0]]
-        self.prior = (sum(empty) + 0.5) / (len(empty) + 1.0)
+        self.prior = (sum(empty) + (sum(labels) + 0.5) / (len(labels) + 1.0)) / (len(empty) + 1.0)
         votes = [vote(self.index.nearest(r, k, i), labels, self.prior) for i, r in enumerate(rows)]
         self.curve = fit_curve(np.array(votes), np.array(labels)) if rows else (np.zeros(1), np.full(1, 0.5))
-        self.seen: dict[tuple, tuple] = {}
+        self.seen: dict[bytes, tuple] = {}
 
     def score(self, text: str) -> tuple[float, list[tuple[int, float]], list[str]]:
         """(score, [(example id, cosine)], the text's terms, heaviest first)."""
         vector = self.vectors.of(text)
-        if vector not in self.seen:
-            if len(self.seen) > 50_000:
+        name = hashlib.blake2b(np.array(vector).tobytes(), digest_size=16).digest()
+        if name not in self.seen:
+            if len(self.seen) > 20_000:
                 self.seen.clear()
             nearest = self.index.nearest(vector, self.k)
             raw = vote(nearest, self.labels, self.prior)
@@ -177,8 +193,8 @@ class Model:
             words = [self.terms[t] for _, t in sorted(zip(vector[1], vector[0], strict=True), reverse=True)[:5]]
             # The vote breaks ties within a step of the curve.
             value = min(1.0, max(0.0, 0.999 * float(self.curve[1][at]) + 0.001 * raw))
-            self.seen[vector] = (value, [(self.ids[i], c) for i, c in nearest], words)
-        return self.seen[vector]
+            self.seen[name] = (value, [(self.ids[i], c) for i, c in nearest], words)
+        return self.seen[name]
 
 
 def document_frequencies(docs: DataFrame, terms: list[str]) -> tuple[int, np.ndarray]:
@@ -211,9 +227,9 @@ def train(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES,
     # The examples are a bounded set: at most max_examples texts.
     found = sorted(rows.select("doc_id", "text", "label").collect(), key=lambda r: r["doc_id"])
     texts, marks = [r["text"] for r in found], [int(bool(r["label"])) for r in found]
-    terms = choose_terms(texts, marks)
+    terms, shares = weigh_terms(texts, marks)
     n, df = document_frequencies(docs, terms)
-    return Model([r["doc_id"] for r in found], texts, marks, terms, np.log((1 + n) / (1 + df)) + 1.0, k)
+    return Model([r["doc_id"] for r in found], texts, marks, terms, shares * (np.log((1 + n) / (1 + df)) + 1.0), k)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> DataFrame:
@@ -221,7 +237,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_
 
     ``neighbours`` are the doc_ids of the nearest examples, ``terms`` the text's heaviest: the
     evidence. A text without any known term (the empty and the null text too) has no neighbour
-    and gets the share of label 1 among such examples; without labels every score is 0.5.
+    and gets the share of label 1 among such examples, or of all if there are none; without labels every score is 0.5.
     Examples are rows of ``labels`` (doc_id, toxic) outside the held-out third. A repeated
     labelled id is one example. Other columns are ignored; an empty table gives no row.
     """

@@ -336,6 +336,15 @@ def test_toxicity_on_held_out_rows(spark):
     assert (held["predicted"] == held["toxic"]).mean() > 0.95
 
 
+@pytest.mark.parametrize("sf, least", [("sf0.001", 0.4), ("sf0.01", 0.85)])
+def test_toxicity_with_few_examples(spark, sf, least):
+    """No text is without neighbours for want of a term with a strong tie to the label."""
+    marks = spark.read.parquet(f"/root/testdata/{sf}/labels.parquet")
+    rows = toxicity.op4_toxicity(spark, f"/root/testdata/{sf}").join(marks, "doc_id").toPandas()
+    held = rows[rows["held_out"] & (rows["toxic"] == 1)]
+    assert (held["neighbours"].map(len) > 0).all() and held["predicted"].mean() >= least
+
+
 def test_block_max_search_is_exact():
     rng = random.Random(2)
     vectors = []
