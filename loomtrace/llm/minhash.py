@@ -17,10 +17,10 @@ import hashlib
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtrace.llm.common import map_batches, saved, table, text_of
+from loomtrace.llm.common import located, map_batches, saved, table, text_of
 from loomtrace.operators.components import connected_components
 from loomtrace.workspace import Workspace
 
@@ -90,12 +90,17 @@ def _node(shingles: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def _digest() -> Column:
+    """A hash of the text as it is, by which a text is found again whether or not its row has an id."""
+    return F.xxhash64(text_of())
+
+
 def signatures(docs: DataFrame, width: int, bands: int, rows: int, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, n_shingles, node, bands, *carry) per row; node and bands are null for an empty set."""
+    """(doc_id, n_shingles, node, bands, digest, *carry) per row; node and bands are null for an empty set."""
     order, cache = _borrow_order(bands * rows), {}
 
     def work(cols: dict[str, list]) -> dict[str, list]:
-        out: dict[str, list] = {"doc_id": cols["doc_id"], "n_shingles": [], "node": [], "bands": []}
+        out: dict[str, list] = {"doc_id": cols["doc_id"], "n_shingles": [], "node": [], "bands": [], "digest": cols["digest"]}
         for text in cols["text"]:
             found = shingle_set(text, width, cache)
             out["n_shingles"].append(len(found))
@@ -103,14 +108,15 @@ def signatures(docs: DataFrame, width: int, bands: int, rows: int, carry: tuple[
             out["bands"].append(band_keys(found, bands, rows, order).view(np.int64) if len(found) else None)
         return out | {c: cols[c] for c in carry}
 
-    rows_in = docs.select(F.col("doc_id").cast("long"), text_of().cast("binary").alias("text"), *carry)
-    schema = "doc_id long, n_shingles long, node long, bands array<long>" + "".join(
+    rows_in = docs.select(
+        F.col("doc_id").cast("long"), text_of().cast("binary").alias("text"), _digest().alias("digest"), *carry)
+    schema = "doc_id long, n_shingles long, node long, bands array<long>, digest long" + "".join(
         f", `{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema)
     return map_batches(rows_in, work, schema)
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(node, shingles) of the ``wanted`` nodes (node, rep: a doc_id that has it)."""
+    """(node, shingles) of the ``wanted`` nodes (node, rep, digest: of a row that has it), each once."""
     cache: dict[bytes, int] = {}
 
     def work(cols: dict[str, list]) -> dict[str, list]:
@@ -118,9 +124,12 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
         keep = [i for i, s in enumerate(sets) if len(s) and _node(sets[i]) == cols["node"][i]]
         return {"node": [cols["node"][i] for i in keep], "shingles": [sets[i].view(np.int64) for i in keep]}
 
-    texts = docs.select(F.col("doc_id").cast("long"), text_of().cast("binary").alias("text"))
-    found = texts.join(wanted.select("node", "rep"), F.col("doc_id") == F.col("rep")).select("node", "text")
-    return map_batches(found, work, "node long, shingles array<long>")
+    texts = docs.select(
+        F.col("doc_id").cast("long"), _digest().alias("text_digest"), text_of().cast("binary").alias("text"))
+    same = F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("text_digest") == F.col("digest"))
+    found = texts.join(wanted.select("node", "rep", "digest"), same).select("node", "text")
+    # Rows with one id and one text, or one text and no id, give one set each.
+    return map_batches(found, work, "node long, shingles array<long>").dropDuplicates(["node"])
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -199,7 +208,7 @@ def _open_buckets(members: DataFrame) -> DataFrame:
 
 
 def links_of(docs: DataFrame, nodes: DataFrame, width: int, percent: int, dense: int = 64) -> DataFrame:
-    """(node, comp) of all nodes linked with another, from ``nodes`` (node, rep, bands).
+    """(node, comp) of all nodes linked with another, from ``nodes`` (node, rep, digest, bands).
 
     After the first star, buckets with two components or more go on: a further centre each as
     long as that joins many. Then, if few members stand apart (``dense`` pairs a row on average),
@@ -213,7 +222,7 @@ def links_of(docs: DataFrame, nodes: DataFrame, width: int, percent: int, dense:
         F.col("centre").alias("u"), F.col("node").alias("v")).distinct()
     star = saved(star, "near-star")
     ends = star.select(F.col("u").alias("node")).union(star.select(F.col("v").alias("node"))).distinct()
-    sets = saved(shingle_sets(docs, nodes.select("node", "rep").join(ends, "node"), width), "near-sets")
+    sets = saved(shingle_sets(docs, nodes.select("node", "rep", "digest").join(ends, "node"), width), "near-sets")
     links = saved(confirmed(star, sets, percent), "near-links")
 
     sizes = sets.select("node", F.size("shingles").alias("size"))
@@ -261,27 +270,36 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
 
     Two texts are linked if the Jaccard similarity of their ``width``-word shingle sets is at
     least ``percent`` hundredths. component_id is the least doc_id of the texts that links
-    reach, and the row that has it is kept. With 40 bands of 6 rows a pair at 0.8 is missed with
+    reach, and the row that has it is kept; of several with it, the least by ``carry``, the
+    rows' places (without places, equal rows are all kept). With 40 bands of 6 rows a pair at 0.8 is missed with
     probability 5e-6, at 0.9 with 3e-14.
 
     Texts without words (null ones too) have no set and stay alone. Equal texts always share
-    a component. A row without doc_id is linked through equal sets only, and is kept where no
-    row of its component has an id. Other columns are ignored; an empty table gives no row.
+    a component. A row without doc_id is linked like any other, and is kept where no row of its
+    component has an id and it is the least by ``carry``. Other columns are ignored; an empty table gives no row.
     """
     found = saved(signatures(docs, width, bands, rows, carry), "near-signatures")
+    # Of a node's rows one stands for all: the least id, rows without one last, then the least place.
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", *carry, "digest")
     nodes = saved(found.where(F.col("node").isNotNull()).groupBy("node").agg(
-        F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "near-nodes")
-    labels = links_of(docs, nodes.where(F.col("rep").isNotNull()), width, percent)
-    names = nodes.select("node", "rep").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    least = names.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    names = names.join(least, "comp").select("node", "component_id")
-    out = found.select("doc_id", "n_shingles", "node", *carry).join(names, "node", "left")
+        F.min(first).alias("first"), F.first("bands").alias("bands"),
+    ).select("node", "first", F.col("first.doc_id").alias("rep"), F.col("first.digest").alias("digest"), "bands"),
+        "near-nodes")
+    labels = links_of(docs, nodes, width, percent)
+    names = nodes.select("node", "first").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    least = names.groupBy("comp").agg(F.min(F.struct("first", "node")).alias("least"))
+    names = names.join(least, "comp").select(
+        "node", F.col("least.first.doc_id").alias("component_id"), F.col("least.first").alias("keep"),
+        (F.col("node") == F.col("least.node")).alias("has_kept"))
+    out = found.select("doc_id", "n_shingles", "node", first.alias("own"), *carry).join(names, "node", "left")
+    kept = F.col("node").isNull() | (F.col("has_kept") & F.col("own").eqNullSafe(F.col("keep")))
     return out.select(
         "doc_id", "n_shingles",
         F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-        *carry,
-    ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+        *carry, kept.alias("kept"),
+    )
 
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), width=4)
+    docs = located(table(spark, sf_dir, "documents"))
+    return near_duplicates(docs, width=4, carry=("_file", "_row")).drop("_file", "_row")

@@ -194,6 +194,16 @@ def test_near_duplicates_of_chains_and_lookalikes(spark, monkeypatch, dense):
     assert {i: r["component_id"] for i, r in found.items()} == components({i: shingles(t, 4) for i, t in docs})
 
 
+def test_near_dedup_keeps_one_row_without_or_with_repeated_ids(spark, tmp_path):
+    base = [f"w{i}" for i in range(200)]
+    rows = [(None, " ".join(base)), (None, " ".join(base[1:])), (None, " ".join(base)),
+            (7, " ".join(f"v{x}" for x in base)), (7, " ".join(f"v{x}" for x in base[1:])), (7, " ".join(f"v{x}" for x in base)),
+            (None, " ".join(f"u{x}" for x in base))]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "docs"))
+    left = corpus_pipeline.near(spark, spark.read.parquet(str(tmp_path / "docs")), SF).collect()
+    assert sorted((r["doc_id"] or -1, r["text"][0]) for r in left) == [(-1, "u"), (-1, "w"), (7, "v")]
+
+
 def test_prefix_buckets_hold_every_similar_pair(spark):
     rng = random.Random(1)
     sets = [(i, sorted(rng.sample(range(40), rng.randint(5, 25)))) for i in range(60)]
