@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomtrace.llm import classifier, exact_dedup, license_scan, minhash, packing, pieces, pii, toxicity, url_filter
+from loomtrace.llm import (
+    classifier, conversation, exact_dedup, license_scan, minhash, negatives, packing, pieces, pii, toxicity, url_filter,
+    warc,
+)
 from loomtrace.llm.common import table
 from loomtrace.llm.quality_rules import quality_rules
 
@@ -24,9 +27,15 @@ QUERIES = {
     "op8_pii_surrogates": pii.op8_pii_surrogates,
     "op9_sentencepiece": pieces.op9_sentencepiece,
     "op10_quality_rules": op10_quality_rules,
+    "op11_hard_negatives": negatives.op11_hard_negatives,
+    "op12_warc": warc.op12_warc,
+    "op13_conversation_repair": conversation.op13_conversation_repair,
 }
 
 ORACLES = {
     "op6_url_filter": url_filter.ORACLE_SQL,
     "op7_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op11_hard_negatives": negatives.ORACLE_SQL,
+    "op12_warc": warc.ORACLE_SQL,
+    "op13_conversation_repair": conversation.ORACLE_SQL,
 }
