@@ -1,151 +1,180 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max index.
 
-The examples are a bounded sample of labelled texts. Their index lists, per term, the examples
-with the term in blocks, and the greatest weight in each block. For a text the sums of those
-greatest weights bound every block's cosines; blocks are scored in falling order of the bound
-until none can hold a nearer example than the k found (Ding and Suel, SIGIR 2011). The terms
-are all those of the examples. Each weighs by how rare it is, counted over the whole corpus,
-and by how far its presence goes with the label in the sample. Votes, weighted by nearness, become a probability by a curve fitted on the
-examples themselves, each held against all others.
+The examples are a bounded sample of labelled texts, all their words are terms, and document
+frequencies are counted over the whole corpus. The k examples of greatest cosine are found
+exactly. Words that few examples share have short posting lists, which are summed up for each
+text. Words that many share (function words) would have lists as long as the sample; they are
+kept by blocks of examples with the greatest weight of each block (Ding and Suel, SIGIR 2011),
+and looked at only in examples that, with their block's maxima, could still be among the k.
+
+Each neighbour has a vote, and its weight is the part of the cosine that comes from words tied
+to the label. A rising curve, fitted on the examples each held against all others, makes
+probabilities of the votes.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 import re
 from collections import Counter
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtrace.llm.classifier import training_sample
 from loomtrace.llm.common import map_batches, remainder, saved, table, text_of
 
-#: The bound of the example set, in labelled documents.
+#: The bounds of the example set: labelled documents, and pairs of a document and a word of it.
 MAX_EXAMPLES = 8_000
-NEIGHBOURS = 15
+MAX_PAIRS = 4_000_000
+NEIGHBOURS = 200
+#: How many neighbours and words are returned as evidence.
+EVIDENCE, EVIDENCE_WORDS = 15, 5
 BLOCK = 64
-#: Chi-square (one degree of freedom, corrected for few examples) from which a term has its full weight.
-FULL_CHI_SQUARE = 30.0
-#: The share of its weight that a term without any tie to the label keeps.
-LEAST_SHARE = 0.02
-#: Blocks scored one by one before the others are scored together.
-FIRST_BLOCKS = 4
-#: Letters of a stem.
-STEM = 5
+#: So many of the most frequent words are kept by blocks.
+BLOCK_WORDS = 256
+#: Chi-square (one degree of freedom, corrected for few examples) from which a word is tied to the label, and fully so.
+LEAST_CHI_SQUARE, FULL_CHI_SQUARE = 6.63, 30.0
+#: The weight of the sample's own share among the votes.
+PRIOR_WEIGHT = 0.03
+#: Texts scored together.
+TOGETHER = 64
 
 _WORD = re.compile(r"[^\W\d_]+")
 
 
 def terms_of(text: str) -> Counter:
-    """The words of the text, their stems ("stem*"), and the stems of two or more words ("stem*2")."""
-    words = Counter(_WORD.findall(text.lower()))
-    stems: Counter = Counter()
-    for word in words:
-        if len(word) > STEM:
-            stems[word[:STEM] + "*"] += 1
-    words.update({stem + "2": n for stem, n in stems.items() if n > 1})
-    words.update(stems)
-    return words
-
-
-def weigh_terms(texts: list[str], labels: list[int]) -> tuple[list[str], np.ndarray]:
-    """All terms of the texts, and the share of its weight that each keeps for its tie to the label."""
-    n, positive = len(labels), sum(labels)
-    there, with_label = Counter(), Counter()
-    for text, label in zip(texts, labels, strict=True):
-        found = terms_of(text).keys()
-        there.update(found)
-        if label:
-            with_label.update(found)
-    terms = sorted(there)
-    df, a = (np.array([c[t] for t in terms], dtype=float) for c in (there, with_label))
-    gap = np.maximum(np.abs(a * n - df * positive) - n / 2, 0.0)
-    spread = df * (n - df) * positive * (n - positive)
-    chi_square = np.where(spread > 0, gap * gap * n / np.where(spread > 0, spread, 1), 0.0)
-    return terms, np.clip(chi_square / FULL_CHI_SQUARE, LEAST_SHARE, 1.0)
-
-
-class Vectors:
-    """Texts as unit vectors of weighted TF-IDF over fixed terms; a text without any of them is empty."""
-
-    def __init__(self, terms: list[str], weights: np.ndarray):
-        self.index, self.weights = {t: i for i, t in enumerate(terms)}, weights
-
-    def of(self, text: str) -> tuple[tuple[int, ...], tuple[float, ...]]:
-        counts = terms_of(text)
-        found = sorted((self.index[t], n) for t, n in counts.items() if t in self.index)
-        weights = [(1.0 + math.log(n)) * self.weights[i] for i, n in found]
-        norm = float(np.sqrt(sum(w * w for w in weights))) or 1.0
-        return tuple(i for i, _ in found), tuple(float(w / norm) for w in weights)
+    """The words of the text, in lower case, with their counts."""
+    return Counter(_WORD.findall(text.lower()))
 
 
-class BlockMaxIndex:
-    """Postings in blocks of BLOCK examples, with the greatest weight of each block."""
-
-    def __init__(self, vectors: list[tuple], n_terms: int):
-        # Examples with the same heaviest term lie together, so that few blocks matter.
-        lead = [(t[int(np.argmax(w))] if t else n_terms) for t, w in vectors]
-        self.order = sorted(range(len(vectors)), key=lambda i: (lead[i], vectors[i], i))
-        self.rank = np.array(self.order, dtype=np.int64)
-        sizes = np.array([len(vectors[i][0]) for i in self.order], dtype=np.int64)
-        term = np.array([t for i in self.order for t in vectors[i][0]], dtype=np.int64)
-        weight = np.array([w for i in self.order for w in vectors[i][1]], dtype=float)
-        place = np.repeat(np.arange(len(vectors)), sizes)
+@dataclass
+class Examples:
+    """The examples by rising id; example i has the term numbers and counts between cuts[i] and cuts[i + 1]."""
+
+    ids: list[int | None]
+    labels: np.ndarray
+    terms: list[str]
+    cuts: np.ndarray
+    term: np.ndarray
+    count: np.ndarray
+
+    def ties(self) -> np.ndarray:
+        """How far each term goes with the label, 0 to 1."""
+        n, positive = len(self.labels), int(self.labels.sum())
+        df = np.bincount(self.term, minlength=len(self.terms)).astype(float)
+        own = np.repeat(self.labels, np.diff(self.cuts))
+        a = np.bincount(self.term, own, len(self.terms))
+        gap = np.maximum(np.abs(a * n - df * positive) - n / 2, 0.0)
+        spread = df * (n - df) * positive * (n - positive)
+        chi_square = gap * gap * n / np.where(spread > 0, spread, np.inf)
+        return np.where(chi_square < LEAST_CHI_SQUARE, 0.0, np.minimum(chi_square / FULL_CHI_SQUARE, 1.0))
+
+
+def unit(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    weights = (1.0 + np.log(counts)) * idf
+    return weights / (np.sqrt(weights @ weights) or 1.0)
+
+
+class Lists:
+    """Posting lists: for each term the places that have it, with their weights."""
+
+    def __init__(self, term: np.ndarray, place: np.ndarray, weight: np.ndarray, n_terms: int, n_places: int):
         by_term = np.argsort(term, kind="stable")
-        term, self.place, self.weight = term[by_term], place[by_term].astype(np.int32), weight[by_term]
-        self.n_blocks = -(-len(vectors) // BLOCK)
-        self.cuts = np.searchsorted(term, np.arange(n_terms + 1))
-        # Runs of one term in one block.
-        run, starts = np.unique(term * (self.n_blocks + 1) + self.place // BLOCK, return_index=True)
-        self.run_block = (run % (self.n_blocks + 1)).astype(np.int32)
-        self.most = np.maximum.reduceat(self.weight, starts) if len(starts) else np.zeros(0)
-        self.run_cuts = np.searchsorted(run // (self.n_blocks + 1), np.arange(n_terms + 1))
-
-    @staticmethod
-    def _spread(cuts: np.ndarray, terms: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(rows, weights): the rows that ``cuts`` gives each term, with the term's own weight."""
-        first, n = cuts[terms], cuts[terms + 1] - cuts[terms]
+        self.place, self.weight, self.n_places = place[by_term].astype(np.int32), weight[by_term], n_places
+        self.cuts = np.searchsorted(term[by_term], np.arange(n_terms + 1))
+
+    def sums(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """For each place, the sum over its terms of the two weights' products."""
+        first, n = self.cuts[terms], self.cuts[terms + 1] - self.cuts[terms]
         rows = np.repeat(first - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
-        return rows, np.repeat(w, n)
-
-    def nearest(self, vector: tuple, k: int, without: int = -1) -> list[tuple[int, float]]:
-        """The k examples of greatest cosine above 0, ties by their number; ``without`` excluded."""
-        terms, w = np.array(vector[0], dtype=np.int64), np.array(vector[1])
-        runs, own = self._spread(self.run_cuts, terms, w)
-        bound = np.bincount(self.run_block[runs], own * self.most[runs], self.n_blocks)
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        found: list[tuple[float, int]] = []  # (-cosine, number), the k best so far
-        if not len(order):
-            return found
-        rows, own = self._spread(self.cuts, terms, w)
-        place = self.place[rows]
-        block_of = place // BLOCK
-        for blocks in [*order[:FIRST_BLOCKS].reshape(-1, 1), order[FIRST_BLOCKS:]]:
-            if len(found) >= k:
-                blocks = blocks[bound[blocks] >= -found[-1][0] - 1e-9]
-            if not len(blocks):
-                break
-            open_block = np.zeros(self.n_blocks, dtype=bool)
-            open_block[blocks] = True
-            here = open_block[block_of]
-            score = np.bincount(place[here], own[here] * self.weight[rows[here]], len(self.rank)).round(9)
-            at = np.flatnonzero(score > 0)
-            if len(at) > k + 1:
-                at = at[score[at] >= np.partition(score[at], -k - 1)[-k - 1]]  # one may be left out
-            found += [(-float(score[i]), int(self.rank[i])) for i in at if self.rank[i] != without]
-            found.sort()
-            del found[k:]
-        return [(i, -s) for s, i in found]
-
-
-def vote(nearest: list[tuple[int, float]], labels: list[int], prior: float) -> float:
-    """The share of label 1 among the neighbours, weighted by cosine, drawn to ``prior`` when they are few."""
-    weight = sum(c for _, c in nearest)
-    return (sum(c for i, c in nearest if labels[i]) + prior) / (weight + 1.0)
+        return np.bincount(self.place[rows], np.repeat(weights, n) * self.weight[rows], self.n_places)
+
+
+class BlockMaxIndex:
+    """Unit vectors of the examples: (terms, weights) of each; ``nearest`` is exact."""
+
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, ties: np.ndarray):
+        n, sizes = len(vectors), np.array([len(t) for t, _ in vectors], dtype=np.int64)
+        term = np.concatenate([t for t, _ in vectors] or [np.zeros(0, dtype=np.int64)])
+        weight = np.concatenate([w for _, w in vectors] or [np.zeros(0)])
+        own = np.repeat(np.arange(n), sizes)
+        df = np.bincount(term, minlength=n_terms)
+        most = np.argsort(-df, kind="stable")[:BLOCK_WORDS]
+        most = np.sort(most[df[most] > BLOCK])
+        self.column = np.full(n_terms, -1, dtype=np.int64)
+        self.column[most] = np.arange(len(most))
+        rare = self.column[term] < 0
+        dense = np.zeros((n, len(most)))
+        dense[own[~rare], self.column[term[~rare]]] = weight[~rare]
+        # Examples of one language (the same heaviest frequent word) and of like length lie together:
+        # where a block lacks the words of a text its bound is 0.
+        lead = dense.argmax(axis=1) if len(most) else np.zeros(n, dtype=np.int64)
+        self.rank = np.lexsort((sizes, lead))
+        self.place_of = np.empty_like(self.rank)
+        self.place_of[self.rank] = np.arange(n)
+        self.dense, place = dense[self.rank], self.place_of[own]
+        self.lists = Lists(term[rare], place[rare], weight[rare], n_terms, n)
+        starts = np.arange(0, n, BLOCK)
+        self.block_most = np.maximum.reduceat(self.dense, starts, axis=0) if n else self.dense
+        self.ties, tied = ties, ties[term] > 0
+        self.tied = Lists(term[tied], place[tied], weight[tied] * ties[term[tied]], n_terms, n)
+
+    def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple]:
+        """For each vector the k examples of greatest cosine above 0, ties by their number: (numbers, cosines)."""
+        frequent = np.zeros((len(vectors), self.dense.shape[1]))
+        for i, (terms, weights) in enumerate(vectors):
+            there = self.column[terms] >= 0
+            frequent[i, self.column[terms[there]]] = weights[there]
+        # Texts of one language together, so that they need the same blocks.
+        order = np.argsort(frequent.argmax(axis=1), kind="stable") if frequent.size else np.arange(len(vectors))
+        out: list[tuple] = [()] * len(vectors)
+        for start in range(0, len(order), TOGETHER):
+            part = order[start:start + TOGETHER]
+            for i, found in zip(part, self._nearest([vectors[j] for j in part], frequent[part], k), strict=True):
+                out[i] = found
+        return out
+
+    def _nearest(self, vectors: list, frequent: np.ndarray, k: int) -> Iterator[tuple]:
+        n, n_blocks = len(self.rank), len(self.block_most)
+        score = np.full((len(vectors), n_blocks * BLOCK), -1.0)
+        least = np.full(len(vectors), -1.0)
+        for i, (terms, weights) in enumerate(vectors):
+            rare = self.column[terms] < 0
+            known = score[i, :n] = self.lists.sums(terms[rare], weights[rare])
+            if n > k:
+                first = np.argpartition(known, n - k)[n - k:]
+                least[i] = (known[first] + self.dense[first] @ frequent[i]).min() - 1e-9
+        # A block that no text needs costs nothing; the others are added up for all texts in one product.
+        could = score.reshape(len(vectors), n_blocks, BLOCK).max(axis=2) + frequent @ self.block_most.T >= least[:, None]
+        for block in np.flatnonzero(could.any(axis=0)) if n else ():
+            rows = slice(block * BLOCK, min(n, (block + 1) * BLOCK))
+            score[:, rows] += frequent @ self.dense[rows].T
+        score[~np.repeat(could, BLOCK, axis=1)] = -1.0
+        for row in score[:, :n].round(9) if n else score:
+            if len(row) > k:
+                row_least = np.partition(row, n - k)[n - k]
+                at = np.flatnonzero((row >= row_least) & (row > 0))
+            else:
+                at = np.flatnonzero(row > 0)
+            number = self.rank[at]
+            order = np.lexsort((number, -row[at]))[:k]
+            yield number[order], row[at[order]]
+
+    def tied_parts(self, vector: tuple[np.ndarray, np.ndarray], numbers: np.ndarray) -> np.ndarray:
+        """The part of each example's cosine that comes from terms tied to the label."""
+        terms, weights = vector
+        some = self.ties[terms] > 0
+        return self.tied.sums(terms[some], weights[some])[self.place_of[numbers]]
+
+
+def vote(weights: np.ndarray, labels: np.ndarray, prior: float) -> float:
+    """The weighted share of label 1, drawn to ``prior`` where the weights are small."""
+    return float((weights @ labels + prior * PRIOR_WEIGHT) / (weights.sum() + PRIOR_WEIGHT))
 
 
 def fit_curve(votes: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -166,90 +195,165 @@ def fit_curve(votes: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 class Model:
-    """Everything that scores a text, a function of at most MAX_EXAMPLES texts."""
-
-    def __init__(self, ids: list[int], texts: list[str], labels: list[int], terms: list[str],
-                 weights: np.ndarray, k: int):
-        self.ids, self.labels, self.k = ids, labels, k
-        self.terms, self.vectors = terms, Vectors(terms, weights)
-        rows = [self.vectors.of(t) for t in texts]
-        self.index = BlockMaxIndex(rows, len(terms))
-        empty = [y for r, y in zip(rows, labels, strict=True) if not r[0]]
-        self.prior = (sum(empty) + (sum(labels) + 0.5) / (len(labels) + 1.0)) / (len(empty) + 1.0)
-        votes = [vote(self.index.nearest(r, k, i), labels, self.prior) for i, r in enumerate(rows)]
-        self.curve = fit_curve(np.array(votes), np.array(labels)) if rows else (np.zeros(1), np.full(1, 0.5))
+    """Scores texts; a function of the examples and the terms' document frequencies only."""
+
+    def __init__(self, examples: Examples, idf: np.ndarray, k: int = NEIGHBOURS):
+        self.ids, self.labels, self.terms, self.k = examples.ids, examples.labels, examples.terms, k
+        self.number, self.idf = {t: i for i, t in enumerate(examples.terms)}, idf
+        parts = [slice(a, b) for a, b in zip(examples.cuts[:-1], examples.cuts[1:], strict=True)]
+        self.vectors = [(examples.term[p], unit(examples.count[p], idf[examples.term[p]])) for p in parts]
+        self.index = BlockMaxIndex(self.vectors, len(self.terms), examples.ties())
+        self.prior = (float(self.labels.sum()) + 0.5) / (len(self.labels) + 1.0)
+        self.curve = (np.zeros(1), np.full(1, self.prior))
         self.seen: dict[bytes, tuple] = {}
 
-    def score(self, text: str) -> tuple[float, list[tuple[int, float]], list[str]]:
-        """(score, [(example id, cosine)], the text's terms, heaviest first)."""
-        vector = self.vectors.of(text)
-        name = hashlib.blake2b(np.array(vector).tobytes(), digest_size=16).digest()
-        if name not in self.seen:
-            if len(self.seen) > 20_000:
-                self.seen.clear()
-            nearest = self.index.nearest(vector, self.k)
-            raw = vote(nearest, self.labels, self.prior)
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"seen": {}}
+
+    def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        numbers = np.array([i for w in _WORD.findall(text.lower()) if (i := self.number.get(w)) is not None], dtype=np.int64)
+        terms, counts = np.unique(numbers, return_counts=True)
+        return terms, unit(counts, self.idf[terms])
+
+    def held_out_votes(self, numbers: list[int]) -> list[float]:
+        """The votes on these examples, each without its own."""
+        out = []
+        for start in range(0, len(numbers), TOGETHER):
+            part = numbers[start:start + TOGETHER]
+            vectors = [self.vectors[i] for i in part]
+            for own, vector, (near, _) in zip(part, vectors, self.index.nearest(vectors, self.k + 1), strict=True):
+                near = near[near != own][:self.k]
+                out.append(vote(self.index.tied_parts(vector, near), self.labels[near], self.prior))
+        return out
+
+    def _score(self, texts: list[str]) -> Iterator[tuple]:
+        vectors = [self.vector(t) for t in texts]
+        for vector, (near, cosines) in zip(vectors, self.index.nearest(vectors, self.k), strict=True):
+            raw = vote(self.index.tied_parts(vector, near), self.labels[near], self.prior)
             at = max(0, int(np.searchsorted(self.curve[0], raw, side="right")) - 1)
-            words = [self.terms[t] for _, t in sorted(zip(vector[1], vector[0], strict=True), reverse=True)[:5]]
             # The vote breaks ties within a step of the curve.
             value = min(1.0, max(0.0, 0.999 * float(self.curve[1][at]) + 0.001 * raw))
-            self.seen[name] = (value, [(self.ids[i], c) for i, c in nearest], words)
-        return self.seen[name]
+            terms, weights = vector
+            best = np.lexsort((terms, -weights * self.index.ties[terms]))[:EVIDENCE_WORDS]
+            yield (value, [self.ids[i] for i in near[:EVIDENCE]], cosines[:EVIDENCE].tolist(),
+                   [self.terms[i] for i in terms[best]])
 
+    def score(self, texts: list[str]) -> list[tuple]:
+        """(score, ids of the nearest examples, their cosines, the words most tied to the label) of each text."""
+        names = [hashlib.blake2b(t.encode(), digest_size=16).digest() for t in texts]
+        if len(self.seen) > 20_000:
+            self.seen.clear()
+        new = {name: t for name, t in zip(names, texts, strict=True) if name not in self.seen}
+        for start in range(0, len(new), TOGETHER):
+            part = dict(list(new.items())[start:start + TOGETHER])
+            self.seen.update(zip(part, self._score(list(part.values())), strict=True))
+        return [self.seen[name] for name in names]
 
-def document_frequencies(docs: DataFrame, terms: list[str]) -> tuple[int, np.ndarray]:
-    """(rows, rows with each term) over all of ``docs``; one number per term comes back."""
-    index = {t: i for i, t in enumerate(terms)}
-
-    def count(cols: dict[str, list]) -> dict[str, list]:
-        found = Counter()
-        for text in cols["text"]:
-            found.update(index[t] for t in terms_of(text) if t in index)
-        found[-1] = len(cols["text"])
-        return {"term": list(found), "n": list(found.values())}
-
-    sums = map_batches(docs.select(text_of().alias("text")), count, "term int, n long").groupBy("term").agg(
-        F.sum("n").alias("n")).collect()
-    out = np.zeros(len(terms))
-    rows = 0
-    for term, n in sums:
-        if term < 0:
-            rows = n
-        else:
-            out[term] = n
-    return rows, out
+
+# ---- On Spark
+
+def _count_terms(cols: dict[str, list]) -> dict[str, list]:
+    found = [sorted(terms_of(t).items()) for t in cols["text"]]
+    return {"doc_id": cols["doc_id"], "label": cols["label"], "terms": [[t for t, _ in f] for f in found],
+            "counts": [[n for _, n in f] for f in found]}
 
 
-def train(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, k: int = NEIGHBOURS) -> Model:
-    """The model of at most ``max_examples`` labelled texts outside the held-out third."""
+def read_examples(docs: DataFrame, labels: DataFrame, max_examples: int, max_pairs: int) -> Examples:
+    """The examples: labelled rows outside the held-out third, in order of a hash of their ids, within both bounds."""
     sample = training_sample(docs, labels, "toxic", 3, 1, max_examples)
-    rows = sample.groupBy("doc_id").agg(F.max("text").alias("text"), F.max("label").alias("label"))
-    # The examples are a bounded set: at most max_examples texts.
-    found = sorted(rows.select("doc_id", "text", "label").collect(), key=lambda r: r["doc_id"])
-    texts, marks = [r["text"] for r in found], [int(bool(r["label"])) for r in found]
-    terms, shares = weigh_terms(texts, marks)
-    n, df = document_frequencies(docs, terms)
-    return Model([r["doc_id"] for r in found], texts, marks, terms, shares * (np.log((1 + n) / (1 + df)) + 1.0), k)
+    one = sample.groupBy("doc_id").agg(F.max("text").alias("text"), F.max("label").alias("label"))
+    counted = saved(map_batches(one, _count_terms, "doc_id long, label int, terms array<string>, counts array<long>"),
+                    "toxicity-examples")
+    # One row of two numbers for each of at most max_examples texts.
+    sizes = counted.select("doc_id", F.size("terms").alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    total, chosen = 0, []
+    for doc_id, n in sizes:
+        total += n
+        if total > max_pairs and chosen:
+            break
+        chosen.append(doc_id)
+    kept = counted if len(chosen) == len(sizes) else counted.join(
+        F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in chosen], "doc_id long")), "doc_id", "left_semi")
+    rows = kept.orderBy("doc_id").toArrow()
+    words, counts = (rows.column(c).combine_chunks() for c in ("terms", "counts"))
+    coded = words.values.dictionary_encode()
+    terms = coded.dictionary.to_pylist()
+    order = np.argsort(np.array(terms, dtype=object), kind="stable") if terms else np.zeros(0, dtype=np.int64)
+    number = np.empty(len(terms), dtype=np.int64)
+    number[order] = np.arange(len(terms))
+    return Examples(
+        rows.column("doc_id").to_pylist(), rows.column("label").to_numpy().astype(bool).astype(np.int64),
+        [terms[i] for i in order], np.asarray(words.offsets, dtype=np.int64),
+        number[coded.indices.to_numpy()], counts.values.to_numpy().astype(float),
+    )
+
+
+def document_frequencies(docs: DataFrame, terms: list[str]) -> tuple[int, np.ndarray]:
+    """(rows, rows with each term) over all of ``docs``; each task sends one number per term it saw."""
+    known = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(terms)})
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers, rows = known.value, 0
+        found = np.zeros(len(numbers), dtype=np.int64)
+        for batch in batches:
+            rows += batch.num_rows
+            for text in batch.column(0):
+                words = set(_WORD.findall(text.as_py().lower()))
+                found[[numbers[w] for w in words if w in numbers]] += 1
+        seen = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.append(seen, -1), pa.int32()), pa.array(np.append(found[seen], rows), pa.int64())],
+            names=["term", "n"])
+
+    sums = docs.select(text_of().alias("text")).mapInArrow(count, "term int, n long").groupBy("term").agg(
+        F.sum("n").alias("n")).toArrow()
+    term, n = sums.column("term").to_numpy(), sums.column("n").to_numpy()
+    out = np.zeros(len(terms))
+    out[term[term >= 0]] = n[term >= 0]
+    return int(n[term < 0].sum()), out
+
+
+def train(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, k: int = NEIGHBOURS,
+          max_pairs: int = MAX_PAIRS) -> Model:
+    """The model; the votes on the held-out examples are cast by tasks."""
+    spark = docs.sparkSession
+    examples = read_examples(docs, labels, max_examples, max_pairs)
+    n, df = document_frequencies(docs, examples.terms)
+    model = Model(examples, np.log((1 + n) / (1 + df)) + 1.0, k)
+    if not examples.ids:
+        return model
+    shared = spark.sparkContext.broadcast(model)
+
+    def cast(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            numbers = batch.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(numbers, pa.int64()), pa.array(shared.value.held_out_votes(numbers), pa.float64())],
+                names=["id", "vote"])
+
+    parts = -(-len(examples.ids) // TOGETHER)
+    votes = spark.range(0, len(examples.ids), 1, parts).mapInArrow(cast, "id long, vote double").orderBy("id").toArrow()
+    model.curve = fit_curve(votes.column("vote").to_numpy(), model.labels)
+    return model
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> DataFrame:
     """(doc_id, held_out, score, predicted, neighbours, cosines, terms) per row of ``docs``.
 
-    ``neighbours`` are the doc_ids of the nearest examples, ``terms`` the text's heaviest: the
-    evidence. A text without any known term (the empty and the null text too) has no neighbour
-    and gets the share of label 1 among such examples, or of all if there are none; without labels every score is 0.5.
-    Examples are rows of ``labels`` (doc_id, toxic) outside the held-out third. A repeated
-    labelled id is one example. Other columns are ignored; an empty table gives no row.
+    ``neighbours`` are the doc_ids of the nearest examples, ``terms`` the text's words most tied
+    to the label: the evidence. Vectors are over the words of the examples. A text without any of
+    them (the empty and the null text too) has no neighbour and the score of the sample's own
+    share; without labels that is 0.5. Examples are rows of ``labels`` (doc_id, toxic) outside
+    the held-out third, at most ``max_examples`` and, with all their words, MAX_PAIRS. A repeated
+    labelled id is one example, toxic if any of its labels says so; null labels do not count.
+    Other columns are ignored; an empty table gives no row.
     """
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, max_examples))
 
     def score(cols: dict[str, list]) -> dict[str, list]:
-        rows = [shared.value.score(t) for t in cols["text"]]
-        return {
-            "doc_id": cols["doc_id"], "score": [r[0] for r in rows],
-            "neighbours": [[i for i, _ in r[1]] for r in rows],
-            "cosines": [[c for _, c in r[1]] for r in rows], "terms": [r[2] for r in rows],
-        }
+        rows = shared.value.score(cols["text"])
+        return {"doc_id": cols["doc_id"]} | {
+            name: [r[i] for r in rows] for i, name in enumerate(("score", "neighbours", "cosines", "terms"))}
 
     rows = docs.select(F.col("doc_id").cast("long"), text_of().alias("text"))
     scored = map_batches(
