@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -198,6 +199,7 @@ class Model:
     """Scores texts; a function of the examples and the terms' document frequencies only."""
 
     def __init__(self, examples: Examples, idf: np.ndarray, k: int = NEIGHBOURS):
+        self.examples = examples
         self.ids, self.labels, self.terms, self.k = examples.ids, examples.labels, examples.terms, k
         self.number, self.idf = {t: i for i, t in enumerate(examples.terms)}, idf
         parts = [slice(a, b) for a, b in zip(examples.cuts[:-1], examples.cuts[1:], strict=True)]
@@ -207,8 +209,11 @@ class Model:
         self.curve = (np.zeros(1), np.full(1, self.prior))
         self.seen: dict[bytes, tuple] = {}
 
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"seen": {}}
+    def __reduce__(self):
+        # Tasks get the examples, a tenth of what is built of them, and build it anew.
+        e = self.examples
+        return _unpacked, ("\n".join(e.terms), e.ids, e.labels.astype(np.int8), e.cuts, e.term.astype(np.int32),
+                           e.count.astype(np.int32), self.idf, self.k)
 
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         numbers = np.array([i for w in _WORD.findall(text.lower()) if (i := self.number.get(w)) is not None], dtype=np.int64)
@@ -250,6 +255,11 @@ class Model:
         return [self.seen[name] for name in names]
 
 
+def _unpacked(terms, ids, labels, cuts, term, count, idf, k) -> Model:
+    words = terms.split("\n") if terms else []
+    return Model(Examples(ids, labels.astype(np.int64), words, cuts, term.astype(np.int64), count.astype(float)), idf, k)
+
+
 # ---- On Spark
 
 def _count_terms(cols: dict[str, list]) -> dict[str, list]:
@@ -290,10 +300,10 @@ def read_examples(docs: DataFrame, labels: DataFrame, max_examples: int, max_pai
 
 def document_frequencies(docs: DataFrame, terms: list[str]) -> tuple[int, np.ndarray]:
     """(rows, rows with each term) over all of ``docs``; each task sends one number per term it saw."""
-    known = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(terms)})
+    known = docs.sparkSession.sparkContext.broadcast("\n".join(terms))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, rows = known.value, 0
+        numbers, rows = {t: i for i, t in enumerate(known.value.split("\n"))}, 0
         found = np.zeros(len(numbers), dtype=np.int64)
         for batch in batches:
             rows += batch.num_rows
@@ -314,15 +324,15 @@ def document_frequencies(docs: DataFrame, terms: list[str]) -> tuple[int, np.nda
 
 
 def train(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, k: int = NEIGHBOURS,
-          max_pairs: int = MAX_PAIRS) -> Model:
-    """The model; the votes on the held-out examples are cast by tasks."""
+          max_pairs: int = MAX_PAIRS) -> tuple[Broadcast, tuple[np.ndarray, np.ndarray]]:
+    """The model, sent to all tasks, and the curve; the votes that fit it are cast by tasks."""
     spark = docs.sparkSession
     examples = read_examples(docs, labels, max_examples, max_pairs)
     n, df = document_frequencies(docs, examples.terms)
     model = Model(examples, np.log((1 + n) / (1 + df)) + 1.0, k)
-    if not examples.ids:
-        return model
     shared = spark.sparkContext.broadcast(model)
+    if not examples.ids:
+        return shared, model.curve
 
     def cast(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -333,8 +343,7 @@ def train(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES,
 
     parts = -(-len(examples.ids) // TOGETHER)
     votes = spark.range(0, len(examples.ids), 1, parts).mapInArrow(cast, "id long, vote double").orderBy("id").toArrow()
-    model.curve = fit_curve(votes.column("vote").to_numpy(), model.labels)
-    return model
+    return shared, fit_curve(votes.column("vote").to_numpy(), model.labels)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> DataFrame:
@@ -348,10 +357,12 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_
     labelled id is one example, toxic if any of its labels says so; null labels do not count.
     Other columns are ignored; an empty table gives no row.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, max_examples))
+    shared, curve = train(docs, labels, max_examples)
 
     def score(cols: dict[str, list]) -> dict[str, list]:
-        rows = shared.value.score(cols["text"])
+        model = shared.value
+        model.curve = curve
+        rows = model.score(cols["text"])
         return {"doc_id": cols["doc_id"]} | {
             name: [r[i] for r in rows] for i, name in enumerate(("score", "neighbours", "cosines", "terms"))}
 
