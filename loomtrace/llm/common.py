@@ -57,7 +57,7 @@ def map_batches(df: DataFrame, work: Callable[[dict[str, list]], dict[str, list]
     """Run ``work`` on the columns of each Arrow batch, as lists; it returns columns as lists."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _slices(batch):
+            for part in slices(batch):
                 out = work(part.to_pydict())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(out[f.name], f.type) for f in arrow], schema=arrow
@@ -80,7 +80,7 @@ def _struct(spark: SparkSession, schema):
     return schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
 
 
-def _slices(batch: pa.RecordBatch, most_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, most_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that a part holds about ``most_bytes``, or one row."""
     rows = batch.num_rows
     step = max(1, int(rows * most_bytes / max(most_bytes, batch.nbytes)))

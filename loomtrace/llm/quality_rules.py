@@ -9,15 +9,16 @@ the votes are gathered over the whole corpus and hold a few hundred numbers per
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from loomtrace.llm.common import map_batches, saved, text_of
+from loomtrace.llm.common import map_batches, saved, slices, text_of
 
 # Frequent function words of English, German, French and Spanish.
 COMMON_WORDS = (
@@ -39,6 +40,10 @@ FEATURES = (
     "n_repeat_words long, classes array<long>, common array<long>"
 )
 
+#: So many languages, those with the most texts, have their numbers sent to every task; each other one
+#: has too small a share of the texts to be a hot key.
+MAX_LANGUAGES = 4096
+
 #: A vote is shared out in so many parts, whole numbers, so that sums do not depend on their order.
 VOTE = 100_000_000
 
@@ -130,30 +135,61 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.where((p_sum[:, 0] == 0) | (q_sum[:, 0] == 0), 0.0, out)
 
 
-def _distance_batch(cols: dict[str, list]) -> dict[str, list]:
-    def distance(own: str, reference: str) -> list:
-        if not cols[own]:
-            return []
-        return js_distance(np.array(cols[own], dtype=float), np.array(cols[reference], dtype=float)).tolist()
-
-    return cols | {
-        "class_distance": distance("classes", "ref_classes"),
-        "word_distance": distance("common", "ref_common"),
-    }
-
-
-def _distances(counts: DataFrame, references: DataFrame) -> DataFrame:
-    """``counts`` with each row's distances to the reference of its language."""
-    both = counts.join(references, F.col("lang") == F.col("ref_lang"))
-    return map_batches(
-        both, _distance_batch, f"{FEATURES}, base_failed boolean, class_distance double, word_distance double"
-    )
+class ByLanguage:
+    """Numbers of each language, beside the rows of that language.
 
+    ``numbers`` has ref_lang, ref_n (texts) and array columns. Those of the MAX_LANGUAGES most
+    frequent languages are sent to every task, so that no hot language is ever shuffled; rows of
+    all other languages, if there are any, meet theirs in a join.
+    """
 
-def _shares(column: str) -> Column:
-    """A histogram column divided by its sum; zeros stay zeros."""
-    total = F.aggregate(column, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(column, lambda x: F.when(total > 0, x / total).otherwise(0.0))
+    def __init__(self, numbers: DataFrame):
+        self.numbers = saved(numbers, "quality-by-language")
+        self.names = [c for c in numbers.columns if c not in ("ref_lang", "ref_n")]
+        top = self.numbers.orderBy(F.desc("ref_n"), "ref_lang").limit(MAX_LANGUAGES + 1).collect()
+        self.all_sent = len(top) <= MAX_LANGUAGES
+        self.sent = {r["ref_lang"]: i for i, r in enumerate(top[:MAX_LANGUAGES])}
+        table = {c: np.array([r[c] for r in top[:MAX_LANGUAGES]], dtype=float) for c in self.names}
+        self.shared = numbers.sparkSession.sparkContext.broadcast((self.sent, table))
+
+    def map(self, rows: DataFrame, lang: Column, work: Callable[[pa.RecordBatch, dict], pa.RecordBatch], schema) -> DataFrame:
+        """``work`` on batches of ``rows`` and {name: matrix with a row of numbers for each of theirs}."""
+        own, shared, names = rows.columns, self.shared, self.names
+        prefix = "_" * (1 + max(map(len, own)))  # so that no column has these names
+        key = f"{prefix}lang"
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in slices(batch):
+                    if not part.num_rows:
+                        continue
+                    if f"{prefix}{names[0]}" in part.schema.names:
+                        found = {c: np.array(part.column(f"{prefix}{c}").to_pylist(), dtype=float) for c in names}
+                    else:
+                        number, table = shared.value
+                        at = [number[x] for x in part.column(key).to_pylist()]
+                        found = {c: table[c][at] for c in names}
+                    yield work(part.select(own), found)
+
+        keyed = rows.withColumn(key, lang)
+        if self.all_sent:
+            return keyed.mapInArrow(run, schema)
+        rest = self.numbers.where(~F.col("ref_lang").isin(list(self.sent))).select(
+            F.col("ref_lang").alias(f"{prefix}ref"), *[F.col(c).alias(f"{prefix}{c}") for c in names])
+        sent = F.col(key).isin(list(self.sent))
+        return keyed.where(sent).mapInArrow(run, schema).unionAll(
+            keyed.where(~sent).join(rest, F.col(key) == F.col(f"{prefix}ref")).drop(f"{prefix}ref").mapInArrow(run, schema))
+
+
+def _matrix(batch: pa.RecordBatch, column: str) -> np.ndarray:
+    """A column of arrays of one length as a matrix."""
+    values = batch.column(column)
+    return values.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(values), -1)
+
+
+def _shares(counts: np.ndarray) -> np.ndarray:
+    total = counts.sum(axis=1, keepdims=True)
+    return counts / np.where(total > 0, total, 1)
 
 
 def _middle(values: Column) -> Column:
@@ -161,49 +197,81 @@ def _middle(values: Column) -> Column:
     return F.percentile(F.round(values, 3), 0.5)
 
 
-def _js_column(p: Column, q: Column) -> Column:
-    """``js_distance`` of two array columns of shares."""
-    def bits(x: Column, m: Column) -> Column:
-        return F.when(x > 0, x * F.log2(x / m)).otherwise(0.0)
+SHELVES = "lang string, apart long, n long, classes array<long>, common array<long>"
+
+
+def _on_shelves(batch: pa.RecordBatch, numbers: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """The votes of a batch summed up by language and distance to its centre, in thousandths."""
+    shares = {c: _shares(_matrix(batch, c)) for c in ("classes", "common")}
+    apart = np.rint(js_distance(shares["classes"], numbers["centre"]) * 1000).astype(np.int64)
+    langs, number = np.unique(np.array(batch.column("lang").to_pylist(), dtype=object), return_inverse=True)
+    shelf, at = np.unique(number * 10_000 + apart, return_inverse=True)
 
-    both = F.zip_with(p, q, lambda x, y: bits(x, (x + y) / 2) + bits(y, (x + y) / 2))
-    return F.sqrt(F.greatest(F.aggregate(both, F.lit(0.0), lambda a, x: a + x) / 2, F.lit(0.0)))
+    def summed(c: str) -> pa.Array:
+        out = np.zeros((len(shelf), shares[c].shape[1]), dtype=np.int64)
+        np.add.at(out, at, np.rint(shares[c] * VOTE).astype(np.int64))
+        return pa.array(out.tolist(), pa.list_(pa.int64()))
 
+    return pa.RecordBatch.from_arrays(
+        [pa.array(langs[shelf // 10_000].tolist(), pa.string()), pa.array(shelf % 10_000, pa.int64()),
+         pa.array(np.bincount(at), pa.int64()), summed("classes"), summed("common")],
+        names=["lang", "apart", "n", "classes", "common"])
 
-def usual_references(counts: DataFrame, usual: float) -> DataFrame:
-    """(ref_lang, ref_classes, ref_common): the references of ``quality_rules`` from a saved table of counts.
+
+def _sums(rows, n_of_common: int = N_COMMON + 1) -> DataFrame:
+    return rows.agg(
+        F.sum("n").alias("n"), F.array(*[F.sum(F.col("classes")[i]) for i in range(len(CLASSES))]).alias("classes"),
+        F.array(*[F.sum(F.col("common")[i]) for i in range(n_of_common)]).alias("common"))
+
+
+def usual_references(counts: DataFrame, usual: float) -> ByLanguage:
+    """ref_classes and ref_common of each language: the references of ``quality_rules``, from a saved table of counts.
 
     A language's distinct texts that pass the base rules vote with their shares. The median share
     of each class is a centre that fewer than half of the votes cannot carry off; the votes within
-    ``usual`` of it, or nearer than the language's median distance, are summed. A language
-    without votes has the sum over all languages.
+    ``usual`` of it, or no farther than the language's median distance, are summed. Distances
+    are taken to three places, so that a language has at most a thousand sums, whose number does
+    not grow with its texts. A language without votes has the sum over all languages.
     """
     votes = counts.where(~F.col("base_failed")).dropDuplicates(["lang", "digest"]).select("lang", "classes", "common")
-    votes = saved(votes, "quality-votes").withColumns({c: _shares(c) for c in ("classes", "common")})
-    centre = votes.groupBy("lang").agg(F.array(*[_middle(F.col("classes")[i]) for i in range(len(CLASSES))]).alias("centre"))
-    centre = saved(centre.withColumn("centre", _shares("centre")), "quality-centres")
-    placed = votes.join(centre, "lang").withColumn(
-        "apart", _js_column(F.col("classes"), F.col("centre")))
-    reach = saved(placed.groupBy(F.col("lang").alias("_lang")).agg(
-        F.greatest(F.lit(usual), _middle(F.col("apart")) + 0.001).alias("reach")), "quality-reach")
-    near = placed.join(reach, F.col("lang") == F.col("_lang")).where("apart <= reach")
-
-    def sums(column: str, n: int, part) -> Column:
-        return F.array(*[F.sum(part(F.col(column)[i])) for i in range(n)]).alias(f"ref_{column}")
-
-    def sums_of_both(rows, part) -> DataFrame:
-        return rows.agg(sums("classes", len(CLASSES), part), sums("common", N_COMMON + 1, part))
-
-    own = saved(sums_of_both(near.groupBy("lang"), lambda x: F.round(x * VOTE).cast("long")), "quality-usual")
-    pooled = sums_of_both(
-        own.select(F.col("ref_classes").alias("classes"), F.col("ref_common").alias("common")),
-        lambda x: F.coalesce(x, F.lit(0)),
-    ).toDF("all_classes", "all_common")
-    langs = counts.select(F.col("lang").alias("ref_lang")).distinct()
-    return langs.join(own, F.col("ref_lang") == F.col("lang"), "left").crossJoin(F.broadcast(pooled)).select("ref_lang", *[
-        F.coalesce(f"ref_{c}", f"all_{c}", F.array_repeat(F.lit(0).cast("long"), n)).alias(f"ref_{c}")
-        for c, n in (("classes", len(CLASSES)), ("common", N_COMMON + 1))
-    ])
+    votes = saved(votes, "quality-votes")
+    total = F.aggregate("classes", F.lit(0).cast("long"), lambda a, x: a + x)
+    shares = [F.col("classes")[i] / F.greatest(total, F.lit(1)) for i in range(len(CLASSES))]
+    centres = votes.groupBy(F.col("lang").alias("ref_lang")).agg(
+        F.count(F.lit(1)).alias("ref_n"), F.array(*[_middle(s) for s in shares]).alias("centre"))
+    shelves = ByLanguage(centres).map(votes, F.col("lang"), _on_shelves, SHELVES)
+    shelves = saved(_sums(shelves.groupBy("lang", "apart")), "quality-shelves")
+    below = Window.partitionBy("lang").orderBy("apart")
+    whole = Window.partitionBy("lang")
+    middle = F.min(F.when(2 * F.col("so_far") >= F.col("all"), F.col("apart"))).over(whole)
+    near = shelves.withColumns({"so_far": F.sum("n").over(below), "all": F.sum("n").over(whole)}).withColumn(
+        "reach", F.greatest(F.lit(round(usual * 1000)), middle)).where("apart <= reach")
+    own = saved(_sums(near.groupBy("lang")).withColumnRenamed("lang", "own_lang"), "quality-usual")
+    pooled = _sums(own).select(F.col("classes").alias("all_classes"), F.col("common").alias("all_common"))
+    langs = counts.groupBy(F.col("lang").alias("ref_lang")).agg(F.count(F.lit(1)).alias("ref_n"))
+    return ByLanguage(
+        langs.join(own, F.col("ref_lang") == F.col("own_lang"), "left").crossJoin(F.broadcast(pooled)).select(
+            "ref_lang", "ref_n", *[_or_pooled(c, n) for c, n in (("classes", len(CLASSES)), ("common", N_COMMON + 1))]))
+
+
+def _or_pooled(column: str, n: int) -> Column:
+    """A language's own sums, or else those of all languages, or else zeros."""
+    none = F.array_repeat(F.lit(0).cast("long"), n)
+    return F.transform(F.coalesce(column, f"all_{column}", none), lambda x: F.coalesce(x, F.lit(0))).alias(f"ref_{column}")
+
+
+def _distances(counts: DataFrame, references: ByLanguage) -> DataFrame:
+    """``counts`` with each row's distances to the reference of its language."""
+    plain = [c for c in counts.columns if c not in ("classes", "common")]
+
+    def measure(batch: pa.RecordBatch, numbers: dict[str, np.ndarray]) -> pa.RecordBatch:
+        distances = [pa.array(js_distance(_matrix(batch, c), numbers[f"ref_{c}"])) for c in ("classes", "common")]
+        return pa.RecordBatch.from_arrays(
+            [*batch.select(plain).columns, *distances], names=[*plain, "class_distance", "word_distance"])
+
+    schema = StructType([*(counts.schema[c] for c in plain), StructField("class_distance", DoubleType()),
+                         StructField("word_distance", DoubleType())])
+    return references.map(counts, F.col("lang"), measure, schema)
 
 
 def base_failed(n_words, n_repeat_words):
@@ -262,26 +330,16 @@ def quality_rules(docs: DataFrame, bounds: Bounds = Bounds()) -> DataFrame:
 def keep_good(docs: DataFrame, bounds: Bounds = Bounds()) -> DataFrame:
     """The rows of ``docs``, all columns, that ``quality_rules`` keeps.
 
-    The verdict is made beside the row itself, so no text is shuffled and no id is needed. Rows
-    meet the reference of their language by a join, which sends out the few references.
+    The verdict is made beside the row itself, so no text is shuffled (but those of languages
+    beyond MAX_LANGUAGES, each of which few rows have) and no id is needed.
     """
-    own = [f"{'_' * (1 + max(map(len, docs.columns)))}{c}" for c in ("lang", "classes", "common")]  # no column's name
-    references = usual_references(_counted(docs), bounds.usual).toDF(*own)
-    lang = F.coalesce(docs["lang"].cast("string"), F.lit(""))
-    both = docs.join(references, lang == references[own[0]])
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
-            counts = [count_text(t) for t in texts]
-            cols = {name: np.array([row[i] for row in counts], dtype=float) for i, name in enumerate(COUNTS)}
-            refs = [np.array(batch.column(c).to_pylist(), dtype=float) for c in own[1:]]
-            odd = bounds.odd(cols["n_words"], cols["word_chars"], js_distance(cols["classes"], refs[0]),
-                             js_distance(cols["common"], refs[1]), np.sqrt, lambda a: np.maximum(a, 1))
-            good = ~base_failed(cols["n_words"], cols["n_repeat_words"]) & ~odd
-            yield batch.filter(pa.array(good)).select(names)
-
-    names = docs.columns
-    return both.mapInArrow(keep, docs.schema)
+    references = usual_references(_counted(docs), bounds.usual)
+
+    def keep(batch: pa.RecordBatch, numbers: dict[str, np.ndarray]) -> pa.RecordBatch:
+        counts = [count_text((t or "").encode()) for t in batch.column("text").to_pylist()]
+        cols = {name: np.array([row[i] for row in counts], dtype=float) for i, name in enumerate(COUNTS)}
+        odd = bounds.odd(cols["n_words"], cols["word_chars"], js_distance(cols["classes"], numbers["ref_classes"]),
+                         js_distance(cols["common"], numbers["ref_common"]), np.sqrt, lambda a: np.maximum(a, 1))
+        return batch.filter(pa.array(~base_failed(cols["n_words"], cols["n_repeat_words"]) & ~odd))
+
+    return references.map(docs, F.coalesce(docs["lang"].cast("string"), F.lit("")), keep, docs.schema)
