@@ -12,7 +12,7 @@ from loomtrace.functions.layers import is_vertical, layer_number, layer_title, t
 from loomtrace.functions.nets import alias_map, unify
 from loomtrace.functions.vias import via_layers
 from loomtrace.operators import components as comp
-from loomtrace.operators import connect, hierarchy, merge
+from loomtrace.operators import connect, hierarchy, merge, summary
 from loomtrace.operators.flatten import flat_vias, flat_wires
 from loomtrace.sinks import drawing, report, via_json
 from loomtrace.sources import driver_tables as dt
@@ -183,6 +183,13 @@ def lvs_end_to_end(spark, sf):
     return comp.component_report(comp.component_members(labels, metals))
 
 
+@query
+def lvs_hierarchical(spark, sf):
+    """The same check from summaries of cells; components are named by their first wire."""
+    layout, placed, ws = _design(spark, sf)
+    return summary.hierarchical_report(layout, placed, dt.ORIENTATION, ws)
+
+
 # ---------------------------------------------------------------- JSON libraries
 
 @query
