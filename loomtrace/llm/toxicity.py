@@ -37,7 +37,7 @@ NEIGHBOURS = 200
 EVIDENCE, EVIDENCE_WORDS = 15, 5
 BLOCK = 64
 #: So many of the most frequent words are kept by blocks.
-BLOCK_WORDS = 256
+BLOCK_WORDS = 384
 #: Chi-square (one degree of freedom, corrected for few examples) from which a word is tied to the label, and fully so.
 LEAST_CHI_SQUARE, FULL_CHI_SQUARE = 6.63, 30.0
 #: The weight of the sample's own share among the votes.
@@ -144,32 +144,39 @@ class BlockMaxIndex:
         n, n_blocks = len(self.rank), len(self.block_most)
         score = np.full((len(vectors), n_blocks * BLOCK), -1.0)
         least = np.full(len(vectors), -1.0)
+        guess = 0.0
         for i, (terms, weights) in enumerate(vectors):
             rare = self.column[terms] < 0
             known = score[i, :n] = self.lists.sums(terms[rare], weights[rare])
             if n > k:
-                first = np.argpartition(known, n - k)[n - k:]
+                # The k best by these words alone, sought among those above a guess if they are enough.
+                some = np.flatnonzero(known > guess)
+                some = some if len(some) > k else np.arange(n)
+                first = some[np.argpartition(known[some], len(some) - k)[len(some) - k:]]
+                guess = 0.5 * known[first].min()
                 least[i] = (known[first] + self.dense[first] @ frequent[i]).min() - 1e-9
         # A block that no text needs costs nothing; the others are added up for all texts in one product.
         could = score.reshape(len(vectors), n_blocks, BLOCK).max(axis=2) + frequent @ self.block_most.T >= least[:, None]
         for block in np.flatnonzero(could.any(axis=0)) if n else ():
             rows = slice(block * BLOCK, min(n, (block + 1) * BLOCK))
             score[:, rows] += frequent @ self.dense[rows].T
-        score[~np.repeat(could, BLOCK, axis=1)] = -1.0
-        for row in score[:, :n].round(9) if n else score:
-            if len(row) > k:
-                row_least = np.partition(row, n - k)[n - k]
-                at = np.flatnonzero((row >= row_least) & (row > 0))
-            else:
-                at = np.flatnonzero(row > 0)
+        for row, bound in zip(score[:, :n], least, strict=True):
+            at = np.flatnonzero(row >= max(bound, 1e-10))  # what was skipped is below the bound
+            value = row[at].round(9)
+            if len(at) > k:
+                best = value >= np.partition(value, len(at) - k)[len(at) - k]
+                at, value = at[best], value[best]
             number = self.rank[at]
-            order = np.lexsort((number, -row[at]))[:k]
-            yield number[order], row[at[order]]
+            order = np.lexsort((number, -value))[:k]
+            order = order[value[order] > 0]
+            yield number[order], value[order]
 
     def tied_parts(self, vector: tuple[np.ndarray, np.ndarray], numbers: np.ndarray) -> np.ndarray:
         """The part of each example's cosine that comes from terms tied to the label."""
         terms, weights = vector
         some = self.ties[terms] > 0
+        if not some.any():
+            return np.zeros(len(numbers))
         return self.tied.sums(terms[some], weights[some])[self.place_of[numbers]]
 
 
@@ -216,9 +223,12 @@ class Model:
                            e.count.astype(np.int32), self.idf, self.k)
 
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        numbers = np.array([i for w in _WORD.findall(text.lower()) if (i := self.number.get(w)) is not None], dtype=np.int64)
-        terms, counts = np.unique(numbers, return_counts=True)
-        return terms, unit(counts, self.idf[terms])
+        counts = terms_of(text)
+        get = self.number.get
+        terms = np.array([get(w, -1) for w in counts], dtype=np.int64)
+        there = terms >= 0
+        terms = terms[there]
+        return terms, unit(np.array(list(counts.values()), dtype=float)[there], self.idf[terms])
 
     def held_out_votes(self, numbers: list[int]) -> list[float]:
         """The votes on these examples, each without its own."""
@@ -304,13 +314,14 @@ def document_frequencies(docs: DataFrame, terms: list[str]) -> tuple[int, np.nda
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers, rows = {t: i for i, t in enumerate(known.value.split("\n"))}, 0
-        found = np.zeros(len(numbers), dtype=np.int64)
+        found, get = np.zeros(len(numbers) + 1, dtype=np.int64), numbers.get
         for batch in batches:
             rows += batch.num_rows
             for text in batch.column(0):
-                words = set(_WORD.findall(text.as_py().lower()))
-                found[[numbers[w] for w in words if w in numbers]] += 1
-        seen = np.flatnonzero(found)
+                # A word of no example counts in the last place.
+                at = [get(w, -1) for w in set(_WORD.findall(text.as_py().lower()))]
+                found[at] += 1
+        seen = np.flatnonzero(found[:-1])
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.append(seen, -1), pa.int32()), pa.array(np.append(found[seen], rows), pa.int64())],
             names=["term", "n"])
