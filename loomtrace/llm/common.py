@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,9 +70,17 @@ def map_batches(df: DataFrame, work: Callable[[dict[str, list]], dict[str, list]
     return df.mapInArrow(run, schema)
 
 
-def located(docs: DataFrame) -> DataFrame:
-    """``docs``, read from files, with _file and _row: the place of each row."""
-    return docs.withColumns({"_file": F.col("_metadata.file_path"), "_row": F.col("_metadata.row_index")})
+def located(docs: DataFrame, file: str = "_file", row: str = "_row") -> DataFrame:
+    """``docs``, read from files, with the place of each row; ``file`` and ``row`` name no column of it."""
+    return docs.withColumns({file: F.col("_metadata.file_path"), row: F.col("_metadata.row_index")})
+
+
+def is_scan(docs: DataFrame) -> bool:
+    """Whether the rows of ``docs`` know their places; those of a join or union of files do not."""
+    try:
+        return bool(located(docs.select()).columns)
+    except AnalysisException:
+        return False
 
 
 def _struct(spark: SparkSession, schema):

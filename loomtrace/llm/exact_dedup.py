@@ -14,7 +14,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtrace.llm.common import SPACE, new_folder, remove, saved, table, text_of
+from loomtrace.llm.common import SPACE, is_scan, new_folder, remove, saved, table, text_of
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -36,7 +36,7 @@ def arrivals(docs: DataFrame) -> DataFrame:
 
 def _locator(docs: DataFrame) -> Column:
     """Where a row's content lies: file and row number, or a running number without files."""
-    if docs.inputFiles():
+    if is_scan(docs):
         return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
     return F.struct(F.lit("").alias("file"), F.monotonically_increasing_id().alias("row"))
 
@@ -128,7 +128,7 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     content itself.
     """
     spark = docs.sparkSession
-    if not docs.inputFiles():  # rows need a place that stays the same when they are read again
+    if not is_scan(docs):  # rows need a place that stays the same when they are read again
         docs = saved(docs.select("doc_id", "text"), "dedup-docs")
         if not docs.inputFiles():
             return _result(docs.select(

@@ -85,9 +85,9 @@ def band_keys(shingles: np.ndarray, bands: int, rows: int, order: np.ndarray) ->
     return key
 
 
-def _node(shingles: np.ndarray) -> int:
-    """A 64-bit name of the set."""
-    return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
+def _node(shingles: np.ndarray) -> bytes:
+    """A 128-bit name of the set."""
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
 def _digest() -> Column:
@@ -110,7 +110,7 @@ def signatures(docs: DataFrame, width: int, bands: int, rows: int, carry: tuple[
 
     rows_in = docs.select(
         F.col("doc_id").cast("long"), text_of().cast("binary").alias("text"), _digest().alias("digest"), *carry)
-    schema = "doc_id long, n_shingles long, node long, bands array<long>, digest long" + "".join(
+    schema = "doc_id long, n_shingles long, node binary, bands array<long>, digest long" + "".join(
         f", `{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema)
     return map_batches(rows_in, work, schema)
 
@@ -129,7 +129,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     same = F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("text_digest") == F.col("digest"))
     found = texts.join(wanted.select("node", "rep", "digest"), same).select("node", "text")
     # Rows with one id and one text, or one text and no id, give one set each.
-    return map_batches(found, work, "node long, shingles array<long>").dropDuplicates(["node"])
+    return map_batches(found, work, "node binary, shingles array<long>").dropDuplicates(["node"])
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -207,13 +207,25 @@ def _open_buckets(members: DataFrame) -> DataFrame:
                                   (F.col("total") - F.col("most.n")).alias("others"))
 
 
+def _outsider_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """(u, v): every member outside its bucket's main component, with each of the bucket's other components.
+
+    Sets whose sizes are too far apart cannot be similar enough, and are no pair.
+    """
+    apart = members.where(F.col("comp") != F.col("main")).select(
+        "key", F.col("node").alias("u"), F.col("comp").alias("u_comp"), F.col("size").alias("u_size"))
+    near = percent * F.greatest("size", "u_size") <= 100 * F.least("size", "u_size")
+    return members.join(apart, "key").where((F.col("comp") != F.col("u_comp")) & near).select(
+        "u", F.col("node").alias("v"))
+
+
 def links_of(docs: DataFrame, nodes: DataFrame, width: int, percent: int, dense: int = 64) -> DataFrame:
     """(node, comp) of all nodes linked with another, from ``nodes`` (node, rep, digest, bands).
 
     After the first star, buckets with two components or more go on: a further centre each as
-    long as that joins many. Then, if few members stand apart (``dense`` pairs a row on average),
-    each of them meets the others of its bucket; otherwise the members only look alike, and the
-    exact buckets of ``_prefix_buckets`` take their place.
+    long as that joins many. Then, in a bucket where at most ``dense`` members stand apart, each of
+    them meets the others, which is linear in the bucket; the members of all other buckets only
+    look alike, and the exact buckets of ``_prefix_buckets`` take their place.
     """
     members = nodes.select("node", F.explode("bands").alias("key"))
     centres = _centres(members).where("n > 1")
@@ -231,52 +243,42 @@ def links_of(docs: DataFrame, nodes: DataFrame, width: int, percent: int, dense:
     while True:
         rest = saved(_with_comp(rest, _rough_labels(links)), "near-rest")
         main = saved(_open_buckets(rest), "near-open")
-        work = main.agg(F.sum(F.col("others") * F.col("total")).alias("pairs"), F.sum("total").alias("rows"),
-                        F.sum("others").alias("apart")).first()
+        work = main.agg(F.sum("total").alias("rows"), F.sum("others").alias("apart")).first()
         if not work["rows"]:
             return _labels(links)
         slow = apart_before is not None and work["apart"] > 0.7 * apart_before
-        few = slow and work["pairs"] <= dense * work["rows"]
-        rest = rest.join(main, "key")
-        if slow and not few and not exact:
-            rest = saved(_prefix_buckets(sets, rest.select("node").distinct(), percent), "near-prefixes")
-            apart_before, exact = None, True
-            continue
         apart_before = work["apart"]
-        if few:
-            rest = rest.join(sizes, "node")
-            apart = rest.where(F.col("comp") != F.col("main")).select(
-                "key", F.col("node").alias("u"), F.col("comp").alias("u_comp"), F.col("size").alias("u_size"))
-            # Sets whose sizes are too far apart cannot be similar enough.
-            near = percent * F.greatest("size", "u_size") <= 100 * F.least("size", "u_size")
-            pairs = rest.join(apart, "key").where((F.col("comp") != F.col("u_comp")) & near)
-            pairs = pairs.select("u", F.col("node").alias("v"))
+        rest = saved(rest.join(main, "key"), "near-apart")
+        few = (F.col("others") <= dense) & F.lit(slow)
+        pairs = _outsider_pairs(rest.where(few).join(sizes, "node"), percent)
+        rest = rest.where(~few)
+        if slow and not exact:
+            rest = _prefix_buckets(sets, rest.select("node").distinct(), percent)
+            apart_before, exact = None, True
         else:
             centre = rest.groupBy("key").agg(F.min(F.struct(
                 (F.col("comp") == F.col("main")).alias("in_main"), "node", "comp")).alias("c"))
             rest = rest.join(centre, "key").where(F.col("node") != F.col("c.node"))
-            pairs = rest.where(F.col("comp") != F.col("c.comp")).select(
-                F.col("c.node").alias("u"), F.col("node").alias("v"))
+            pairs = pairs.unionByName(rest.where(F.col("comp") != F.col("c.comp")).select(
+                F.col("c.node").alias("u"), F.col("node").alias("v")))
             rest = rest.select("key", "node")
         pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
         links = saved(links.unionByName(confirmed(pairs, sets, percent)).distinct(), "near-links")
-        if few:
-            return _labels(links)
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS,
                     rows: int = ROWS, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept, *carry) for every row of ``docs`` (doc_id, text).
+    """(doc_id, n_shingles, component_id, kept, chosen, *carry) for every row of ``docs`` (doc_id, text).
 
     Two texts are linked if the Jaccard similarity of their ``width``-word shingle sets is at
     least ``percent`` hundredths. component_id is the least doc_id of the texts that links
-    reach, and the row that has it is kept; of several with it, the least by ``carry``, the
-    rows' places (without places, equal rows are all kept). With 40 bands of 6 rows a pair at 0.8 is missed with
+    reach, and rows that have it are kept. Of several with it the least by ``carry``, the rows'
+    places, is ``chosen`` (without places, equal rows all are). With 40 bands of 6 rows a pair at 0.8 is missed with
     probability 5e-6, at 0.9 with 3e-14.
 
     Texts without words (null ones too) have no set and stay alone. Equal texts always share
-    a component. A row without doc_id is linked like any other, and is kept where no row of its
-    component has an id and it is the least by ``carry``. Other columns are ignored; an empty table gives no row.
+    a component. A row without doc_id is linked like any other; where no row of its component has
+    an id they all are kept, and the least by ``carry`` is chosen. Other columns are ignored; an empty table gives no row.
     """
     found = saved(signatures(docs, width, bands, rows, carry), "near-signatures")
     # Of a node's rows one stands for all: the least id, rows without one last, then the least place.
@@ -292,14 +294,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
         "node", F.col("least.first.doc_id").alias("component_id"), F.col("least.first").alias("keep"),
         (F.col("node") == F.col("least.node")).alias("has_kept"))
     out = found.select("doc_id", "n_shingles", "node", first.alias("own"), *carry).join(names, "node", "left")
-    kept = F.col("node").isNull() | (F.col("has_kept") & F.col("own").eqNullSafe(F.col("keep")))
+    chosen = F.col("node").isNull() | (F.col("has_kept") & F.col("own").eqNullSafe(F.col("keep")))
+    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select(
-        "doc_id", "n_shingles",
-        F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-        *carry, kept.alias("kept"),
+        "doc_id", "n_shingles", component.alias("component_id"), *carry,
+        F.col("doc_id").eqNullSafe(component).alias("kept"), chosen.alias("chosen"),
     )
 
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = located(table(spark, sf_dir, "documents"))
-    return near_duplicates(docs, width=4, carry=("_file", "_row")).drop("_file", "_row")
+    docs = located(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return near_duplicates(docs, width=4, carry=("_file", "_row")).drop("_file", "_row", "chosen")
