@@ -17,12 +17,12 @@ from loomtrace.llm.packing import pack, read_tokenizer
 from loomtrace.llm.pii import replace_in_place
 from loomtrace.llm.quality_rules import keep_good
 
-PLACE = ["_file", "_row"]
-
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose place is not in ``gone`` (_file, _row)."""
-    return located(docs).join(gone, PLACE, "left_anti").select(*docs.columns)
+    """The rows of ``docs`` whose place is not in ``gone`` (file, row)."""
+    longest = "_" * (1 + max(map(len, docs.columns)))  # no column has these names
+    place = [f"{longest}file", f"{longest}row"]
+    return located(docs, *place).join(gone.toDF(*place), place, "left_anti").select(*[docs[c] for c in docs.columns])
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,14 +33,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with equal texts the longest original stays, then the least id, then one row."""
     found = exact_dedup(docs)
-    gone = found.where("NOT kept").select(F.col("locator.file").alias("_file"), F.col("locator.row").alias("_row"))
+    gone = found.where("NOT kept").select("locator.file", "locator.row")
     return _without(docs, gone)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by five-word shingles at 0.8 or more, the one with the least id stays."""
-    found = near_duplicates(located(docs), carry=("_file", "_row"))
-    return _without(docs, found.where("NOT kept").select(*PLACE))
+    found = near_duplicates(located(docs.select("doc_id", "text")), carry=("_file", "_row"))
+    return _without(docs, found.where("NOT chosen").select("_file", "_row"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
