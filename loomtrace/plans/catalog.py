@@ -12,7 +12,7 @@ from loomtrace.functions.layers import is_vertical, layer_number, layer_title, t
 from loomtrace.functions.nets import alias_map, unify
 from loomtrace.functions.vias import via_layers
 from loomtrace.operators import components as comp
-from loomtrace.operators import connect, hierarchy, merge, summary
+from loomtrace.operators import connect, hierarchy, merge, summary, sweep, trace
 from loomtrace.operators.flatten import flat_vias, flat_wires
 from loomtrace.sinks import drawing, report, via_json
 from loomtrace.sources import driver_tables as dt
@@ -261,6 +261,17 @@ def remove_wires(spark, sf):
     return merge.remove_wires(wires, wires.where(F.col("p") % 30 == 0).distinct())
 
 
+@query
+def track_depth(spark, sf):
+    return sweep.track_depth(dt.placed_shapes(spark, sf), Workspace(spark))
+
+
+@query
+def conflict_spans(spark, sf):
+    ws = Workspace(spark)
+    return sweep.conflict_spans(sweep.track_depth(dt.placed_shapes(spark, sf), ws), ws)
+
+
 # ---------------------------------------------------------------- connecting
 
 def _wired(spark, sf):
@@ -292,6 +303,12 @@ def dangling_vias(spark, sf):
     return connect.dangling_vias(vias, metals, dt.ORIENTATION)
 
 
+@query
+def dangling_nearest(spark, sf):
+    vias, metals, _ = _wired(spark, sf)
+    return sweep.dangling_nearest(vias, metals, dt.ORIENTATION)
+
+
 @query
 def connect_edges(spark, sf):
     vias, metals, _ = _wired(spark, sf)
@@ -357,6 +374,14 @@ def first_conflicts(spark, sf):
     return comp.first_conflicts(_members(spark, sf)[0])
 
 
+@query
+def short_paths(spark, sf):
+    vias, metals, ws = _wired(spark, sf)
+    edges = ws.save(connect.connect_edges(vias, metals, dt.ORIENTATION), "edges")
+    labels = comp.connected_components(edges.select("u", "v"), ws)
+    return trace.short_paths(edges, ws.save(comp.component_members(labels, metals), "members"), ws)
+
+
 @query
 def net_groups(spark, sf):
     labels, metals, _ = _labels(spark, sf)
