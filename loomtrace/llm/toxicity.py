@@ -43,7 +43,7 @@ LEAST_CHI_SQUARE, FULL_CHI_SQUARE = 6.63, 30.0
 #: The weight of the sample's own share among the votes.
 PRIOR_WEIGHT = 0.03
 #: Texts scored together.
-TOGETHER = 64
+TOGETHER = 128
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -222,13 +222,8 @@ class Model:
         return _unpacked, ("\n".join(e.terms), e.ids, e.labels.astype(np.int8), e.cuts, e.term.astype(np.int32),
                            e.count.astype(np.int32), self.idf, self.k)
 
-    def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        counts = terms_of(text)
-        get = self.number.get
-        terms = np.array([get(w, -1) for w in counts], dtype=np.int64)
-        there = terms >= 0
-        terms = terms[there]
-        return terms, unit(np.array(list(counts.values()), dtype=float)[there], self.idf[terms])
+    def vector(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return terms, unit(counts, self.idf[terms])
 
     def held_out_votes(self, numbers: list[int]) -> list[float]:
         """The votes on these examples, each without its own."""
@@ -241,8 +236,8 @@ class Model:
                 out.append(vote(self.index.tied_parts(vector, near), self.labels[near], self.prior))
         return out
 
-    def _score(self, texts: list[str]) -> Iterator[tuple]:
-        vectors = [self.vector(t) for t in texts]
+    def _score(self, counted: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple]:
+        vectors = [self.vector(*c) for c in counted]
         for vector, (near, cosines) in zip(vectors, self.index.nearest(vectors, self.k), strict=True):
             raw = vote(self.index.tied_parts(vector, near), self.labels[near], self.prior)
             at = max(0, int(np.searchsorted(self.curve[0], raw, side="right")) - 1)
@@ -253,12 +248,15 @@ class Model:
             yield (value, [self.ids[i] for i in near[:EVIDENCE]], cosines[:EVIDENCE].tolist(),
                    [self.terms[i] for i in terms[best]])
 
-    def score(self, texts: list[str]) -> list[tuple]:
-        """(score, ids of the nearest examples, their cosines, the words most tied to the label) of each text."""
-        names = [hashlib.blake2b(t.encode(), digest_size=16).digest() for t in texts]
+    def score(self, counted: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple]:
+        """(score, ids of the nearest examples, their cosines, the words most tied to the label) of each text.
+
+        A text is given by its (term numbers, counts); copies are scored once.
+        """
+        names = [hashlib.blake2b(t.tobytes() + n.tobytes(), digest_size=16).digest() for t, n in counted]
         if len(self.seen) > 20_000:
             self.seen.clear()
-        new = {name: t for name, t in zip(names, texts, strict=True) if name not in self.seen}
+        new = {name: c for name, c in zip(names, counted, strict=True) if name not in self.seen}
         for start in range(0, len(new), TOGETHER):
             part = dict(list(new.items())[start:start + TOGETHER])
             self.seen.update(zip(part, self._score(list(part.values())), strict=True))
@@ -308,42 +306,73 @@ def read_examples(docs: DataFrame, labels: DataFrame, max_examples: int, max_pai
     )
 
 
-def document_frequencies(docs: DataFrame, terms: list[str]) -> tuple[int, np.ndarray]:
-    """(rows, rows with each term) over all of ``docs``; each task sends one number per term it saw."""
+def _rows(batch: pa.RecordBatch) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(term numbers, counts) of each row of a batch of ``coded`` texts."""
+    terms, counts = batch.column("terms"), batch.column("counts")
+    cuts = np.asarray(terms.offsets)
+    number = terms.values.to_numpy().astype(np.int64)
+    count = counts.values.to_numpy().astype(float)
+    return [(number[a:b], count[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def coded(docs: DataFrame, terms: list[str]) -> DataFrame:
+    """(doc_id, terms, counts): each text as the numbers of its known terms; no text is read again after this."""
     known = docs.sparkSession.sparkContext.broadcast("\n".join(terms))
 
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get = {t: i for i, t in enumerate(known.value.split("\n"))}.get
+        for batch in batches:
+            cuts, numbers, counts = [0], [], []
+            for text in batch.column("text"):
+                found = terms_of(text.as_py())
+                number = np.array([get(w, -1) for w in found], dtype=np.int32)
+                there = number >= 0
+                numbers.append(number[there])
+                counts.append(np.array(list(found.values()), dtype=np.int32)[there])
+                cuts.append(cuts[-1] + len(numbers[-1]))
+            cuts = pa.array(cuts, pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), *[pa.ListArray.from_arrays(cuts, pa.array(np.concatenate(
+                    [*parts, np.zeros(0, dtype=np.int32)]))) for parts in (numbers, counts)]],
+                names=["doc_id", "terms", "counts"])
+
+    rows = docs.select(F.col("doc_id").cast("long"), text_of().alias("text"))
+    return saved(rows.mapInArrow(code, "doc_id long, terms array<int>, counts array<int>"), "toxicity-coded")
+
+
+def document_frequencies(texts: DataFrame, n_terms: int) -> tuple[int, np.ndarray]:
+    """(rows, rows with each term) over all ``coded`` texts; each task sends one number per term it saw."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, rows = {t: i for i, t in enumerate(known.value.split("\n"))}, 0
-        found, get = np.zeros(len(numbers) + 1, dtype=np.int64), numbers.get
+        rows, found = 0, np.zeros(n_terms, dtype=np.int64)
         for batch in batches:
             rows += batch.num_rows
-            for text in batch.column(0):
-                # A word of no example counts in the last place.
-                at = [get(w, -1) for w in set(_WORD.findall(text.as_py().lower()))]
-                found[at] += 1
-        seen = np.flatnonzero(found[:-1])
+            found += np.bincount(batch.column("terms").flatten().to_numpy(), minlength=n_terms)[:n_terms]
+        seen = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.append(seen, -1), pa.int32()), pa.array(np.append(found[seen], rows), pa.int64())],
             names=["term", "n"])
 
-    sums = docs.select(text_of().alias("text")).mapInArrow(count, "term int, n long").groupBy("term").agg(
-        F.sum("n").alias("n")).toArrow()
+    sums = texts.select("terms").mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     term, n = sums.column("term").to_numpy(), sums.column("n").to_numpy()
-    out = np.zeros(len(terms))
+    out = np.zeros(n_terms)
     out[term[term >= 0]] = n[term >= 0]
     return int(n[term < 0].sum()), out
 
 
 def train(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, k: int = NEIGHBOURS,
-          max_pairs: int = MAX_PAIRS) -> tuple[Broadcast, tuple[np.ndarray, np.ndarray]]:
-    """The model, sent to all tasks, and the curve; the votes that fit it are cast by tasks."""
+          max_pairs: int = MAX_PAIRS) -> tuple[Broadcast, tuple[np.ndarray, np.ndarray], DataFrame]:
+    """The model, sent to all tasks, the curve, and all texts in the model's terms.
+
+    The votes that fit the curve are cast by tasks.
+    """
     spark = docs.sparkSession
     examples = read_examples(docs, labels, max_examples, max_pairs)
-    n, df = document_frequencies(docs, examples.terms)
+    texts = coded(docs, examples.terms)
+    n, df = document_frequencies(texts, len(examples.terms))
     model = Model(examples, np.log((1 + n) / (1 + df)) + 1.0, k)
     shared = spark.sparkContext.broadcast(model)
     if not examples.ids:
-        return shared, model.curve
+        return shared, model.curve, texts
 
     def cast(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -354,7 +383,7 @@ def train(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES,
 
     parts = -(-len(examples.ids) // TOGETHER)
     votes = spark.range(0, len(examples.ids), 1, parts).mapInArrow(cast, "id long, vote double").orderBy("id").toArrow()
-    return shared, fit_curve(votes.column("vote").to_numpy(), model.labels)
+    return shared, fit_curve(votes.column("vote").to_numpy(), model.labels), texts
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> DataFrame:
@@ -368,18 +397,20 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_
     labelled id is one example, toxic if any of its labels says so; null labels do not count.
     Other columns are ignored; an empty table gives no row.
     """
-    shared, curve = train(docs, labels, max_examples)
+    shared, curve, texts = train(docs, labels, max_examples)
 
-    def score(cols: dict[str, list]) -> dict[str, list]:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         model.curve = curve
-        rows = model.score(cols["text"])
-        return {"doc_id": cols["doc_id"]} | {
-            name: [r[i] for r in rows] for i, name in enumerate(("score", "neighbours", "cosines", "terms"))}
-
-    rows = docs.select(F.col("doc_id").cast("long"), text_of().alias("text"))
-    scored = map_batches(
-        rows, score, "doc_id long, score double, neighbours array<long>, cosines array<double>, terms array<string>")
+        for batch in batches:
+            rows = model.score(_rows(batch))
+            yield pa.RecordBatch.from_arrays([
+                batch.column("doc_id"), pa.array([r[0] for r in rows], pa.float64()),
+                *[pa.array([r[i] for r in rows], pa.list_(kind)) for i, kind in ((1, pa.int64()), (2, pa.float64()), (3, pa.string()))],
+            ], names=["doc_id", "score", "neighbours", "cosines", "terms"])
+
+    scored = texts.mapInArrow(
+        score, "doc_id long, score double, neighbours array<long>, cosines array<double>, terms array<string>")
     return scored.select(
         "doc_id", (remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "score",
         (F.col("score") >= 0.7).cast("int").alias("predicted"), "neighbours", "cosines", "terms",
