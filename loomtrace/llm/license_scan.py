@@ -1,9 +1,10 @@
 """Licence scan: a positional index of rare licence words, in SQL functions only.
 
-One pass counts in how many documents each word of the licence templates occurs. Each
-template and each key phrase is then looked up by its rarest words: their positions in a
-document, less their positions in the template, give the places where the template may begin,
-and the words at those places decide. A document without any rare word is never examined
+One pass counts in how many documents each word of the licence templates occurs. Each key
+phrase is then looked up by its rarest words, and a template by the rarest words of its
+mandatory phrases, which must stand there in any case: their positions in a document, less their
+positions in the template, are intersected, and what is left are the places where the template
+may begin; the words at those places decide. A document without any such word is never examined
 further. Both passes are projections over the scan; only the document frequencies, one row
 per template word, are aggregated.
 """
@@ -104,6 +105,29 @@ def _rarest(words: list[str], idf: dict[str, float], n: int) -> list[int]:
     return sorted(range(len(words)), key=lambda i: (-idf[words[i]], i))[:n]
 
 
+def _lookup(template: Template, idf: dict[str, float], min_share: float) -> tuple[list[int], bool]:
+    """The template's places to look it up by, and whether all of them must be right.
+
+    Two of the rarest words of the mandatory phrases, which stand at every place that counts.
+    Without mandatory phrases, so many of the rarest words that the rest weighs too little: one of
+    them at least stands at every place that counts.
+    """
+    words, needed = template.words, set()
+    for phrase in template.mandatory:
+        part = phrase.split()
+        starts = [i for i in range(len(words)) if words[i:i + len(part)] == part]
+        if not starts:
+            raise ValueError(f"{phrase!r} is not in its template: {template.text!r}")
+        needed |= set(range(starts[0], starts[0] + len(part)))
+    order = _rarest(words, idf, len(words))
+    if needed:
+        return [i for i in order if i in needed][:2], True
+    total, taken = sum(idf[w] for w in words), 0
+    while taken < len(order) and sum(idf[words[i]] for i in order[taken:]) >= min_share * total:
+        taken += 1
+    return order[:taken], False
+
+
 def _phrase_starts(phrase: list[str], idf: dict[str, float]) -> Column:
     """Every place where the phrase stands: found by its rarest word, verified word by word."""
     at = _rarest(phrase, idf, 1)[0]
@@ -113,13 +137,14 @@ def _phrase_starts(phrase: list[str], idf: dict[str, float]) -> Column:
     ))
 
 
-def _template_score(template: Template, idf: dict[str, float], n_rare: int) -> Column:
+def _template_score(template: Template, idf: dict[str, float], min_share: float) -> Column:
     """The best share, by inverse frequency, of the template found in place; 0 if a key phrase lacks."""
     words = template.words
     total = sum(idf[w] for w in words) or 1.0
-    starts = F.array_distinct(F.concat(*[
-        _less(F.col(f"_at_{words[i]}"), i) for i in _rarest(words, idf, n_rare)
-    ]))
+    at, all_needed = _lookup(template, idf, min_share)
+    starts, *others = [_less(F.col(f"_at_{words[i]}"), i) for i in at]
+    for other in others:
+        starts = F.array_intersect(starts, other) if all_needed else F.array_union(starts, other)
 
     def here(start: Column) -> Column:
         # Words before the text's begin read as absent.
@@ -139,8 +164,7 @@ def _template_score(template: Template, idf: dict[str, float], n_rare: int) -> C
     return F.aggregate(F.transform(starts, here), F.lit(0.0), lambda s, x: F.greatest(s, x))
 
 
-def license_scan(docs: DataFrame, templates=TEMPLATES, phrases=BASE_PHRASES, n_rare: int = 2,
-                 min_share: float = 0.7) -> DataFrame:
+def license_scan(docs: DataFrame, templates=TEMPLATES, phrases=BASE_PHRASES, min_share: float = 0.7) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): phrase counts and places, labels, a score.
 
     ``n_base``: all places of ``phrases``; ``first_word`` and ``last_word``: the smallest and
@@ -153,7 +177,7 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, phrases=BASE_PHRASES, n_r
     idf = inverse_frequencies(docs, vocabulary(templates, phrases))
     phrase_words = {p: p.split() for p in phrases}
     rare = {words[i] for words in phrase_words.values() for i in _rarest(words, idf, 1)}
-    rare |= {t.words[i] for t in templates for i in _rarest(t.words, idf, n_rare)}
+    rare |= {t.words[i] for t in templates for i in _lookup(t, idf, min_share)[0]}
     anchors = sorted(rare)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words_of().alias("_all"))
@@ -165,7 +189,7 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, phrases=BASE_PHRASES, n_r
     rows = rows.select(
         "doc_id", "n_words",
         *[_phrase_starts(words, idf).alias(f"_p_{i}") for i, words in enumerate(phrase_words.values())],
-        *[_template_score(t, idf, n_rare).alias(f"_t_{i}") for i, t in enumerate(templates)],
+        *[_template_score(t, idf, min_share).alias(f"_t_{i}") for i, t in enumerate(templates)],
     )
     places = F.concat(*[F.col(f"_p_{i}") for i in range(len(phrases))])
     base = F.array(*[F.when(F.size(f"_p_{i}") > 0, F.lit(label)) for i, label in enumerate(phrases.values())])
