@@ -14,12 +14,13 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from ipaddress import IPv6Address
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtrace.llm.common import map_batches, saved, table, text_of
+from loomtrace.llm.common import map_batches, saved, slices, table, text_of
 
 #: For tests and examples; pass a secret of your own.
 DEFAULT_KEY = b"surrogates"
@@ -58,9 +59,14 @@ _NUMBER = re.compile(
 _ANY_DIGIT = re.compile("[0-9]")
 _SECRET = re.compile(
     r"(?i:\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key))\W{0,4}[=:]\W{0,4}(?P<value>[A-Za-z0-9_/+.-]{8,}\w)"
+    r"|\b(?i:bearer) (?P<bearer>[A-Za-z0-9_/+.~-]{16,}=*)"
     r"|\b(?P<hex>[0-9a-f]{32,128}|[0-9A-F]{32,128})\b"
     r"|\b(?P<key>(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,})\b"
 )
+_SECRET_IN_QUOTES = re.compile(
+    r"(?i:\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key))\W{0,4}[=:]\s{0,2}[\"'](?P<quoted>[^\s\"']{8,})[\"']")
+_IPV6 = re.compile(r"(?<![\w:.])[0-9A-Fa-f:]{9,39}(?![\w:])")
+_ANY_SECRET = re.compile(r"(?i:token|secret|passw|key|bearer)")
 _IBAN = re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b")
 _WORD = r"[^\W\d_a-zà-ÿа-яα-ω][^\W\d_]+"
 _NAME = re.compile(
@@ -151,8 +157,18 @@ class Surrogates:
         return self.spelled("ssn", text, self.own_alphabet)
 
     def iban(self, text: str) -> str:
+        """A number with right check digits of its own."""
+        rest = self.spelled(f"iban{text[:2]}", "".join(text[4:].split()).lower(), self.own_alphabet).upper()
+        return text[:2] + _filled(text[2:], f"{98 - _mod_97(rest + text[:2] + '00'):02d}{rest}")
+
+    def account(self, text: str) -> str:
+        """Like an IBAN, but its check digits are wrong, and so may be those that stand for them."""
         rest = "".join(text[2:].split()).lower()
-        return text[:2] + _filled(text[2:], self.spelled(f"iban{text[:2]}", rest, self.own_alphabet).upper())
+        return text[:2] + _filled(text[2:], self.spelled(f"account{text[:2]}", rest, self.own_alphabet).upper())
+
+    def ipv6(self, text: str) -> str:
+        low = self.spelled("ipv6", text.lower(), lambda c: HEX if c in HEX else None)
+        return low.upper() if text == text.upper() else low
 
     def secret(self, text: str) -> str:
         low = text.lower()
@@ -165,9 +181,11 @@ class Surrogates:
         return " ".join(self._name_word(w) for w in text.split(" "))
 
     def _name_word(self, word: str) -> str:
-        if word in self.names:
-            names = self.names[word]
-            return names[self.moved(f"names{names[0]}".encode(), names.index(word), len(names))]
+        listed = word if word in self.names else word.capitalize()
+        if listed in self.names:
+            names = self.names[listed]
+            new = names[self.moved(f"names{names[0]}".encode(), names.index(listed), len(names))]
+            return new if word == listed else new.upper() if word.isupper() else new.lower()
         out = word.lower()
         while True:  # a made name that is one of the lists is walked past
             out = self.spelled("name", out, self.own_alphabet)
@@ -201,8 +219,30 @@ def _luhn(digits: list[str]) -> int:
     return total % 10
 
 
+def _is_ipv6(text: str) -> bool:
+    """Whether it is an address of four groups or more (shorter ones are mostly names in programs)."""
+    try:
+        IPv6Address(text)
+    except ValueError:
+        return False
+    return sum(map(bool, text.split(":"))) >= 4
+
+
+def _mod_97(number: str) -> int:
+    """The remainder that IBAN check digits are made of; letters count from 10."""
+    return int("".join(str(int(c, 36)) for c in number)) % 97
+
+
 def find_entities(text: str) -> list[tuple[int, int, str]]:
-    """[(start, end, kind)] of the entities of a text, in order and apart from each other."""
+    """[(start, end, kind)] of the entities of a text, in order and apart from each other.
+
+    A text is searched again for the single words of the names found in it, in any case, so that
+    no part of a name stays beside what stands for the whole. Found are: e-mail addresses; IPv4 and IPv6
+    addresses; card numbers with a right check digit; IBANs; numbers written like US social security or, with
+    separators or a leading +, telephone numbers; secrets behind a word like token or password (if without a
+    digit, only in quotes), bearer tokens, long hexadecimal strings and some services' keys; names
+    behind a title, or a listed given name with a word after it. Other names, and bare phone numbers, are not.
+    """
     found: list[tuple[int, int, str]] = []
 
     def add(start: int, end: int, kind: str) -> None:
@@ -214,20 +254,42 @@ def find_entities(text: str) -> list[tuple[int, int, str]]:
             add(*m.span(), "email")
     if _ANY_DIGIT.search(text):
         _find_numbers(text, add)
+    elif _ANY_SECRET.search(text):
+        _find_secrets(text, add)
     if _ANY_NAME.search(text):
         for m in _NAME.finditer(text):
             add(*m.span("titled" if m["titled"] else "known"), "name")
+        # Short words are too common in lower case to be taken for a name.
+        words = {w for a, b, kind in found if kind == "name" for w in text[a:b].split(" ")}
+        if words:
+            again = re.compile(rf"\b(?:{'|'.join(sorted(map(re.escape, words)))})\b", re.IGNORECASE)
+            for m in again.finditer(text):
+                if len(m[0]) > 3 or m[0][0].isupper():
+                    add(*m.span(), "name")
     return sorted(found)
 
 
-def _find_numbers(text: str, add: Callable[[int, int, str], None]) -> None:
-    for m in _SECRET.finditer(text):
-        group = m.lastgroup
+def _find_secrets(text: str, add: Callable[[int, int, str], None]) -> None:
+    at = 0
+    while m := _SECRET.search(text, at):
+        group, at = m.lastgroup, m.end()
         if group == "value" and not any(c.isdigit() for c in m["value"]):
-            continue
+            quoted = _SECRET_IN_QUOTES.match(text, m.start())
+            if not quoted:
+                continue
+            group, m, at = "quoted", quoted, quoted.end()
         add(*m.span(group), "secret")
+
+
+def _find_numbers(text: str, add: Callable[[int, int, str], None]) -> None:
+    _find_secrets(text, add)
     for m in _IBAN.finditer(text):
-        add(*m.span(), "iban")
+        number = "".join(m[0].split())
+        add(*m.span(), "iban" if _mod_97(number[4:] + number[:4]) == 1 else "account")
+    if text.count(":") > 1:
+        for m in _IPV6.finditer(text):
+            if _is_ipv6(m[0]):
+                add(*m.span(), "ipv6")
     for m in _NUMBER.finditer(text):
         kind = next(k for k in ("ip", "card", "ssn", "phone") if m[k] is not None)
         n_digits = sum(c.isdigit() for c in m[0])
@@ -242,9 +304,9 @@ def _find_numbers(text: str, add: Callable[[int, int, str], None]) -> None:
 
 def canonical(kind: str, entity: str) -> str:
     """What two spellings of one entity have in common."""
-    if kind in ("card", "phone", "iban"):
+    if kind in ("card", "phone", "iban", "account"):
         return "".join(c for c in entity.lower() if c.isalnum() or c == "+")
-    return entity.lower() if kind in ("email", "name") else entity
+    return entity.lower() if kind in ("email", "name", "ipv6") else entity
 
 
 def replace_entities(text: str, surrogates: Surrogates) -> tuple[str, list[tuple[str, str, str]]]:
@@ -318,10 +380,11 @@ def replace_in_place(docs: DataFrame, key: bytes = DEFAULT_KEY, check: bool = Tr
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         surrogates = Surrogates(key)
         for batch in batches:
-            texts = [t and replace_entities(t, surrogates)[0] for t in batch.column(at).to_pylist()]
-            columns = batch.columns
-            columns[at] = pa.array(texts, batch.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+            for part in slices(batch):
+                texts = [t and replace_entities(t, surrogates)[0] for t in part.column(at).to_pylist()]
+                columns = part.columns
+                columns[at] = pa.array(texts, part.schema.field(at).type)
+                yield pa.RecordBatch.from_arrays(columns, schema=part.schema)
 
     return docs.mapInArrow(work, docs.schema)
 

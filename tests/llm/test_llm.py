@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from loomtrace.llm import catalog, classifier, minhash, packing, pii, toxicity
 from loomtrace.llm.exact_dedup import exact_dedup
-from loomtrace.llm.license_scan import BASE_PHRASES, license_scan
+from loomtrace.llm.license_scan import BASE_PHRASES, TEMPLATES, inverse_frequencies, license_scan, vocabulary
 from loomtrace.llm.pieces import Encoder, decode, encode
 from loomtrace.llm.quality_rules import keep_good, quality_rules, repeated_words
 from loomtrace.llm.url_filter import url_filter
@@ -307,6 +307,60 @@ def test_surrogates():
     assert pii.replace_entities(text, pii.Surrogates(b"other"))[0] != new
 
 
+def test_surrogates_keep_to_one_person_and_format():
+    s = pii.Surrogates(b"key")
+
+    def new(text):
+        return pii.replace_entities(text, s)[0]
+
+    text = new("Mr. James Kant left. Kant said James was ill; JAMES KANT, kant and the kantian")
+    title, given, family, *_ = text.split(" ")
+    assert text == f"Mr. {given} {family} left. {family} said {given} was ill; {given.upper()} {family.upper()}, {family.lower()} and the kantian"
+    assert {given, family}.isdisjoint({"James", "Kant"})
+    assert "correcthorsebattery" not in new('password = "correcthorsebattery"')
+    assert new("the password is required here, token: something") == "the password is required here, token: something"
+    assert "abcdefghijklmnopqrst" not in new("Authorization: Bearer abcdefghijklmnopqrst")
+    for address in ("2001:0db8:85a3:0000:0000:8a2e:0370:7334", "fe80::1ff:fe23:4567:890a"):
+        other = new(f"at {address}.")[3:-1]
+        assert other != address and [c == ":" for c in other] == [c == ":" for c in address]
+    assert new("at 12:30:45 and 10:20") == "at 12:30:45 and 10:20"
+    iban = new("to DE89 3704 0044 0532 0130 00 now")[3:-4]
+    number = iban.replace(" ", "")
+    assert pii._mod_97(number[4:] + number[:4]) == 1 and iban != "DE89 3704 0044 0532 0130 00" and iban.count(" ") == 5
+    assert len({new(f"DE{98 - pii._mod_97(f'{n:018d}DE00'):02d}{n:018d}") for n in range(50)}) == 50
+
+
+def brute_license(words, idf, template, min_share=0.7):
+    """The best share of a template over all places, with all its mandatory phrases in place."""
+    want, total, best = template.words, sum(idf[w] for w in template.words) or 1.0, 0.0
+    for start in range(-len(want) + 1, len(words)):
+        found = [words[start + i] if 0 <= start + i < len(words) else "" for i in range(len(want))]
+        if all(f" {p} " in f" {' '.join(found)} " for p in template.mandatory):
+            best = max(best, sum(idf[w] for w, f in zip(want, found, strict=True) if w == f) / total)
+    return best
+
+
+def test_license_templates_against_brute_force(spark):
+    rng = random.Random(4)
+    rows = [(0, "Permission is hereby granted, free of charge, to any person getting a copy of this "
+                "software and linked documentation files"), (1, "version 2 of the apache license"), (2, None), (3, "")]
+    for i in range(4, 60):
+        words = []
+        for t in rng.sample(TEMPLATES, 2):
+            words += [w if rng.random() < 0.85 else rng.choice(["zzz", "license", "the"]) for w in t.words] + ["and"] * rng.randint(0, 2)
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    idf = inverse_frequencies(docs, vocabulary())
+    found = by_id(license_scan(docs))
+    assert found[0]["labels"] == "mit" and found[0]["score"] < 1
+    for i, text in rows:
+        words = re.findall("[a-z0-9]+", (text or "").lower())
+        shares = [brute_license(words, idf, t) for t in TEMPLATES]
+        labels = set(found[i]["base_labels"].split(",")) | {t.label for t, s in zip(TEMPLATES, shares, strict=True) if s >= 0.7}
+        assert set(found[i]["labels"].split(",")) - {""} == labels - {""}
+        assert found[i]["n_base"] or abs(found[i]["score"] - min(1, max(shares))) < 1e-9
+
+
 def test_no_surrogates_collide(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     assert pii.collisions(pii.entity_pairs(docs)).isEmpty()
