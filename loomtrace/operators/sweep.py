@@ -38,7 +38,7 @@ def _carried(rows: DataFrame, group: list[str], at: str, value: str, inclusive:
 
 
 def last_before(points: DataFrame, marks: DataFrame, group: list[str], at: str, value: str, out: str,
-                inclusive: bool = False, bits: int = TILE_BITS) -> DataFrame:
+                inclusive: bool = False, bits: int | None = None) -> DataFrame:
     """``points`` with ``out``: ``value`` of the last of ``marks`` (*group, at, value) before each, else null.
 
     An as-of join as one sort of both sides. Marks at the very place of a point count if
@@ -50,7 +50,7 @@ def last_before(points: DataFrame, marks: DataFrame, group: list[str], at: str,
                          ).unionByName(best.withColumn("_point", F.lit(None).cast(
                              points.select(own.alias("p")).schema["p"].dataType)))
     marks_first = F.col("_mark").isNull() if inclusive else F.col("_mark").isNotNull()
-    found = _carried(both, group, at, "_mark", marks_first, bits)
+    found = _carried(both, group, at, "_mark", marks_first, bits or TILE_BITS)
     return found.where(F.col("_point").isNotNull()).select("_point.*", F.col("_before").alias(out))
 
 

@@ -12,7 +12,7 @@ from loomtrace.functions.layers import is_vertical, layer_number, layer_title, t
 from loomtrace.functions.nets import alias_map, unify
 from loomtrace.functions.vias import via_layers
 from loomtrace.operators import components as comp
-from loomtrace.operators import connect, hierarchy, merge, summary, sweep, trace
+from loomtrace.operators import connect, hierarchy, merge, opens, summary, sweep, trace
 from loomtrace.operators.flatten import flat_vias, flat_wires
 from loomtrace.sinks import drawing, report, via_json
 from loomtrace.sources import driver_tables as dt
@@ -382,6 +382,12 @@ def short_paths(spark, sf):
     return trace.short_paths(edges, ws.save(comp.component_members(labels, metals), "members"), ws)
 
 
+@query
+def net_opens(spark, sf):
+    labels, metals, ws = _labels(spark, sf)
+    return opens.net_opens(ws.save(comp.all_labels(labels, metals), "groups"), metals, dt.ORIENTATION, ws)
+
+
 @query
 def net_groups(spark, sf):
     labels, metals, _ = _labels(spark, sf)
