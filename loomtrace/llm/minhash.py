@@ -27,6 +27,8 @@ from loomtrace.workspace import Workspace
 BANDS, ROWS = 40, 6
 BINS = BANDS * ROWS
 CACHE = 200_000
+#: So many members of a bucket at most, apart from its main component, meet the others at once.
+OUTSIDERS = 1024
 
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -207,12 +209,12 @@ def _open_buckets(members: DataFrame) -> DataFrame:
                                   (F.col("total") - F.col("most.n")).alias("others"))
 
 
-def _outsider_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """(u, v): every member outside its bucket's main component, with each of the bucket's other components.
+def _outsider_pairs(members: DataFrame, chosen: Column, percent: int) -> DataFrame:
+    """(u, v): every ``chosen`` member outside its bucket's main component, with the bucket's other components.
 
     Sets whose sizes are too far apart cannot be similar enough, and are no pair.
     """
-    apart = members.where(F.col("comp") != F.col("main")).select(
+    apart = members.where((F.col("comp") != F.col("main")) & chosen).select(
         "key", F.col("node").alias("u"), F.col("comp").alias("u_comp"), F.col("size").alias("u_size"))
     near = percent * F.greatest("size", "u_size") <= 100 * F.least("size", "u_size")
     return members.join(apart, "key").where((F.col("comp") != F.col("u_comp")) & near).select(
@@ -223,9 +225,11 @@ def links_of(docs: DataFrame, nodes: DataFrame, width: int, percent: int, dense:
     """(node, comp) of all nodes linked with another, from ``nodes`` (node, rep, digest, bands).
 
     After the first star, buckets with two components or more go on: a further centre each as
-    long as that joins many. Then, in a bucket where at most ``dense`` members stand apart, each of
-    them meets the others, which is linear in the bucket; the members of all other buckets only
-    look alike, and the exact buckets of ``_prefix_buckets`` take their place.
+    long as that joins many. Then, if few members stand apart (``dense`` pairs a row on average),
+    each of them meets the others of its bucket; otherwise the members only look alike, and the
+    exact buckets of ``_prefix_buckets`` take their place. A bucket with more than OUTSIDERS
+    members apart never has them all tested at once: it too goes to exact buckets, and from
+    there as many as that are tested, and leave it, in a round.
     """
     members = nodes.select("node", F.explode("bands").alias("key"))
     centres = _centres(members).where("n > 1")
@@ -239,31 +243,45 @@ def links_of(docs: DataFrame, nodes: DataFrame, width: int, percent: int, dense:
 
     sizes = sets.select("node", F.size("shingles").alias("size"))
     rest = shared.where((F.col("n") > 2) & (F.col("node") != F.col("centre"))).select("key", "node")
-    apart_before, exact = None, False
+    apart_before, exact, rounds = None, False, 0
     while True:
         rest = saved(_with_comp(rest, _rough_labels(links)), "near-rest")
         main = saved(_open_buckets(rest), "near-open")
-        work = main.agg(F.sum("total").alias("rows"), F.sum("others").alias("apart")).first()
+        small = F.col("others") <= OUTSIDERS
+        work = main.agg(F.sum("total").alias("rows"), F.sum("others").alias("apart"), F.max("others").alias("most"),
+                        F.sum(F.when(small, F.col("others") * F.col("total")).otherwise(0)).alias("pairs")).first()
         if not work["rows"]:
             return _labels(links)
         slow = apart_before is not None and work["apart"] > 0.7 * apart_before
-        apart_before = work["apart"]
-        rest = saved(rest.join(main, "key"), "near-apart")
-        few = (F.col("others") <= dense) & F.lit(slow)
-        pairs = _outsider_pairs(rest.where(few).join(sizes, "node"), percent)
-        rest = rest.where(~few)
-        if slow and not exact:
-            rest = _prefix_buckets(sets, rest.select("node").distinct(), percent)
+        direct = slow and work["pairs"] <= dense * work["rows"]
+        rest = rest.join(main, "key")
+        if slow and not direct and not exact:
+            rest = saved(_prefix_buckets(sets, rest.select("node").distinct(), percent), "near-prefixes")
             apart_before, exact = None, True
+            continue
+        apart_before = work["apart"]
+        if direct:
+            rounds += 1
+            turn = F.pmod(F.xxhash64("node", F.lit(rounds)), F.ceil(F.col("others") / OUTSIDERS)) == 0
+            tested = rest if exact else rest.where(small)
+            pairs = _outsider_pairs(tested.join(sizes, "node"), turn, percent)
+            large = rest.where(~small)
+            if exact:
+                rest = large.where((F.col("comp") == F.col("main")) | ~turn).select("key", "node")
+            else:
+                rest = _prefix_buckets(sets, large.select("node").distinct(), percent)
+                apart_before, exact = None, True
         else:
             centre = rest.groupBy("key").agg(F.min(F.struct(
                 (F.col("comp") == F.col("main")).alias("in_main"), "node", "comp")).alias("c"))
             rest = rest.join(centre, "key").where(F.col("node") != F.col("c.node"))
-            pairs = pairs.unionByName(rest.where(F.col("comp") != F.col("c.comp")).select(
-                F.col("c.node").alias("u"), F.col("node").alias("v")))
+            pairs = rest.where(F.col("comp") != F.col("c.comp")).select(
+                F.col("c.node").alias("u"), F.col("node").alias("v"))
             rest = rest.select("key", "node")
         pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
         links = saved(links.unionByName(confirmed(pairs, sets, percent)).distinct(), "near-links")
+        if direct and work["most"] <= OUTSIDERS:
+            return _labels(links)
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS,

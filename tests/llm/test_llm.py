@@ -501,3 +501,18 @@ def test_pipeline_of_an_empty_table(spark, tmp_path, empty):
         docs.write.parquet(str(tmp_path / f"in-{name}"))
         docs = stage(spark, spark.read.parquet(str(tmp_path / f"in-{name}")), SF)
     assert docs.count() == 0
+
+
+def test_near_duplicates_of_one_large_bucket(spark, monkeypatch):
+    """Unlike texts with one long passage: tested in rounds of bounded size, and no link is lost."""
+    monkeypatch.setattr(minhash, "OUTSIDERS", 8)
+    rng = random.Random(8)
+    passage = [f"p{i}" for i in range(70)]
+    docs = [(i, " ".join(passage + [f"q{rng.random()}" for _ in range(18)])) for i in range(80)]
+    for i in range(0, 80, 4):  # near copies of some of them
+        words = docs[i][1].split()
+        words[-1] = "changed"
+        docs.append((100 + i, " ".join(words)))
+    found = by_id(minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), width=4))
+    assert {i: r["component_id"] for i, r in found.items()} == components({i: shingles(t, 4) for i, t in docs})
+    assert sum(r["kept"] for r in found.values()) == 80
