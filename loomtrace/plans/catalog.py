@@ -137,6 +137,12 @@ def hierarchy_expand(spark, sf):
                                    *AFFINE, "width", "height")
 
 
+@query
+def usable_blocks(spark, sf):
+    """Device templates become instances in the top cell only, here the cell of nation 0."""
+    return hierarchy.usable_blocks(dt.template_blocks(spark, sf), dt.LIB, "N0")
+
+
 @query
 def net_propagation(spark, sf):
     _, placed, _ = _design(spark, sf)
@@ -198,6 +204,12 @@ def json_shapes(spark, sf):
     return library.wires(cells, dt.JSON_CONFIG).drop("lib")
 
 
+@query
+def json_shape_kinds(spark, sf):
+    cells = library.parse_cell_lines(dt.json_kind_lines(spark, sf))
+    return library.wires(cells, dt.JSON_CONFIG).drop("lib")
+
+
 @query
 def json_vias(spark, sf):
     return library.vias(library.parse_cell_lines(dt.json_via_lines(spark, sf))).select("cell", "type", "x", "y")
@@ -250,6 +262,14 @@ def unnamed_metals(spark, sf):
     return found.select("layer", "p", "s_start", "s_end")
 
 
+@query
+def obstacle_metals(spark, sf):
+    """Merged wires without a name, with one of the drawn names marking obstacles."""
+    shapes = dt.placed_shapes(spark, sf).withColumn("net", F.when(F.col("net") == "N3", "OBSTACLE").otherwise(F.col("net")))
+    found = merge.unnamed_metals(merge.merge_intervals(shapes, Workspace(spark)))
+    return found.select("layer", "p", "s_start", "s_end", "net")
+
+
 @query
 def layer_counts(spark, sf):
     return merge.layer_counts(_merged(spark, sf))
@@ -422,9 +442,10 @@ def via_records(spark, sf):
 
 @query
 def wire_segments(spark, sf):
-    return drawing.wire_segments(_merged(spark, sf), dt.ORIENTATION)
+    return drawing.wire_segments(_merged(spark, sf), dt.ORIENTATION, {n: f"tone{n}" for n in dt.ORIENTATION if n < 5})
 
 
 @query
 def via_outlines(spark, sf):
-    return drawing.via_outlines(via_extensions(dt.placed_vias(spark, sf), dt.CONFIG), 0.5)
+    colors = {f"via_M{n}_M{n + 1}_0": f"mark{n}" for n in range(1, 4)}
+    return drawing.via_outlines(via_extensions(dt.placed_vias(spark, sf), dt.CONFIG), colors, 0.5)

@@ -8,23 +8,15 @@ from pyspark.sql import functions as F
 
 from loomtrace.functions.layers import is_vertical
 
-# The colours of the layers.
-LAYER_COLORS = {1: "blue", 2: "red", 3: "green", 4: "pink", 5: "orange"}
-VIA_COLORS = {
-    "via_M1_M2_0": "cyan", "via_M1_M2_1": "magenta", "via_M2_M3_0": "orange", "via_M2_M3_1": "purple",
-    "via_M3_M4_0": "yellow", "via_M3_M4_1": "brown", "via_M4_M5_0": "green", "via_M4_M5_1": "blue",
-}
-
-
-def _color(column: str, colors: dict) -> F.Column:
-    value = F.lit("black")
+def _color(column: str, colors: dict, other: str = "black") -> F.Column:
+    value = F.lit(other)
     for key, color in colors.items():
         value = F.when(F.col(column) == key, F.lit(color)).otherwise(value)
     return value
 
 
-def wire_segments(wires: DataFrame, orientation: dict[int, bool]) -> DataFrame:
-    """(layer, x1, y1, x2, y2, color): each wire as a line."""
+def wire_segments(wires: DataFrame, orientation: dict[int, bool], colors: dict[int, str]) -> DataFrame:
+    """(layer, x1, y1, x2, y2, color): each wire as a line; layers without a colour are black."""
     vertical = is_vertical(F.col("layer"), orientation)
     return wires.select(
         "layer",
@@ -32,7 +24,7 @@ def wire_segments(wires: DataFrame, orientation: dict[int, bool]) -> DataFrame:
         F.when(vertical, F.col("s_start")).otherwise(F.col("p")).alias("y1"),
         F.when(vertical, F.col("p")).otherwise(F.col("s_end")).alias("x2"),
         F.when(vertical, F.col("s_end")).otherwise(F.col("p")).alias("y2"),
-        _color("layer", LAYER_COLORS).alias("color"),
+        _color("layer", colors).alias("color"),
     )
 
 
@@ -41,12 +33,12 @@ def write_segments_by_layer(segments: DataFrame, path: str) -> None:
     segments.write.mode("overwrite").partitionBy("layer").json(path)
 
 
-def via_outlines(vias: DataFrame, scale: float = 1.0) -> DataFrame:
-    """(vidx, type, x1, y1, x2, y2, color): the rectangle of each via."""
+def via_outlines(vias: DataFrame, colors: dict[str, str], scale: float = 1.0) -> DataFrame:
+    """(vidx, type, x1, y1, x2, y2, color): the rectangle of each via; types without a colour are black."""
     ex, ey = F.col("ext_x") * F.lit(scale), F.col("ext_y") * F.lit(scale)
     return vias.select(
         "vidx", "type",
         (F.col("x") - ex).alias("x1"), (F.col("y") - ey).alias("y1"),
         (F.col("x") + ex).alias("x2"), (F.col("y") + ey).alias("y2"),
-        _color("type", VIA_COLORS).alias("color"),
+        _color("type", colors).alias("color"),
     )

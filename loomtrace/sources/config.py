@@ -1,4 +1,4 @@
-"""Runset and technology config files (YAML, a few dozen lines each, read on the driver)."""
+"""Runset and technology config files (YAML, a few dozen lines each), from a local path or one that Spark reads."""
 
 from __future__ import annotations
 
@@ -54,7 +54,13 @@ class TechConfig:
         return spark.createDataFrame(sorted(self.aliases.items()), "name string, rep string")
 
 
+def _is_remote(path: str) -> bool:
+    return "://" in path
+
+
 def read_yaml(path: str) -> dict:
+    if _is_remote(path):
+        return yaml.safe_load(SparkSession.active().read.option("wholetext", True).text(path).first()["value"])
     with open(path, encoding="utf-8") as handle:
         return yaml.safe_load(handle)
 
@@ -67,9 +73,10 @@ def read_runset(path: str) -> Runset:
     known = {k: v for k, v in data.items() if k in Runset.__dataclass_fields__}
     runset = Runset(**known)
     database = f"{runset.db_dir}/{runset.libname}_db.json"
-    if "://" not in runset.db_dir and not os.path.isfile(database):
+    # What is missing in a remote folder is found by the scan that asks for it.
+    if not _is_remote(runset.db_dir) and not os.path.isfile(database):
         raise FileNotFoundError(f"database file {database} not found")
-    if not os.path.isfile(runset.config_file_path):
+    if not _is_remote(runset.config_file_path) and not os.path.isfile(runset.config_file_path):
         raise FileNotFoundError(f"config file {runset.config_file_path} not found")
     return runset
 

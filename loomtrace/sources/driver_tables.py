@@ -183,8 +183,8 @@ def _lines(df: DataFrame, part: F.Column, **content: F.Column) -> DataFrame:
     return rows.select(F.to_json(F.struct(F.lit(LIB).alias("lib"), "cell", body.alias("content"))).alias("value"))
 
 
-def json_shape_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Wires as a cell library: one track rectangle per line item, named ones as labels."""
+def _track_rect() -> list[F.Column]:
+    """A line item as a track rectangle, drawn from its far end to its near one; 5 more on either side."""
     s0, p = (F.col("l_orderkey") % 40) * 10, (F.col("l_partkey") % 40) * 10
     vertical = (F.col("l_linenumber") % 5) % 2 == 0
     s1 = s0 + F.col("l_quantity").cast("bigint")
@@ -193,10 +193,14 @@ def json_shape_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.when(vertical, F.array(p.cast("double"), s.cast("double"))).otherwise(
             F.array(s.cast("double"), p.cast("double")))
 
-    name = F.when(F.col("l_partkey") % 7 > 0, _cell("N", F.col("l_partkey") % 7))
-    # Drawn from its far end to its near one; the extension adds 5 on either side.
-    rect = [F.concat(F.lit("M"), (1 + F.col("l_linenumber") % 5).cast("string")).alias("layer"),
+    return [F.concat(F.lit("M"), (1 + F.col("l_linenumber") % 5).cast("string")).alias("layer"),
             F.array(end(s1), end(s0)).alias("xy"), F.lit(5).alias("hextension"), F.lit(5).alias("vextension")]
+
+
+def json_shape_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wires as a cell library: one track rectangle per line item, named ones as labels."""
+    rect = _track_rect()
+    name = F.when(F.col("l_partkey") % 7 > 0, _cell("N", F.col("l_partkey") % 7))
     rows = table(spark, sf_dir, "lineitem").select(
         _cell("S", F.col("l_suppkey")).alias("cell"), "l_orderkey", (F.col("l_returnflag") == "R").alias("named"),
         F.struct(*rect).alias("metal"), F.struct(*rect, name.alias("netname")).alias("label"))
@@ -206,6 +210,28 @@ def json_shape_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         labels=F.collect_list(F.when(F.col("named"), F.col("label"))))
 
 
+def json_kind_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wires of all four kinds, pins of primitives among them; a third of the names mark obstacles."""
+    rect, kind = _track_rect(), F.col("l_partkey") % 4
+    name = (F.when(F.col("l_orderkey") % 3 == 0, F.lit("OBSTACLE"))
+            .when(F.col("l_orderkey") % 3 == 1, _cell("N", F.col("l_partkey") % 7)))
+    rows = table(spark, sf_dir, "lineitem").select(
+        _cell("S", F.col("l_suppkey")).alias("cell"), "l_orderkey", kind.alias("kind"),
+        F.struct(F.create_map(F.lit("D"), F.struct(*rect)).alias("pins")).alias("primitive"),
+        F.struct(*rect).alias("metal"), F.struct(*rect, name.alias("netname")).alias("named"))
+    own = lambda n, column: F.collect_list(F.when(F.col("kind") == n, F.col(column)))
+    return _lines(rows, F.floor(F.col("l_orderkey") / PART), primitives=own(0, "primitive"), metals=own(1, "metal"),
+                  labels=own(2, "named"), pins=own(3, "named"))
+
+
+def template_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subblocks of nations' cells; every third supplier is a device template of another library."""
+    key = F.col("s_suppkey")
+    return table(spark, sf_dir, "supplier").select(
+        F.lit(LIB).alias("lib"), _cell("N", F.col("s_nationkey")).alias("cell"), key.cast("int").alias("ord"),
+        F.when(key % 3 == 0, "dev_microtemplates_x").otherwise(LIB).alias("sub_lib"), _cell("S", key).alias("sub_cell"))
+
+
 def json_via_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = cell_vias(spark, sf_dir).select(
         _cell("S", F.col("cell")).alias("cell"), "vidx",

@@ -184,6 +184,16 @@ def test_config_errors(spark, design, tmp_path):
         read_runset(good)
 
 
+def test_config_and_libraries_in_a_remote_store(spark, design, tmp_path):
+    """All paths are addresses that only Spark opens."""
+    runset = design({"demo": DEMO}, "demo", "top")
+    text = open(runset).read().replace(str(tmp_path), f"file://{tmp_path}")
+    open(runset, "w").write(text)
+    db = load_db(f"file://{runset}", spark)
+    assert db.config.max_layer == 5 and db.instances.count() > 1
+    db.close()
+
+
 def test_config_tables(spark, design):
     config = read_config(read_runset(design({"demo": DEMO}, "demo", "top")).config_file_path)
     assert config.max_layer == 5

@@ -88,10 +88,10 @@ def test_grouped_via_json(spark, tmp_path):
 
 def test_drawing(spark, tmp_path):
     wires = spark.createDataFrame([(1, 3, 0, 9), (2, 4, -1, 8)], "layer int, p bigint, s_start bigint, s_end bigint")
-    segments = drawing.wire_segments(wires, ODD_VERTICAL)
+    segments = drawing.wire_segments(wires, ODD_VERTICAL, {1: "teal"})
     assert [tuple(r) for r in segments.orderBy("layer").collect()] == [
-        (1, 3, 0, 3, 9, "blue"), (2, -1, 4, 8, 4, "red")]
+        (1, 3, 0, 3, 9, "teal"), (2, -1, 4, 8, 4, "black")]
     drawing.write_segments_by_layer(segments, str(tmp_path / "seg"))
     assert sorted(p.name for p in (tmp_path / "seg").glob("layer=*")) == ["layer=1", "layer=2"]
-    boxes = drawing.via_outlines(spark.createDataFrame(VIAS, VIA), 0.5).orderBy("vidx").collect()
-    assert tuple(boxes[0]) == (1, "via_M1_M2_0", 0.0, -12.0, 10.0, -2.0, "cyan")
+    boxes = drawing.via_outlines(spark.createDataFrame(VIAS, VIA), {"via_M1_M2_0": "gold"}, 0.5).orderBy("vidx").collect()
+    assert tuple(boxes[0]) == (1, "via_M1_M2_0", 0.0, -12.0, 10.0, -2.0, "gold")
