@@ -60,7 +60,7 @@ def _is_remote(path: str) -> bool:
 
 def read_yaml(path: str) -> dict:
     if _is_remote(path):
-        return yaml.safe_load(SparkSession.active().read.option("wholetext", True).text(path).first()["value"])
+        return yaml.safe_load(SparkSession.active().read.text(path, wholetext=True).first()["value"])
     with open(path, encoding="utf-8") as handle:
         return yaml.safe_load(handle)
 
