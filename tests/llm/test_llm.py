@@ -516,3 +516,36 @@ def test_near_duplicates_of_one_large_bucket(spark, monkeypatch):
     found = by_id(minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), width=4))
     assert {i: r["component_id"] for i, r in found.items()} == components({i: shingles(t, 4) for i, t in docs})
     assert sum(r["kept"] for r in found.values()) == 80
+
+
+def test_exact_dedup_of_joined_files(spark, tmp_path):
+    """Rows that come from files but do not know their places any more."""
+    rows = [(1, "a b"), (2, "ab"), (3, "c"), (None, "c"), (3, "c")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    for many in (docs.unionByName(docs), docs.join(docs.select("doc_id").distinct().withColumnRenamed("doc_id", "i"), F.col("doc_id").eqNullSafe(F.col("i")))):
+        found = exact_dedup(many).collect()
+        assert len(found) == many.count() and sum(r["kept"] for r in found) == 2
+
+
+def test_exact_dedup_compares_bytes(spark, monkeypatch):
+    """Two texts under one digest are set apart by their contents."""
+    from loomtrace.llm import exact_dedup as module
+
+    plain = module.arrivals
+    monkeypatch.setattr(module, "arrivals", lambda d: plain(d).withColumn("digest", F.lit("one")))
+    rows = [(1, "aa"), (2, "a a"), (3, "bb"), (4, "bb"), (5, None)]
+    found = by_id(exact_dedup(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert {i: (r["keep_id"], r["group_size"], r["kept"]) for i, r in found.items()} == {
+        1: (2, 2, False), 2: (2, 2, True), 3: (3, 2, True), 4: (3, 2, False), 5: (5, 1, True)}
+
+
+def test_stages_leave_clashing_columns_alone(spark, tmp_path):
+    rows = [(i, "one two three four five six" if i in (1, 2) else f"text {i} " * 9, f"mine{i}", i) for i in (1, 2, 3, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, _file string, _row long").coalesce(1).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    for stage in (corpus_pipeline.exact, corpus_pipeline.near):
+        left = stage(spark, docs, SF)
+        assert left.columns == docs.columns
+        assert sorted((r["_file"], r["_row"]) for r in left.collect() if r["doc_id"]) == [("mine1", 1), ("mine3", 3)]
+        assert left.count() == 3
