@@ -29,6 +29,8 @@ BINS = BANDS * ROWS
 CACHE = 200_000
 #: So many members of a bucket at most, apart from its main component, meet the others at once.
 OUTSIDERS = 1024
+#: So many members of a bucket are centres at once where a single one joins few.
+CENTRES = 4
 
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -224,8 +226,8 @@ def _outsider_pairs(members: DataFrame, chosen: Column, percent: int) -> DataFra
 def links_of(docs: DataFrame, nodes: DataFrame, width: int, percent: int, dense: int = 64) -> DataFrame:
     """(node, comp) of all nodes linked with another, from ``nodes`` (node, rep, digest, bands).
 
-    After the first star, buckets with two components or more go on: a further centre each as
-    long as that joins many. Then, if few members stand apart (``dense`` pairs a row on average),
+    After the first star, buckets with two components or more go on: a further centre each (then
+    CENTRES) as long as that joins many. If few members stand apart (``dense`` pairs a row on average),
     each of them meets the others of its bucket; otherwise the members only look alike, and the
     exact buckets of ``_prefix_buckets`` take their place. A bucket with more than OUTSIDERS
     members apart never has them all tested at once: it too goes to exact buckets, and from
@@ -272,12 +274,16 @@ def links_of(docs: DataFrame, nodes: DataFrame, width: int, percent: int, dense:
                 rest = _prefix_buckets(sets, large.select("node").distinct(), percent)
                 apart_before, exact = None, True
         else:
-            centre = rest.groupBy("key").agg(F.min(F.struct(
-                (F.col("comp") == F.col("main")).alias("in_main"), "node", "comp")).alias("c"))
-            rest = rest.join(centre, "key").where(F.col("node") != F.col("c.node"))
-            pairs = rest.where(F.col("comp") != F.col("c.comp")).select(
-                F.col("c.node").alias("u"), F.col("node").alias("v"))
-            rest = rest.select("key", "node")
+            # Outsiders first, by the order of their names or, where one centre joins few, by several hashes.
+            orders = [F.xxhash64("node", F.lit(i)) for i in range(CENTRES if slow else 1)]
+            own = F.struct("node", "comp")
+            centres = rest.groupBy("key").agg(F.array_distinct(F.array(*[
+                F.min_by(own, F.struct(F.col("comp") == F.col("main"), o)) for o in orders])).alias("centres"))
+            rest = rest.join(centres, "key")
+            # Centres meet each other too, and are then done with this bucket.
+            pairs = rest.select("node", "comp", F.explode("centres").alias("c")).where(
+                F.col("comp") != F.col("c.comp")).select(F.col("c.node").alias("u"), F.col("node").alias("v"))
+            rest = rest.where(~F.array_contains("centres.node", F.col("node"))).select("key", "node")
         pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
         links = saved(links.unionByName(confirmed(pairs, sets, percent)).distinct(), "near-links")
         if direct and work["most"] <= OUTSIDERS:
