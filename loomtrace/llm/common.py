@@ -37,7 +37,15 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and scan it: a lost executor costs a re-read."""
     folder = new_folder(df.sparkSession, name)
     df.write.mode("overwrite").option("compression", "zstd").parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    table = df.sparkSession.read.schema(df.schema).parquet(folder)
+    table._loomtrace_folder = folder
+    return table
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete ``saved`` tables that nothing reads any more."""
+    for one in tables:
+        remove(one.sparkSession, one._loomtrace_folder)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

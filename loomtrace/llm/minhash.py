@@ -5,8 +5,8 @@ of a bin is its value, and an empty bin borrows from a bin that a fixed permutat
 (Shrivastava, ICML 2017). Bands of values are bucket keys. In a bucket each text is paired
 with one centre only, so a bucket of n texts gives n - 1 candidates. Candidates are confirmed
 on full sets. A bucket whose texts have not all fallen into one component yet gets further
-centres, until no two of its texts in different components are left untested, so every link
-that a bucket holds counts.
+centres while they join many; then its texts in different components are all tested, block by
+block, so every link that a bucket holds counts.
 
 Texts with equal sets are one node from the start, so copies never meet each other.
 """
@@ -14,23 +14,26 @@ Texts with equal sets are one node from the start, so copies never meet each oth
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtrace.llm.common import located, map_batches, saved, table, text_of
+from loomtrace.llm.common import drop, located, map_batches, saved, table, text_of
 from loomtrace.operators.components import connected_components
 from loomtrace.workspace import Workspace
 
 BANDS, ROWS = 40, 6
 BINS = BANDS * ROWS
 CACHE = 200_000
-#: So many members of a bucket at most, apart from its main component, meet the others at once.
+#: About so many members of a bucket, and shingles of theirs, make a block that is tested at once.
 OUTSIDERS = 1024
-#: So many members of a bucket are centres at once where a single one joins few.
-CENTRES = 4
+BLOCK = 1 << 21
+#: Shared shingles are counted for so many shingles at a time.
+COLUMNS = 4096
 
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -173,7 +176,9 @@ def _rough_labels(links: DataFrame) -> DataFrame:
     parent = links.groupBy(F.greatest("u", "v").alias("node")).agg(F.min(F.least("u", "v")).alias("comp"))
     parent = saved(parent, "near-parents")
     above = parent.select(F.col("node").alias("comp"), F.col("comp").alias("next"))
-    return saved(parent.join(above, "comp", "left").select("node", F.coalesce("next", "comp").alias("comp")), "near-rough")
+    rough = saved(parent.join(above, "comp", "left").select("node", F.coalesce("next", "comp").alias("comp")), "near-rough")
+    drop(parent)
+    return rough
 
 
 def _with_comp(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -211,27 +216,123 @@ def _open_buckets(members: DataFrame) -> DataFrame:
                                   (F.col("total") - F.col("most.n")).alias("others"))
 
 
-def _outsider_pairs(members: DataFrame, chosen: Column, percent: int) -> DataFrame:
-    """(u, v): every ``chosen`` member outside its bucket's main component, with the bucket's other components.
+def _cells(members: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(key, node, comp, own, other, cell): ``members`` (key, node, comp, main) dealt to the cells of their buckets.
 
-    Sets whose sizes are too far apart cannot be similar enough, and are no pair.
+    The members of a bucket outside its main component fall into ``own`` blocks, all its members
+    into ``other`` ones, of about OUTSIDERS members and BLOCK shingles. A cell is one of each, so
+    any pair with a member apart meets in a cell, and a cell is of bounded size whatever its bucket's.
+    ``own`` is null for members of the main component.
     """
-    apart = members.where((F.col("comp") != F.col("main")) & chosen).select(
-        "key", F.col("node").alias("u"), F.col("comp").alias("u_comp"), F.col("size").alias("u_size"))
-    near = percent * F.greatest("size", "u_size") <= 100 * F.least("size", "u_size")
-    return members.join(apart, "key").where((F.col("comp") != F.col("u_comp")) & near).select(
-        "u", F.col("node").alias("v"))
+    sized = members.join(sizes, "node").withColumn("apart", F.col("comp") != F.col("main"))
+    blocks = lambda n, size: F.greatest(F.ceil(n / OUTSIDERS), F.ceil(size / BLOCK)).cast("int")
+    per = sized.groupBy("key").agg(
+        blocks(F.sum(F.col("apart").cast("int")), F.sum(F.when(F.col("apart"), F.col("size")))).alias("n_own"),
+        blocks(F.count(F.lit(1)), F.sum("size")).alias("n_other"))
+    place = lambda seed, n: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n)).cast("int")
+    dealt = sized.join(per.where("n_own > 0"), "key").select(
+        "key", "node", "comp", F.when(F.col("apart"), place(1, "n_own")).alias("own"), place(2, "n_other").alias("other"),
+        "n_own", "n_other")
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    meets = F.transform(every("n_own"), lambda i: F.struct(i.alias("own"), F.col("other").alias("other")))
+    tested = F.transform(every("n_other"), lambda i: F.struct(F.col("own").alias("own"), i.alias("other")))
+    cells = F.when(F.col("own").isNull(), meets).otherwise(F.array_union(meets, tested))
+    return dealt.select("key", "node", "comp", "own", "other", F.explode(cells).alias("cell"))
+
+
+def _cell_links(comps: list[bytes], sets: list[np.ndarray], apart: np.ndarray, others: np.ndarray,
+                percent: int) -> list[tuple[int, int]]:
+    """Pairs of one cell that are similar enough, as few as join the components that its pairs join.
+
+    ``apart`` and ``others`` are the places of the two blocks' members. Shared shingles are counted
+    for all pairs at once, as products of 0-1 matrices over the shingles that both blocks hold.
+    """
+    sizes = np.array([len(s) for s in sets])
+    codes = {c: i for i, c in enumerate(dict.fromkeys(comps))}
+    comp = np.array([codes[c] for c in comps])
+    rows = [np.repeat(np.arange(len(part)), sizes[part]) for part in (apart, others)]
+    flat = [np.concatenate([sets[i] for i in part]) for part in (apart, others)]
+    both = np.intersect1d(*flat)
+    kept = [np.isin(f, both) for f in flat]
+    rows = [r[k] for r, k in zip(rows, kept)]
+    places = [np.searchsorted(both, f[k]) for f, k in zip(flat, kept)]
+    orders = [np.argsort(c, kind="stable") for c in places]
+    rows, places = [r[o] for r, o in zip(rows, orders)], [c[o] for c, o in zip(places, orders)]
+    shared = np.zeros((len(apart), len(others)), dtype=np.float32)
+    for low in range(0, len(both), COLUMNS):
+        width = min(COLUMNS, len(both) - low)
+        halves = []
+        for r, c, part in zip(rows, places, (apart, others)):
+            start, end = np.searchsorted(c, (low, low + width))
+            half = np.zeros((len(part), width), dtype=np.float32)
+            half[r[start:end], c[start:end] - low] = 1
+            halves.append(half)
+        shared += halves[0] @ halves[1].T
+    union = sizes[apart][:, None] + sizes[others][None, :] - shared
+    u, v = np.nonzero((100 * shared >= percent * union) & (comp[apart][:, None] != comp[others][None, :]))
+    u, v = apart[u], others[v]
+    _, first = np.unique(comp[u] * len(codes) + comp[v], return_index=True)
+    parent, links = list(range(len(codes))), []
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = i = parent[parent[i]]
+        return i
+
+    for i, j in zip(u[first].tolist(), v[first].tolist()):
+        a, b = root(comp[i]), root(comp[j])
+        if a != b:
+            parent[a] = b
+            links.append((i, j))
+    return links
+
+
+def _block_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(u, v): confirmed links that join all components which links between ``members`` of one bucket join.
+
+    Members of different components of a bucket are all tested on full sets, cell by cell, inside tasks:
+    what is shuffled grows with the members and their blocks, not with the pairs.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, rows = None, []
+
+        def linked() -> pa.RecordBatch:
+            own, other = at[1:]
+            apart = np.array([i for i, r in enumerate(rows) if r[2] == own], dtype=np.int64)
+            others = np.array([i for i, r in enumerate(rows) if r[3] == other], dtype=np.int64)
+            found = []
+            if len(apart) and len(others):
+                found = _cell_links([r[1] for r in rows], [r[4] for r in rows], apart, others, percent)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([rows[pair[side]][0] for pair in found], pa.binary()) for side in (0, 1)], names=["u", "v"])
+
+        for batch in batches:
+            cols = {n: batch.column(n).to_pylist() for n in ("key", "cell_own", "cell_other", "node", "comp", "own", "other")}
+            flat = batch.column("shingles")
+            for i, place in enumerate(zip(cols["key"], cols["cell_own"], cols["cell_other"])):
+                if place != at:
+                    if rows:
+                        yield linked()
+                    at, rows = place, []
+                rows.append((cols["node"][i], cols["comp"][i], cols["own"][i], cols["other"][i],
+                             flat[i].values.to_numpy(zero_copy_only=False).copy()))
+        if rows:
+            yield linked()
+
+    cell = ["key", "cell_own", "cell_other"]
+    dealt = _cells(members, sets.select("node", F.size("shingles").alias("size"))).select(
+        "key", F.col("cell.own").alias("cell_own"), F.col("cell.other").alias("cell_other"), "node", "comp", "own", "other")
+    full = dealt.join(sets, "node").repartition(*cell).sortWithinPartitions(*cell)
+    return full.mapInArrow(run, "u binary, v binary")
 
 
 def links_of(docs: DataFrame, nodes: DataFrame, width: int, percent: int, dense: int = 64) -> DataFrame:
     """(node, comp) of all nodes linked with another, from ``nodes`` (node, rep, digest, bands).
 
-    After the first star, buckets with two components or more go on: a further centre each (then
-    CENTRES) as long as that joins many. If few members stand apart (``dense`` pairs a row on average),
-    each of them meets the others of its bucket; otherwise the members only look alike, and the
-    exact buckets of ``_prefix_buckets`` take their place. A bucket with more than OUTSIDERS
-    members apart never has them all tested at once: it too goes to exact buckets, and from
-    there as many as that are tested, and leave it, in a round.
+    After the first star, buckets with two components or more go on with a further centre each, as long as
+    that joins many. Then all members that stand apart meet the others of their bucket, in blocks
+    (``_block_links``). Where a row would be sent to more than ``dense`` blocks on average, the members only look
+    alike, and the exact buckets of ``_prefix_buckets`` take the place of theirs.
     """
     members = nodes.select("node", F.explode("bands").alias("key"))
     centres = _centres(members).where("n > 1")
@@ -242,52 +343,50 @@ def links_of(docs: DataFrame, nodes: DataFrame, width: int, percent: int, dense:
     ends = star.select(F.col("u").alias("node")).union(star.select(F.col("v").alias("node"))).distinct()
     sets = saved(shingle_sets(docs, nodes.select("node", "rep", "digest").join(ends, "node"), width), "near-sets")
     links = saved(confirmed(star, sets, percent), "near-links")
+    drop(star)
 
-    sizes = sets.select("node", F.size("shingles").alias("size"))
-    rest = shared.where((F.col("n") > 2) & (F.col("node") != F.col("centre"))).select("key", "node")
-    apart_before, exact, rounds = None, False, 0
+    rest = saved(shared.where((F.col("n") > 2) & (F.col("node") != F.col("centre"))).select("key", "node"), "near-rest")
+    drop(shared)
+    apart_before, exact = None, False
     while True:
-        rest = saved(_with_comp(rest, _rough_labels(links)), "near-rest")
-        main = saved(_open_buckets(rest), "near-open")
-        small = F.col("others") <= OUTSIDERS
-        work = main.agg(F.sum("total").alias("rows"), F.sum("others").alias("apart"), F.max("others").alias("most"),
-                        F.sum(F.when(small, F.col("others") * F.col("total")).otherwise(0)).alias("pairs")).first()
+        rough = _rough_labels(links)
+        members = saved(_with_comp(rest, rough), "near-members")
+        drop(rest, rough)
+        main = saved(_open_buckets(members), "near-open")
+        copies = F.col("total") * F.ceil(F.col("others") / OUTSIDERS) + F.col("others") * F.ceil(F.col("total") / OUTSIDERS)
+        work = main.agg(F.sum("total").alias("rows"), F.sum("others").alias("apart"), F.sum(copies).alias("copies")).first()
         if not work["rows"]:
-            return _labels(links)
+            drop(members, main)
+            break
         slow = apart_before is not None and work["apart"] > 0.7 * apart_before
-        direct = slow and work["pairs"] <= dense * work["rows"]
-        rest = rest.join(main, "key")
-        if slow and not direct and not exact:
-            rest = saved(_prefix_buckets(sets, rest.select("node").distinct(), percent), "near-prefixes")
+        apart_before = work["apart"]
+        found = members.join(main, "key")
+        if slow and not exact and work["copies"] > dense * work["rows"]:
+            rest = saved(_prefix_buckets(sets, found.select("node").distinct(), percent), "near-prefixes")
             apart_before, exact = None, True
+            drop(members, main)
             continue
-        apart_before = work["apart"]
-        if direct:
-            rounds += 1
-            turn = F.pmod(F.xxhash64("node", F.lit(rounds)), F.ceil(F.col("others") / OUTSIDERS)) == 0
-            tested = rest if exact else rest.where(small)
-            pairs = _outsider_pairs(tested.join(sizes, "node"), turn, percent)
-            large = rest.where(~small)
-            if exact:
-                rest = large.where((F.col("comp") == F.col("main")) | ~turn).select("key", "node")
-            else:
-                rest = _prefix_buckets(sets, large.select("node").distinct(), percent)
-                apart_before, exact = None, True
+        if slow:
+            more = saved(_block_links(found, sets, percent), "near-block")
+            rest = None
         else:
-            # Outsiders first, by the order of their names or, where one centre joins few, by several hashes.
-            orders = [F.xxhash64("node", F.lit(i)) for i in range(CENTRES if slow else 1)]
-            own = F.struct("node", "comp")
-            centres = rest.groupBy("key").agg(F.array_distinct(F.array(*[
-                F.min_by(own, F.struct(F.col("comp") == F.col("main"), o)) for o in orders])).alias("centres"))
-            rest = rest.join(centres, "key")
-            # Centres meet each other too, and are then done with this bucket.
-            pairs = rest.select("node", "comp", F.explode("centres").alias("c")).where(
-                F.col("comp") != F.col("c.comp")).select(F.col("c.node").alias("u"), F.col("node").alias("v"))
-            rest = rest.where(~F.array_contains("centres.node", F.col("node"))).select("key", "node")
-        pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-        links = saved(links.unionByName(confirmed(pairs, sets, percent)).distinct(), "near-links")
-        if direct and work["most"] <= OUTSIDERS:
-            return _labels(links)
+            # Outsiders first, by the order of their names.
+            own, order = F.struct("node", "comp"), F.struct(F.col("comp") == F.col("main"), F.xxhash64("node"))
+            centres = found.groupBy("key").agg(F.min_by(own, order).alias("c"))
+            found = saved(found.join(centres, "key").select("key", "node", "comp", "c"), "near-centred")
+            pairs = found.where(F.col("comp") != F.col("c.comp")).select(
+                F.least("node", "c.node").alias("u"), F.greatest("node", "c.node").alias("v")).distinct()
+            more = saved(confirmed(pairs, sets, percent), "near-more")
+            rest = saved(found.where(F.col("node") != F.col("c.node")).select("key", "node"), "near-rest")
+            drop(found)
+        drop(members, main)
+        before, links = links, saved(links.unionByName(more).distinct(), "near-links")
+        drop(before, more)
+        if rest is None:
+            break
+    labels = _labels(links)
+    drop(links, sets)
+    return labels
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS,

@@ -518,6 +518,29 @@ def test_near_duplicates_of_one_large_bucket(spark, monkeypatch):
     assert sum(r["kept"] for r in found.values()) == 80
 
 
+def test_members_apart_are_tested_block_by_block(spark, monkeypatch):
+    """One bucket of 60 sets: as few links as join what similar pairs join, whatever the blocks."""
+    monkeypatch.setattr(minhash, "OUTSIDERS", 8)
+    monkeypatch.setattr(minhash, "COLUMNS", 7)
+    rng = random.Random(3)
+    sets = {bytes([i]): sorted(rng.sample(range(24), rng.randint(16, 22))) for i in range(60)}
+    frame = spark.createDataFrame([(bytearray(i), s) for i, s in sets.items()], "node binary, shingles array<long>")
+    bucket = frame.select(F.lit(1).cast("long").alias("key"), "node", F.col("node").alias("comp"),
+                          F.lit(bytes([0])).alias("main"))
+    links = [(bytes(r["u"]), bytes(r["v"])) for r in minhash._block_links(bucket, frame, 80).collect()]
+
+    def groups(pairs):
+        names = {i: i for i in sets}
+        for a, b in pairs:
+            old, new = names[a], names[b]
+            names = {i: new if n == old else n for i, n in names.items()}
+        return {frozenset(i for i in names if names[i] == n) for n in names.values()}
+
+    similar = lambda a, b: 100 * len(set(sets[a]) & set(sets[b])) >= 80 * len(set(sets[a]) | set(sets[b]))
+    assert all(similar(a, b) for a, b in links)
+    assert groups(links) == groups([p for p in itertools.combinations(sets, 2) if similar(*p)])
+
+
 def test_exact_dedup_of_joined_files(spark, tmp_path):
     """Rows that come from files but do not know their places any more."""
     rows = [(1, "a b"), (2, "ab"), (3, "c"), (None, "c"), (3, "c")]
