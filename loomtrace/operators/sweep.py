@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from loomtrace.functions.nets import known
 from loomtrace.operators.connect import endpoints, locate
 from loomtrace.operators.merge import TRACK, merge_intervals
-from loomtrace.operators.ordering import running_sum_before
 from loomtrace.workspace import Workspace
 
 TILE_BITS = 16
@@ -96,19 +95,27 @@ def track_depth(shapes: DataFrame, ws: Workspace) -> DataFrame:
 
     steps = events(long, 1, 0).unionByName(events(names, 0, 1)).groupBy(*TRACK, "s").agg(
         F.sum("wires").alias("wires"), F.sum("names").alias("names"))
-    sums = ws.save(running_sum_before(steps, TRACK, "s", {"wires": "wires_before", "names": "names_before"},
-                                      1 << TILE_BITS), "steps")
-    back = sums.withColumn("back", -F.col("s")).withColumn("mark", F.col("s"))
-    ends = _carried(back, TRACK, "back", "mark", None, TILE_BITS)
-    return ends.select(
-        "layer", "p", F.col("s").alias("s_start"), F.col("_before").alias("s_end"),
-        (F.col("wires_before") + F.col("wires")).alias("depth"), (F.col("names_before") + F.col("names")).alias("n_nets"),
+    # One sort per tile gives sums and neighbours; what lies beyond its tile comes in one row per tile.
+    steps = steps.withColumn("_tile", F.shiftright("s", TILE_BITS))
+    inside = Window.partitionBy(*TRACK, "_tile").orderBy("s")
+    so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
+    along = Window.partitionBy(*TRACK).orderBy("_tile")
+    before = along.rowsBetween(Window.unboundedPreceding, -1)
+    tiles = steps.groupBy(*TRACK, "_tile").agg(
+        F.sum("wires").alias("wires"), F.sum("names").alias("names"), F.min("s").alias("first")
+    ).select(*TRACK, "_tile", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_{n}") for n in ("wires", "names")],
+             F.lead("first").over(along).alias("_next"))
+    local = steps.select(*TRACK, "_tile", F.col("s").alias("s_start"), F.lead("s").over(inside).alias("s_end"),
+                         F.sum("wires").over(so_far).alias("wires"), F.sum("names").over(so_far).alias("names"))
+    return local.join(tiles, [*TRACK, "_tile"]).select(
+        "layer", "p", "s_start", F.coalesce("s_end", "_next").alias("s_end"),
+        (F.col("_wires") + F.col("wires")).alias("depth"), (F.col("_names") + F.col("names")).alias("n_nets"),
     ).where("depth > 0")
 
 
 def conflict_spans(depths: DataFrame, ws: Workspace) -> DataFrame:
     """(layer, p, s_start, s_end, max_nets): where on a wire two or more names lie on each other."""
-    several = depths.where("n_nets > 1")
+    several = ws.save(depths.where("n_nets > 1"), "several")
     spans = merge_intervals(several.withColumn("net", F.lit(None).cast("string")), ws).withColumn(
         "idx", F.monotonically_increasing_id())
     spans = ws.save(spans.select("idx", "layer", "p", "s_start", "s_end"), "spans")

@@ -164,3 +164,12 @@ def test_dangling_nearest(spark):
         (1, 1, 1, 5, 2, 5), (1, 2, None, None, None, None), (2, 1, 1, 10, 2, 0), (2, 2, None, None, None, None),
         (3, 2, None, None, 3, 0), (4, 1, None, None, 4, 0), (4, 2, None, None, None, None), (5, 1, 2, 10, None, None),
     ], key=repr)
+
+
+def test_depth_is_one_pass_over_the_wire_ends(spark, ws):
+    """Only the islands of named wires are written out; the ends are sorted once, in tiles."""
+    shapes = spark.createDataFrame([(1, 10, 0, 30, "A"), (1, 10, 20, 200000, None)],
+                                   "layer int, p long, s_start long, s_end long, net string")
+    rows = sweep.track_depth(shapes, ws).collect()
+    assert sorted(tuple(r) for r in rows) == [(1, 10, 0, 20, 1, 1), (1, 10, 20, 30, 2, 1), (1, 10, 30, 200000, 1, 0)]
+    assert ws._count == 1
