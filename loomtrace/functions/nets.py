@@ -37,14 +37,18 @@ def alias_map(equivalent_sets: list[list[str]]) -> dict[str, str]:
 
 
 def unify(df: DataFrame, column: str, aliases: dict[str, str]) -> DataFrame:
-    """Replace missing names by the placeholder and aliases by their representative."""
+    """Replace missing names by the placeholder and aliases by their representative.
+
+    The aliases come from the config, which the driver holds, so they are sent to all tasks; the
+    few names that rows have would not deal the rows to more than a few.
+    """
     df = df.withColumn(column, or_unknown(F.col(column)))
     changed = {name: rep for name, rep in aliases.items() if name != rep}
     if not changed:
         return df
     table = df.sparkSession.createDataFrame(list(changed.items()), "_alias string, _rep string")
     return (
-        df.join(table, df[column] == table["_alias"], "left")
+        df.join(F.broadcast(table), df[column] == table["_alias"], "left")
         .withColumn(column, F.coalesce("_rep", column))
         .drop("_alias", "_rep")
     )

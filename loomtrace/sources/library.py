@@ -16,15 +16,16 @@ from loomtrace.functions.layers import exact_long, layer_number, track_columns,
 from loomtrace.functions.nets import unify
 from loomtrace.sources.config import TechConfig
 
-_RECT = "layer string, xy array<array<double>>, hextension double, vextension double"
+# One type for all kinds, so that their lists go together; names of primitives' pins and metals are not used.
+_RECT = "layer string, xy array<array<double>>, hextension double, vextension double, netname string"
 _CELL = f"""struct<
   bbox: array<array<double>>,
   subblocks: array<struct<libname: string, cellname: string, name: string, transform: string,
     xy: array<double>, pins: map<string, struct<termname: string, netname: string>>>>,
   primitives: array<struct<pins: map<string, struct<{_RECT}>>>>,
   metals: array<struct<{_RECT}>>,
-  labels: array<struct<{_RECT}, netname: string>>,
-  pins: array<struct<{_RECT}, netname: string>>,
+  labels: array<struct<{_RECT}>>,
+  pins: array<struct<{_RECT}>>,
   vias: array<struct<cellname: string, xy: array<double>, layer: array<string>>>
 >"""
 
@@ -87,33 +88,30 @@ def _xy(shape: str, point: int, axis: int):
     return exact_long(F.col(shape)["xy"][point][axis])
 
 
-def _wires(cells: DataFrame, config: TechConfig, kind: str, shape: F.Column, named: bool) -> DataFrame:
-    rows = cells.select(*CELL, shape.alias("r"))
+def wires(cells: DataFrame, config: TechConfig) -> DataFrame:
+    """Every wire of every cell: primitive pins and metals unnamed, labels and pins named.
+
+    The four lists of a cell become rows in one pass, so a library is parsed once.
+    """
+    prim_pins = F.flatten(F.transform("c.primitives", lambda d: F.coalesce(F.map_values(d["pins"]), F.array())))
+    lists = (("primitive", False, prim_pins), ("metal", False, F.col("c.metals")),
+             ("label", True, F.col("c.labels")), ("pin", True, F.col("c.pins")))
+    lists = F.array(*[F.struct(F.lit(kind).alias("kind"), F.lit(named).alias("named"), shapes.alias("shapes"))
+                      for kind, named, shapes in lists])
+    rows = cells.select(*CELL, F.explode(lists).alias("k")).select(
+        *CELL, "k.kind", "k.named", F.explode("k.shapes").alias("r"))
     rows = rows.select(
-        *CELL, layer_number(F.col("r.layer")).alias("layer"),
+        *CELL, "kind", "named", layer_number(F.col("r.layer")).alias("layer"),
         _xy("r", 0, 0).alias("x0"), _xy("r", 0, 1).alias("y0"),
         _xy("r", 1, 0).alias("x1"), _xy("r", 1, 1).alias("y1"),
         exact_long(F.col("r.hextension")).alias("hext"),
         exact_long(F.col("r.vextension")).alias("vext"),
-        (F.col("r.netname") if named else F.lit(None).cast("string")).alias("net"),
+        F.col("r.netname").alias("net"),
     )
-    if named:
-        rows = unify(rows, "net", config.aliases)
+    rows = unify(rows, "net", config.aliases).withColumn("net", F.when(F.col("named"), F.col("net")))
     rows = rows.withColumn("vertical", is_vertical(F.col("layer"), config.orientation))
     track = track_columns(*[F.col(c) for c in ("vertical", "x0", "y0", "x1", "y1", "hext", "vext")])
-    return rows.select(*CELL, F.lit(kind).alias("kind"), "layer",
-                       *[c.alias(n) for n, c in track.items()], "net")
-
-
-def wires(cells: DataFrame, config: TechConfig) -> DataFrame:
-    """Every wire of every cell: primitive pins and metals unnamed, labels and pins named."""
-    primitive = cells.select(*CELL, F.explode("c.primitives").alias("d"))
-    prim_pins = primitive.select(*CELL, F.explode("d.pins").alias("pin", "r"))
-    out = _wires(prim_pins, config, "primitive", F.col("r"), False)
-    for kind, named in (("metals", False), ("labels", True), ("pins", True)):
-        source = cells.select(*CELL, F.explode(f"c.{kind}").alias("shape"))
-        out = out.unionByName(_wires(source, config, kind.rstrip("s"), F.col("shape"), named))
-    return out
+    return rows.select(*CELL, "kind", "layer", *[c.alias(n) for n, c in track.items()], "net")
 
 
 def vias(cells: DataFrame) -> DataFrame:
