@@ -59,19 +59,33 @@ def dangling_nearest(vias: DataFrame, metals: DataFrame, orientation: dict[int,
     ``left`` is the last wire on the end's track that ends before it, ``right`` the first that
     starts at it or after it; both are null where there is none. A wire's own start does not
     join a via there, so such an end has a gap of 0 to the right. Ends on layers without an
-    orientation have no track and no row.
+    orientation have no track and no row. Ends and wires are sorted together by tile; which ends
+    meet a wire, and what lies on either side of the others, comes from that.
     """
     ends = endpoints(vias.select("vidx", "lower", "upper", "x", "y"), orientation, once=True)
-    ends = ends.select("vidx", "layer", "p", "s").where(F.col("p").isNotNull())
-    missed = ends.join(locate(ends, metals).select("vidx", "layer"), ["vidx", "layer"], "left_anti")
-    spans = metals.select(*TRACK, "s_start", "s_end", "idx")
-    left = spans.select(*TRACK, F.col("s_end").alias("s"), F.struct(F.col("s_end").alias("s"), "idx").alias("wire"))
-    right = spans.select(*TRACK, (-F.col("s_start")).alias("s"), F.struct(F.col("s_start").alias("s"), "idx").alias("wire"))
-    found = last_before(missed, left, TRACK, "s", "wire", "left")
-    found = last_before(found.withColumn("s", -F.col("s")), right, TRACK, "s", "wire", "right", inclusive=True)
-    s = -F.col("s")
-    return found.select("vidx", "layer", F.col("left.idx").alias("left_idx"), (s - F.col("left.s")).alias("left_gap"),
-                        F.col("right.idx").alias("right_idx"), (F.col("right.s") - s).alias("right_gap"))
+    ends = ends.select("vidx", *TRACK, "s").where(F.col("p").isNotNull())
+    none = F.lit(None).cast("bigint")
+    starts = metals.select(none.alias("vidx"), *TRACK, F.col("s_start").alias("s"),
+                           F.struct("s_end", "idx").alias("_ended"), F.struct(F.col("s_start").alias("s"), "idx").alias("_wire"))
+    no_wire = [F.lit(None).cast(starts.schema[n].dataType).alias(n) for n in ("_ended", "_wire")]
+    tile = F.shiftright("s", TILE_BITS).alias("_tile")
+    places = ends.select("*", *no_wire).unionByName(starts).select("*", tile)
+    # Of the wires that start before an end, the one that reaches furthest either covers it or is the last before it.
+    order = [F.col("s"), F.col("_wire").isNotNull()]
+    inside, along = Window.partitionBy(*TRACK, "_tile"), Window.partitionBy(*TRACK).orderBy("_tile")
+    so_far = Window.unboundedPreceding, -1
+    tiles = places.groupBy(*TRACK, "_tile").agg(F.max("_ended").alias("_ended"), F.min("_wire").alias("_wire")).select(
+        *TRACK, "_tile", F.max("_ended").over(along.rowsBetween(*so_far)).alias("_left"),
+        F.min("_wire").over(Window.partitionBy(*TRACK).orderBy(F.desc("_tile")).rowsBetween(*so_far)).alias("_right"))
+    found = places.select(
+        "*", F.max("_ended").over(inside.orderBy(*order).rowsBetween(*so_far)).alias("left"),
+        F.min("_wire").over(inside.orderBy(*[o.desc() for o in order]).rowsBetween(*so_far)).alias("right"),
+    ).where(F.col("_wire").isNull()).drop("_ended", "_wire")
+    found = found.join(tiles, [*TRACK, "_tile"]).select(
+        "vidx", "layer", "s", F.greatest("left", "_left").alias("left"), F.coalesce("right", "_right").alias("right"))
+    missed = found.where(F.col("left").isNull() | (F.col("left.s_end") < F.col("s")))
+    return missed.select("vidx", "layer", F.col("left.idx").alias("left_idx"), (F.col("s") - F.col("left.s_end")).alias("left_gap"),
+                         F.col("right.idx").alias("right_idx"), (F.col("right.s") - F.col("s")).alias("right_gap"))
 
 
 def track_depth(shapes: DataFrame, ws: Workspace) -> DataFrame:

@@ -173,3 +173,23 @@ def test_depth_is_one_pass_over_the_wire_ends(spark, ws):
     rows = sweep.track_depth(shapes, ws).collect()
     assert sorted(tuple(r) for r in rows) == [(1, 10, 0, 20, 1, 1), (1, 10, 20, 30, 2, 1), (1, 10, 30, 200000, 1, 0)]
     assert ws._count == 1
+
+
+@pytest.mark.parametrize("bits", [3, 16])
+def test_dangling_nearest_reads_its_tables_twice(spark, bits, monkeypatch):
+    """Random vias against every wire of their track; both tables are read for the rows and for the tiles only."""
+    monkeypatch.setattr(sweep, "TILE_BITS", bits)
+    rng = random.Random(bits)
+    metals = [(i, 1, i % 2, s, s + rng.choice([0, 1, 3, 25])) for i, s in enumerate(range(-60, 60, 4))]  # some overlap
+    vias = [(i, 1, 9, rng.randrange(3), rng.randrange(-80, 100)) for i in range(80)]
+    want = []
+    for i, layer, _, p, s in vias:
+        wires = [m for m in metals if m[2] == p]
+        if not any(a < s <= b for *_, a, b in wires):
+            left = max([(b, n) for n, _, _, a, b in wires if b < s], default=None)
+            right = min([(a, n) for n, _, _, a, b in wires if a >= s], default=None)
+            want.append((i, layer, left and left[1], left and s - left[0], right and right[1], right and right[0] - s))
+    got = sweep.dangling_nearest(spark.createDataFrame(vias, "vidx long, lower int, upper int, x long, y long"),
+                                 spark.createDataFrame(metals, METALS), ORIENTATION)
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+    assert got._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 4
