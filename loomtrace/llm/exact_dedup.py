@@ -79,7 +79,9 @@ def stream_into_state(spark: SparkSession, landing: str, schema, state: str,
         "spark.sql.streaming.stateStore.unloadOnCommit": "true",
         "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
         "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-        "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
+        # An executor keeps this much outside its heap; a store's share of a batch is far less.
+        "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "64",
+        "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "8",
     }):
         query = (
             best.writeStream.outputMode("update").format("noop")

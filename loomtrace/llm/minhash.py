@@ -31,9 +31,10 @@ BINS = BANDS * ROWS
 CACHE = 200_000
 #: About so many members of a bucket, and shingles of theirs, make a block that is tested at once.
 OUTSIDERS = 1024
-BLOCK = 1 << 21
-#: Shared shingles are counted for so many shingles at a time.
-COLUMNS = 4096
+BLOCK = 1 << 20
+#: Shared shingles are counted for so many shingles at a time, and compared for so many members.
+COLUMNS = 1024
+MEMBERS = 128
 
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -268,22 +269,18 @@ def _cell_links(comps: list[bytes], sets: list[np.ndarray], apart: np.ndarray, o
             half[r[start:end], c[start:end] - low] = 1
             halves.append(half)
         shared += halves[0] @ halves[1].T
-    union = sizes[apart][:, None] + sizes[others][None, :] - shared
-    u, v = np.nonzero((100 * shared >= percent * union) & (comp[apart][:, None] != comp[others][None, :]))
-    u, v = apart[u], others[v]
-    _, first = np.unique(comp[u] * len(codes) + comp[v], return_index=True)
-    parent, links = list(range(len(codes))), []
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = i = parent[parent[i]]
-        return i
-
-    for i, j in zip(u[first].tolist(), v[first].tolist()):
-        a, b = root(comp[i]), root(comp[j])
-        if a != b:
-            parent[a] = b
-            links.append((i, j))
+    label, links = np.arange(len(codes)), []
+    # A few members at a time, as nearly all pairs of a block may be similar.
+    for low in range(0, len(apart), MEMBERS):
+        part, counts = apart[low:low + MEMBERS], shared[low:low + MEMBERS]
+        union = sizes[part][:, None] + sizes[others][None, :] - counts
+        for i, similar in zip(part, 100 * counts >= percent * union):
+            own, near = label[comp[i]], others[similar]
+            found, first = np.unique(label[comp[near]], return_index=True)
+            fresh = found != own
+            if fresh.any():
+                links += [(int(i), int(j)) for j in near[first[fresh]]]
+                label[np.isin(label, found)] = own
     return links
 
 

@@ -10,6 +10,7 @@ needs no global order: a length is split over salts, and only counts per salt ar
 
 from __future__ import annotations
 
+import copy
 import re
 import sys
 import types
@@ -26,8 +27,9 @@ from tokenizers import Tokenizer
 from loomtrace.llm.common import map_batches, saved, table, text_of
 
 CAPACITY = 2048
-#: Words whose ids are remembered per worker.
+#: Words whose ids are remembered per task, and characters split into words at a time.
 CACHE = 400_000
+SPLIT_CHARS = 1 << 22
 #: Most pieces of one length that are numbered in one task, on average.
 SALT_ROWS = 250_000
 #: White space to str.split, but not to the tokenizer.
@@ -52,8 +54,22 @@ class WordTokens:
         self.ends[[i for token, i in vocabulary.items() if token.endswith(END_OF_WORD)]] = True
         self.odd = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] + list(SEPARATORS)
 
+    def without_words(self) -> WordTokens:
+        """The same tokenizer, with words of its own to remember."""
+        other = copy.copy(self)
+        other.known, other.older = {}, {}
+        return other
+
     def ids(self, texts: list[str]) -> Iterator[np.ndarray]:
         """The ids of each text. The string of a special token is that token, as in the tokenizer."""
+        first, chars = 0, 0
+        for i, text in enumerate(texts):
+            chars += len(text)
+            if chars >= SPLIT_CHARS or i + 1 == len(texts):
+                yield from self._ids(texts[first:i + 1])
+                first, chars = i + 1, 0
+
+    def _ids(self, texts: list[str]) -> Iterator[np.ndarray]:
         plain = [not any(mark in text for mark in self.odd) for text in texts]
         split = [text.split() if ok else [] for text, ok in zip(texts, plain, strict=True)]
         self._learn(set().union(*split))
@@ -105,12 +121,12 @@ class WordTokens:
 
 
 def _worker_tokens(spec: str) -> WordTokens:
-    """One tokenizer per Python worker; it outlives the task, and so do the words it has met."""
+    """One tokenizer per Python worker, which outlives the task; the words that a task has met do not."""
     kept = sys.modules.setdefault("_word_tokens", types.ModuleType("_word_tokens"))
     key = f"of_{zlib.crc32(spec.encode())}"
     if not hasattr(kept, key):
         setattr(kept, key, WordTokens(spec))
-    return getattr(kept, key)
+    return getattr(kept, key).without_words()
 
 
 def pieces_of(docs: DataFrame, spec: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
@@ -121,9 +137,12 @@ def pieces_of(docs: DataFrame, spec: str, capacity: int = CAPACITY, end_id: int
     """
     shared = docs.sparkSession.sparkContext.broadcast(spec)
     end = np.array([end_id], dtype="<u4")
+    own: list[WordTokens] = []  # of each task
 
     def work(cols: dict[str, list]) -> dict[str, list]:
-        tokens = _worker_tokens(shared.value)
+        if not own:
+            own.append(_worker_tokens(shared.value))
+        tokens = own[0]
         out: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32")}
         for doc_id, ids in zip(cols["doc_id"], tokens.ids(cols["text"]), strict=True):
             ids = np.concatenate([ids, end])

@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import tracemalloc
 import zlib
 
 import duckdb
@@ -259,6 +260,21 @@ def test_word_tokens_of_odd_texts():
     assert [i.tolist() for i in tokens.ids(odd)] == [plain.encode(t, add_special_tokens=False).ids for t in odd]
 
 
+def test_word_tokens_remember_few_words(monkeypatch):
+    """Within one batch too; and what a task has met does not stay in its worker."""
+    monkeypatch.setattr(packing, "CACHE", 100)
+    monkeypatch.setattr(packing, "SPLIT_CHARS", 200, raising=False)
+    with open(P.path("word_bpe_49k.json"), encoding="utf-8") as file:
+        spec = file.read()
+    many = [" ".join(f"word{i}x{j}" for j in range(10)) for i in range(200)]
+    tokens = packing._worker_tokens(spec)
+    found = [i.tolist() for i in tokens.ids(many)]
+    assert found == [tokens.tokenizer.encode(t, add_special_tokens=False).ids for t in many]
+    assert len(tokens.known) + len(tokens.older) < 600
+    again = packing._worker_tokens(spec)
+    assert again.tokenizer is tokens.tokenizer and not again.known and not again.older
+
+
 def test_pieces_equal_the_library(spark, texts, awkward):
     from sentencepiece import SentencePieceProcessor
 
@@ -541,6 +557,21 @@ def test_members_apart_are_tested_block_by_block(spark, monkeypatch):
     assert groups(links) == groups([p for p in itertools.combinations(sets, 2) if similar(*p)])
 
 
+def test_block_of_similar_sets_takes_little_memory():
+    """Nearly all pairs of a block are similar: one link joins each set, and no list of all pairs is made."""
+    n = 1024
+    sets = [np.append(np.arange(60), 60 + i) for i in range(2 * n)]
+    comps = [i.to_bytes(2, "big") for i in range(2 * n)]
+    tracemalloc.start()
+    try:
+        links = minhash._cell_links(comps, sets, np.arange(n), np.arange(n, 2 * n), 80)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(links) == 2 * n - 1 and {i for pair in links for i in pair} == set(range(2 * n))
+    assert peak < 64 << 20
+
+
 def test_exact_dedup_of_joined_files(spark, tmp_path):
     """Rows that come from files but do not know their places any more."""
     rows = [(1, "a b"), (2, "ab"), (3, "c"), (None, "c"), (3, "c")]
