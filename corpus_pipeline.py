@@ -54,7 +54,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences of at most 2048, as few as fit."""
-    return pack(docs, read_tokenizer(spark, public_tokenizers.path("word_bpe_49k.json")))
+    return pack(docs, read_tokenizer(spark, public_tokenizers.path("word_bpe_49k.json")), keep_words=False)
 
 
 STAGES = [

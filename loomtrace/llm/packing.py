@@ -27,7 +27,7 @@ from tokenizers import Tokenizer
 from loomtrace.llm.common import map_batches, saved, table, text_of
 
 CAPACITY = 2048
-#: Words whose ids are remembered per task, and characters split into words at a time.
+#: Words whose ids are remembered, and characters split into words at a time.
 CACHE = 400_000
 SPLIT_CHARS = 1 << 22
 #: Most pieces of one length that are numbered in one task, on average.
@@ -121,15 +121,15 @@ class WordTokens:
 
 
 def _worker_tokens(spec: str) -> WordTokens:
-    """One tokenizer per Python worker, which outlives the task; the words that a task has met do not."""
+    """One tokenizer per Python worker; it outlives the task, and so do the words it has met."""
     kept = sys.modules.setdefault("_word_tokens", types.ModuleType("_word_tokens"))
     key = f"of_{zlib.crc32(spec.encode())}"
     if not hasattr(kept, key):
         setattr(kept, key, WordTokens(spec))
-    return getattr(kept, key).without_words()
+    return getattr(kept, key)
 
 
-def pieces_of(docs: DataFrame, spec: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
+def pieces_of(docs: DataFrame, spec: str, capacity: int = CAPACITY, end_id: int = 0, keep_words: bool = True) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every row, cut only where longer than ``capacity``.
 
     ``spec``: the tokenizer's JSON. A text's ids end with ``end_id``; a null or empty text is
@@ -141,7 +141,8 @@ def pieces_of(docs: DataFrame, spec: str, capacity: int = CAPACITY, end_id: int
 
     def work(cols: dict[str, list]) -> dict[str, list]:
         if not own:
-            own.append(_worker_tokens(shared.value))
+            tokens = _worker_tokens(shared.value)
+            own.append(tokens if keep_words else tokens.without_words())
         tokens = own[0]
         out: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32")}
         for doc_id, ids in zip(cols["doc_id"], tokens.ids(cols["text"]), strict=True):
@@ -275,16 +276,17 @@ def numbered_by_length(pieces: DataFrame, rows: int) -> DataFrame:
         "number", F.col("_start") + F.col("_place")).drop("_salt", "_start", "_place")
 
 
-def pack(docs: DataFrame, spec: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
+def pack(docs: DataFrame, spec: str, capacity: int = CAPACITY, end_id: int = 0, keep_words: bool = True) -> DataFrame:
     """One row per piece of ``docs`` (doc_id, text), with its sequence and its place in it.
 
     (doc_id, piece, start, length, ids_crc32, sequence_id, offset). Every row is packed, null
     and empty texts as the end id alone, repeated rows each on their own; rows with a null id
     too. Other columns are ignored; an empty table gives no row. Sequences are filled from
-    0 without gaps.
+    0 without gaps. ``keep_words``: a worker remembers words from task to task, which is faster;
+    without it their memory is free again for what runs after.
     """
     spark = docs.sparkSession
-    pieces = saved(pieces_of(docs, spec, capacity, end_id), "pack-pieces")
+    pieces = saved(pieces_of(docs, spec, capacity, end_id, keep_words), "pack-pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     found = slots(plan(counts, capacity))  # counts: at most ``capacity`` rows
     shared = spark.sparkContext.broadcast(found)
