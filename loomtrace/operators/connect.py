@@ -48,7 +48,7 @@ def locate(points: DataFrame, metals: DataFrame, closed: bool = False) -> DataFr
     ).withColumn("_bin", _bin_of(F.col("s"), scale))
     after_start = F.col("s") >= F.col("s_start") if closed else F.col("s") > F.col("s_start")
     return (
-        probes.join(binned, ["layer", "p", "_scale", "_bin"])
+        probes.join(binned, ["p", "_bin", "layer", "_scale"])  # the most selective first: sorts compare it first
         .where(after_start & (F.col("s") <= F.col("s_end")))
         .drop("_scale", "_bin", "s_start", "s_end")
     )

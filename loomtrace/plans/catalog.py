@@ -405,7 +405,9 @@ def short_paths(spark, sf):
 @query
 def net_opens(spark, sf):
     labels, metals, ws = _labels(spark, sf)
-    return opens.net_opens(ws.save(comp.all_labels(labels, metals), "groups"), metals, dt.ORIENTATION, ws)
+    labels = ws.save(labels, "labels")
+    lone = metals.join(labels.select("idx"), "idx", "left_anti")
+    return opens.net_opens(ws.save(comp.component_members(labels, metals), "members"), metals, dt.ORIENTATION, ws, lone)
 
 
 @query

@@ -5,9 +5,10 @@ import random
 from collections import defaultdict, deque
 
 import pytest
+from pyspark.sql import functions as F
 
 from loomtrace.operators import opens, sweep, trace
-from loomtrace.workspace import Workspace
+from loomtrace.workspace import Workspace, row_count
 
 ORIENTATION = {1: True, 2: False, 3: True}
 EDGES = "vidx long, u long, v long"
@@ -114,6 +115,64 @@ def test_net_opens(spark, ws, seed, span, n):
     assert opens.net_opens(members.limit(0), frame, ORIENTATION, ws).count() == 0
 
 
+class Counted(Workspace):
+    """Keeps the names and row counts of saved tables; many tables mean rounds without an end."""
+
+    def save(self, df, name):
+        self.saved = getattr(self, "saved", [])
+        assert len(self.saved) < 60
+        table = super().save(df, name)
+        self.saved.append((name, row_count(table)))
+        return table
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_net_opens_ends_on_a_grid(spark, seed):
+    """Many ends on one point; wires that are groups of their own are given apart."""
+    rng = random.Random(seed)
+    metals, n = [], 40
+    for layer, p in {(rng.randint(1, 3), 10 * rng.randrange(-4, 4)) for _ in range(40)}:
+        metals += [(layer, p, s, s + 10 * rng.randrange(2)) for s in rng.sample(range(-40, 40, 20), 3)]
+    metals = [(i, *m) for i, m in enumerate(sorted(metals)[:n])]
+    comp = list(range(n))
+    for i, j in ((rng.randrange(n), rng.randrange(n)) for _ in range(12)):
+        comp = [min(comp[i], comp[j]) if c in (comp[i], comp[j]) else c for c in comp]
+    nets = [rng.choice(["A", "B", None]) for _ in metals]
+    box = [(p, s, p, e) if ORIENTATION[layer] else (s, p, e, p) for _, layer, p, s, e in metals]
+    want = []
+    for net in "AB":
+        parts = {comp[i] for i in range(n) if nets[i] == net}
+        best = [(sum(max(0, max(box[i][a], box[j][a]) - min(box[i][a + 2], box[j][a + 2])) for a in (0, 1)), i, j)
+                for i, j in itertools.combinations(range(n), 2) if {comp[i], comp[j]} <= parts and comp[i] != comp[j]]
+        want.append((net, len(parts), *min(best)))
+    members = spark.createDataFrame(list(zip(comp, range(n), nets, strict=True)), MEMBERS)
+    frame = spark.createDataFrame(metals, METALS)
+    linked = F.col("comp_id").isin([c for c in comp if comp.count(c) > 1])
+    lone = frame.join(members.where(~linked).select("idx", "net"), "idx")
+    got = [opens.net_opens(members, frame, ORIENTATION, Counted(spark)),
+           opens.net_opens(members.where(linked), frame, ORIENTATION, Counted(spark), lone)]
+    assert [sorted(map(tuple, rows.collect())) for rows in got] == [want, want]
+
+
+def test_net_opens_on_either_side_of_the_origin(spark):
+    """Squares counted from 0 never hold both wires, however large they are."""
+    metals = [(0, 1, -7, -9, -5), (1, 1, 6, 4, 8)]
+    members = spark.createDataFrame([(0, 0, "A"), (1, 1, "A")], MEMBERS)
+    got = opens.net_opens(members, spark.createDataFrame(metals, METALS), ORIENTATION, Counted(spark))
+    assert list(map(tuple, got.collect())) == [("A", 2, 13 + 9, 0, 1)]
+
+
+def test_net_opens_meets_few_wires(spark):
+    """Once two crossing wires are known, those after them look for no others."""
+    n = 300
+    metals = [(i, 1, 10_000 * i, 0, 50) for i in range(n)] + [(n + i, 2, 0, 10_000 * i, 10_000 * i + 50) for i in range(n)]
+    members = spark.createDataFrame([(i, i, "A") for i in range(2 * n)], MEMBERS)
+    ws = Counted(spark)
+    got = opens.net_opens(members, spark.createDataFrame(metals, METALS), ORIENTATION, ws)
+    assert list(map(tuple, got.collect())) == [("A", 2 * n, 0, 0, n)]
+    assert sum(rows for name, rows in ws.saved if name in ("squares", "wide", "near")) < 20
+
+
 @pytest.mark.parametrize("bits", [3, 16])
 def test_sweeps(spark, ws, bits, monkeypatch):
     """Tiles far smaller than the wires give the same rows as one tile."""
